@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parzelle.functions import similarity
 
 
-def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, key: str, threshold: float, score=similarity.jaro_winkler) -> DataFrame:
+def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, threshold: float, score=similarity.jaro_winkler) -> DataFrame:
     """For each left row the best right text of its block, at least `threshold` alike; ties go to the smallest text. Equal texts are scored once."""
     a = left.select(block, text).distinct()
     b = right.select(block, F.col(text).alias("match")).where("match IS NOT NULL").distinct()
