@@ -37,6 +37,7 @@ def lengths(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 def histogram(counted: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     """For each length: docs, docs_ge and tokens_ge at or beyond it, truncated_total at that limit, share_le of documents at most as long (the quantile that the length answers)."""
     by = counted.groupBy(F.col(length_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs")).withColumn("part", F.floor(F.col("n_tokens") / RANGE).cast("long"))
+    by = common.durable(by)  # read twice below; without this the texts would be encoded twice
     ranges = by.groupBy("part").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy(F.lit(1))
