@@ -32,9 +32,9 @@ def cut_at(text: Column, term: str) -> Column:
 
 
 def drop_address_parts(text: Column) -> Column:
-    """Without comma parts that look like a postcode with place, a bare postcode, or a street with number."""
+    """Without comma parts that look like a postcode with place, a bare postcode, or a street with number. A part with a * is a birth date and stays."""
     address = r"(?U)\b\d{5} \b\w+\b|\b\d{5}\b|\b\d{1,4}$|\b\d{1,3} ?[a-f]$"
-    return F.array_join(F.filter(parts(text), lambda p: ~F.regexp_like(p, F.lit(address))), ", ")
+    return F.array_join(F.filter(parts(text), lambda p: F.contains(p, F.lit("*")) | ~F.regexp_like(p, F.lit(address))), ", ")
 
 
 def drop_street_word(text: Column, keywords: list[str]) -> Column:
@@ -170,7 +170,7 @@ def subscript(text: Column) -> Column:
 
 def age(birth: Column, at: str = "2020-11-15") -> Column:
     """Whole years at a date; -9999 if the birth date, yyyy-MM-dd or yyyyMMdd, is none."""
-    day = F.try_to_timestamp(F.replace(F.replace(F.trim(birth), F.lit("-"), F.lit("")), F.lit("*"), F.lit("")), F.lit("yyyyMMdd"))
+    day = F.try_to_timestamp(F.trim(F.translate(birth, "-*", "")), F.lit("yyyyMMdd"))
     return F.coalesce(F.floor(F.datediff(F.lit(at).cast("date"), day.cast("date")) / 365.2425).cast("int"), F.lit(-9999))
 
 

@@ -101,12 +101,12 @@ def jn_left_fold(t: Tables) -> DataFrame:
 
 @query(
     "jn_area_split",
-    "WITH d AS (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1) SELECT o_orderkey AS parcel, l_suppkey AS owner, round(o_totalprice / n, 4) area FROM orders LEFT JOIN d ON o_orderkey = d.l_orderkey LEFT JOIN lineitem l ON o_orderkey = l.l_orderkey",
+    "WITH d AS (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1) SELECT o_orderkey AS parcel, l_suppkey AS owner, round(o_totalprice / n, 6) area FROM orders LEFT JOIN d ON o_orderkey = d.l_orderkey LEFT JOIN lineitem l ON o_orderkey = l.l_orderkey",
 )
 def jn_area_split(t: Tables) -> DataFrame:
     parcels = t.orders.select(c("o_orderkey").alias("parcel"), c("o_totalprice").alias("area"))
     owners = t.lineitem.select(c("l_orderkey").alias("parcel"), c("l_suppkey").alias("owner"))
-    return R.split_area(parcels, owners, "parcel", "area").select("parcel", "owner", F.round("area", 4).alias("area"))
+    return R.split_area(parcels, owners, "parcel", "area").select("parcel", "owner", F.round("area", 6).alias("area"))
 
 
 @query(
