@@ -124,7 +124,7 @@ def stretch(df: DataFrame, names: str, others: str, drop: str, areas: list[str])
     return held.select(*[c for c in df.columns if c not in (names, others)], "n_owners", F.inline("_z"))
 
 
-def chunks(df: DataFrame, column: str, size: int = 1000, parts: int = 64) -> DataFrame:
+def chunks(df: DataFrame, column: str, size: int = 1000) -> DataFrame:
     """Distinct values in order, numbered in chunks of a fixed size. Values are dealt by their first characters, so no task sorts them all."""
     values = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_h", F.substring(column, 1, 3))
     before = Window.partitionBy(F.lit(0)).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)

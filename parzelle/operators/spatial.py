@@ -53,7 +53,7 @@ def point_of(text: Column) -> tuple[Column, Column]:
     """x and y of POINT (x y); null if it is none."""
     number = r"(-?\d+(?:\.\d+)?)"
     pattern = rf"^POINT ?\({number} {number}\)$"
-    return tuple(F.expr("try_cast(null as double)") if text is None else F.regexp_extract(text, pattern, i).try_cast("double") for i in (1, 2))
+    return tuple(F.regexp_extract(text, pattern, i).try_cast("double") for i in (1, 2))
 
 
 def thinness(area: Column, perimeter: Column) -> Column:
