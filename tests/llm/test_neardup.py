@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from parzelle.llm import hamming, neardup, queries
+from similar import wanted
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,7 +125,7 @@ def test_pipeline_stages(spark, odd, none, docs, plain):
         assert stage(spark, odd, SF).schema.names == odd.schema.names
         assert stage(spark, none, SF).count() == 0
     kept = corpus_pipeline.near_dedup(spark, docs, SF)
-    classes = slow_classes([(i, slow_print(t)) for i, t in plain.items()])
+    classes = wanted(plain)
     assert {r["doc_id"] for r in kept.collect()} == set(classes.values())
     kept = corpus_pipeline.near_dedup(spark, odd, SF).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 2, 6, 7, 8, 9]
