@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from parzelle.llm import langid, neardup, packing, queries, secrets
+from parzelle.llm import langid, nearcopies, packing, queries, secrets
 from parzelle.llm.common import durable, table
 
 
@@ -15,9 +15,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest id. Of rows with the same id one stays; rows without an id cannot be told apart and stay."""
+    """One document of each class of near-duplicates (five words, similarity 0.8), that of the smallest id. Of rows with the same id one stays; rows without an id cannot be told apart and stay."""
     named = docs.where(F.col("doc_id").isNotNull())
-    found = neardup.near_duplicates(named)
+    found = nearcopies.near_copies(named)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("n_chars", F.xxhash64("text"))
     kept = named.join(gone, "doc_id", "left_anti").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
