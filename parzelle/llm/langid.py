@@ -29,7 +29,7 @@ BUCKETS, ORDERS = 1 << 16, 3
 SAMPLE_ROWS = 20_000
 SMOOTHING, EVIDENCE = 0.5, 25.0
 #: n-grams that are gathered at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 17
 UNKNOWN = "und"
 
 
