@@ -15,7 +15,7 @@ Links come out as forests, no more rows than members. Bands and loose classes th
 into chunks, and each two chunks meet in a tile of their own: no pair is lost, no set of all pairs is made.
 
 Cases. Null, empty and blank texts have no shingle and are one class; fewer words than a shingle are one shingle. Rows
-with one id are one class. A null id never names a class: it has that of a like text with an id, else null. An empty
+of one id with different texts have the class of their own text each. A null id never names a class: it has that of a like text with an id, else null. An empty
 table gives no rows. Only the id and text columns are read.
 """
 

@@ -97,3 +97,13 @@ def test_odd_rows(spark, odd, none):
 def test_words_and_case(spark):
     texts = {1: "a b c", 2: "A  b\tC", 3: "a b", 4: "\xa0a b c"}
     assert classes(table(spark, texts)) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_an_id_with_several_texts(spark):
+    import corpus_pipeline
+
+    rows = [(3, "y y2 y3 y4 y5 y6"), (9, "x x2 x3 x4 x5 x6"), (9, "y y2 y3 y4 y5 y6"), (10, "y y2 y3 y4 y5 y6"), (11, "x x2 x3 x4 x5 x6")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted((r["doc_id"], r["component_id"]) for r in nearcopies.near_copies(docs).collect())
+    assert found == [(3, 3), (9, 3), (9, 9), (10, 3), (11, 9)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [3, 9]
