@@ -15,13 +15,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five words, similarity 0.8), that of the smallest id. Of rows with the same id one stays; rows without an id cannot be told apart and stay."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = nearcopies.near_copies(named)
-    # an id with several texts stays if one of them is the first of its class
-    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
-    order = Window.partitionBy("doc_id").orderBy("n_chars", F.xxhash64("text"))
-    kept = named.join(gone, "doc_id", "left_anti").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    """One document of each class of near-duplicates (five words, similarity 0.8): the smallest id with its own text. An id with several texts stays once for each class that it heads; rows without an id cannot be told apart and stay."""
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_which", nearcopies.text_key(F.col("text")))
+    heads = nearcopies.heads(named).withColumnRenamed("which", "_which")
+    order = Window.partitionBy("doc_id", "_which").orderBy("n_chars")
+    kept = named.join(heads, ["doc_id", "_which"], "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -14,9 +14,12 @@ error is about 0.02 for long texts). It works in three steps, copies folded firs
 Links come out as forests, no more rows than members. Bands and loose classes that are too large for a task are dealt
 into chunks, and each two chunks meet in a tile of their own: no pair is lost, no set of all pairs is made.
 
+Links run between sets, which have numbers of their own, so an id with several texts never ties their classes together.
+
 Cases. Null, empty and blank texts have no shingle and are one class; fewer words than a shingle are one shingle. Rows
-of one id with different texts have the class of their own text each. A null id never names a class: it has that of a like text with an id, else null. An empty
-table gives no rows. Only the id and text columns are read.
+of one id with different texts have the class of their own text each, also if it names more than one. A null id never
+names a class: it has that of a like text with an id, else null. An empty table gives no rows. Only the id and text
+columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parzelle.llm import common, hamming
 from parzelle.llm.neardup import SEED, shingle_hashes
@@ -150,8 +153,13 @@ def group_links(starts: np.ndarray, prints: np.ndarray, sizes: np.ndarray, simil
     return np.concatenate(froms), np.concatenate(tos)
 
 
+def text_key(text) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def described(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, digest, n, keys, print."""
+    """id, which (the text's key), digest, n, keys, print."""
 
     def make():
         def run(texts: pa.Array) -> dict:
@@ -160,7 +168,9 @@ def described(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
 
         return run
 
-    return common.map_texts(df, id_col, text_col, make, "digest binary, n long, keys array<long>, print binary")
+    text = F.col(f"`{text_col}`").cast("string")
+    picked = df.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("which"), text.alias("text"))
+    return common.map_texts(picked, "id", "text", make, "digest binary, n long, keys array<long>, print binary", keep=("which",))
 
 
 def pair_chunks(members: DataFrame, chunks, by: str) -> DataFrame:
@@ -171,11 +181,11 @@ def pair_chunks(members: DataFrame, chunks, by: str) -> DataFrame:
 
 
 def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """a, b: links that connect the distinct sets whose estimate suffices; sets has first (an id, not null), n, keys, print."""
-    keyed = sets.select("first", F.posexplode("keys").alias("t", "key"))
+    """a, b: links that connect the distinct sets whose estimate suffices; sets has node, n, keys, print."""
+    keyed = sets.select("node", F.posexplode("keys").alias("t", "key"))
     shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiles = pair_chunks(keyed.join(shared, ["t", "key"]), F.ceil(F.col("members") / hot), "first")
-    tiles = tiles.join(sets.select("first", "n", "print"), "first")
+    tiles = pair_chunks(keyed.join(shared, ["t", "key"]), F.ceil(F.col("members") / hot), "node")
+    tiles = tiles.join(sets.select("node", "n", "print"), "node")
     tile = ["t", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,7 @@ def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
             prints = np.frombuffer(b"".join(part["print"].to_pylist()), dtype=np.uint64).reshape(-1, PARTS)
             a, b = group_links(starts, prints, part["n"].to_numpy(), similarity)
             if len(a):
-                ids = part["first"].combine_chunks()
+                ids = part["node"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
 
         for batch in batches:
@@ -199,8 +209,7 @@ def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
         if held is not None and len(held):
             yield from found(held, np.zeros(1, np.int64))
 
-    kind = sets.schema["first"].dataType.simpleString()
-    return tiles.repartition(*tile).sortWithinPartitions(*tile, "first").mapInArrow(run, f"a {kind}, b {kind}")
+    return tiles.repartition(*tile).sortWithinPartitions(*tile, "node").mapInArrow(run, "a long, b long")
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -235,50 +244,64 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
 
 
 def exact_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b: links that connect the texts of a group that are similar; texts has root, i, j (the group), id, text."""
+    """a, b: links that connect the texts of a group that are similar; texts has root, i, j (the group), node, text; of a node's copies one counts."""
     tile = ["root", "i", "j"]
-    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sets, id_type = None, [], [], None
+        at, nodes, sets = None, [], []
 
         def flush():
             a, b = exact_forest(sets, similarity)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in a], id_type), pa.array([ids[x] for x in b], id_type)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in a], pa.int64()), pa.array([nodes[x] for x in b], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for part in common.slices([batch], "text"):
-                id_type = part.schema.field("id").type
-                rows = zip(*(part.column(c).to_pylist() for c in (*tile, "id")), common.as_bytes(part.column("text")), strict=True)
-                for *group, doc, text in rows:
+                rows = zip(*(part.column(c).to_pylist() for c in (*tile, "node")), common.as_bytes(part.column("text")), strict=True)
+                for *group, node, text in rows:
                     if group != at:
                         if len(sets) > 1:
                             yield from flush()
-                        at, ids, sets = group, [], []
+                        at, nodes, sets = group, [], []
+                    if nodes and nodes[-1] == node:
+                        continue
                     hashes = np.unique(np.array(shingle_hashes(text, words, SEED), dtype=np.uint64))
                     if len(hashes):
-                        ids.append(doc)
+                        nodes.append(node)
                         sets.append(hashes)
         if len(sets) > 1:
             yield from flush()
 
-    return texts.repartition(*tile).sortWithinPartitions(*tile, "id").mapInArrow(run, f"a {kind}, b {kind}")
+    return texts.repartition(*tile).sortWithinPartitions(*tile, "node").mapInArrow(run, "a long, b long")
 
 
-def near_copies(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id (the smallest id reachable)."""
+def _classes(df: DataFrame, words: int, similarity: float, hot: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The described rows; and for each set its digest and its class's head: the smallest id and, of that id's texts in the class, one's key."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0, and 1 at most")
-    every = common.durable(described(df, words, id_col, text_col).withColumnRenamed(id_col, "id"))
-    one = every.groupBy("digest").agg(F.min("id").alias("first"), F.min_by(F.struct("n", "keys", "print"), "digest").alias("set"))
-    sets = common.durable(one.select("digest", "first", "set.*"))
+    every = common.durable(described(df, words, id_col, text_col))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "which")))
+    one = every.groupBy("digest").agg(first.alias("first"), F.min_by(F.struct("n", "keys", "print"), "digest").alias("set"))
+    sets = common.durable(one.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "set.*"))
     loose = hamming.components(loose_links(sets.where("first IS NOT NULL AND n > 0"), similarity, hot))
-    loose = common.durable(loose.withColumnRenamed("node", "id"))
-    held = loose.join(sets.select(F.col("first").alias("id"), "n"), "id").groupBy("root").agg(F.sum("n").alias("n"))
-    members = pair_chunks(loose.join(held, "root"), F.ceil(F.col("n") / chunk), "id").drop("n")
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(members, "id")
+    loose = common.durable(loose.join(sets.select("node", "first.*", "n"), "node"))
+    held = loose.groupBy("root").agg(F.sum("n").alias("n"))
+    members = pair_chunks(loose.drop("n").join(held, "root"), F.ceil(F.col("n") / chunk), "node").drop("n")
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("which"), text.alias("text")).join(members, ["id", "which"])
     member = hamming.components(exact_links(texts, words, similarity))
-    named = sets.select("digest", "first").join(member.withColumnRenamed("node", "first"), "first", "left")
-    named = named.select("digest", F.coalesce("root", "first").alias("component_id"))
-    return every.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+    named = sets.select("node", "digest", "first").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    return every, named.join(heads, "root").select("root", "digest", "head")
+
+
+def near_copies(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id (the smallest id reachable)."""
+    every, named = _classes(df, words, similarity, hot, chunk, id_col, text_col)
+    return every.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), F.col("head.id").alias("component_id"))
+
+
+def heads(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, which: of each class that has an id the row to keep, by its id and text_key()."""
+    _, named = _classes(df, words, similarity, hot, chunk, id_col, text_col)
+    return named.where("head IS NOT NULL").select("root", "head.*").distinct().select(F.col("id").alias(id_col), "which")

@@ -107,3 +107,32 @@ def test_an_id_with_several_texts(spark):
     found = sorted((r["doc_id"], r["component_id"]) for r in nearcopies.near_copies(docs).collect())
     assert found == [(3, 3), (9, 3), (9, 9), (10, 3), (11, 9)]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [3, 9]
+
+
+def kept(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    return sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+
+
+def test_each_class_keeps_one_row_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    x, y, z = (" ".join(k + w for w in words) for k in "xyz")
+    short = "y y2 y3 y4 y5 y6"
+    # the class of x is headed by 9, whose shorter text is of another class
+    assert kept(spark, [(3, short), (9, x), (9, short), (11, x)]) == [(3, short), (9, x)]
+    # many texts under one id, and a repeated row
+    many = [(7, f"{a} {x}"[:80] + str(a) * 9) for a in range(12)]
+    assert kept(spark, [*many, many[0]]) == sorted(many)
+    # an id that heads two classes; the like text of 3 ties y to itself alone, not to x
+    assert kept(spark, [(3, y + " end"), (9, y), (9, x), (11, x), (12, x + " end")]) == [(3, y + " end"), (9, x)]
+    assert kept(spark, [(9, y), (9, x), (11, x + " end"), (12, y + " end"), (13, z)]) == sorted([(9, x), (9, y), (13, z)])
+    # one class, its head with two texts of it
+    assert len(kept(spark, [(9, x), (9, x + " end"), (10, x)])) == 1
+
+
+def test_classes_of_an_id_with_several_texts(spark):
+    x, y = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
+    df = spark.createDataFrame([(3, y + " end"), (9, y), (9, x), (11, x)], "doc_id long, text string")
+    assert sorted(map(tuple, nearcopies.near_copies(df).collect())) == [(3, 3), (9, 3), (9, 9), (11, 9)]
