@@ -1,10 +1,12 @@
 """Secrets: fixed patterns, and random strings told by few characters per token.
 
 Base kinds, each leftmost and non-overlapping: assign (a name such as password, then a value of 8 characters or more),
-access (AKIA ...) and hex (32 or more). The method adds kind random: a run of 16 or more key characters, with letters
-and digits, that a vocabulary of common strings needs many tokens for. Known digests (hexadecimal of the usual lengths,
-UUIDs) and identifiers (parts joined by - or _ of which none mixes letters and digits; plain numbers) are no random
-strings, and what a base span covers isn't reported again.
+access (AKIA ...) and hex (32 or more). The method adds kind random: a run of 16 or more key characters that a
+vocabulary of common strings needs many tokens for. Known digests (hexadecimal of the usual lengths, UUIDs) and
+identifiers are no random strings, and what a base span covers isn't reported again. Identifiers consist of parts, none
+of which mixes letters and digits and of whose characters over half are in numbers and words; words are letters that
+are one token or need few by the same ratio. Runs of plain words (letters of one case, or capitalised) and numbers are
+held to a stricter ratio, since made-up names come near random strings.
 
 Spans are code points, end exclusive, ordered by start, then kind as listed.
 
@@ -28,9 +30,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:0x)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})=*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+PART = re.compile(r"[A-Za-z0-9]+")
+PLAIN = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)|[0-9]+")
 MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 #: Strings of fewer characters per token are random.
-RATIO = 2.2
+RATIO, NAME_RATIO = 2.2, 2.0
 
 Span = tuple[int, int, str]
 
@@ -46,20 +50,29 @@ def base_spans(text: str) -> list[Span]:
     return [(a, b, KINDS[k]) for a, k, b in sorted(found)]
 
 
-def is_known(run: str) -> bool:
+def is_word(part: str, count, ratio: float = RATIO) -> bool:
+    """A number, or letters that the vocabulary knows."""
+    return part.isdigit() or part.isalpha() and ((n := count(part)) == 1 or len(part) / n >= ratio)
+
+
+def is_known(run: str, count, ratio: float = RATIO) -> bool:
     """A digest or an identifier."""
     if DIGEST.fullmatch(run):
         return True
-    return not any(MIXED.search(part) for part in re.split(r"[-_=+/]+", run))
+    parts = PART.findall(run)
+    return not MIXED.search(run) and 2 * sum(len(p) for p in parts if not is_word(p, count, ratio)) <= sum(map(len, parts))
+
+
+def is_random(run: str, count, ratio: float = RATIO) -> bool:
+    plain = all(PLAIN.fullmatch(p) for p in PART.findall(run))
+    return not is_known(run, count, ratio) and len(run) / count(run) < (min(ratio, NAME_RATIO) if plain else ratio)
 
 
 def random_spans(text: str, count, base: list[Span], ratio: float = RATIO) -> list[Span]:
     found = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if is_known(m[0]) or any(x < b and a < y for x, y, _ in base):
-            continue
-        if (b - a) / count(m[0]) < ratio:
+        if not any(x < b and a < y for x, y, _ in base) and is_random(m[0], count, ratio):
             found.append((a, b, "random"))
     return found
 

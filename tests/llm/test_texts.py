@@ -131,6 +131,21 @@ def test_random_strings_but_no_digests_or_names():
     assert secrets.redacted("a password=abcdefgh1 b", secrets.base_spans("a password=abcdefgh1 b")) == "a [assign] b"
 
 
+def test_random_letters_are_random_strings():
+    from parzelle.llm import bpe
+
+    encode = bpe.library(queries.RANKS, queries.PATTERN).encode_ordinary
+    found = lambda t: secrets.spans(t, lambda s: len(encode(s)))[1]
+    for x in ("qzkxvbnwpltrjhgfdsmcqyxzkwvbtnpr", "XqZkVbNwPlTrJhGfDsMcQyRxKwVbTnPz", "qzkx-vbnw-pltr-jhgf-dsmc"):
+        assert found(f"use {x} now") == [(4, 4 + len(x), "random")]
+    r = random.Random(10)
+    for n, least in ((26, 470), (52, 500)):
+        drawn = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[:n], k=32)) for _ in range(500)]
+        assert sum(bool(found(x)) for x in drawn) >= least
+    for x in ("getElementsByTagName", "kubernetes-dashboard-deployment", "/usr/local/lib/python/my-kqv-lib-to-use", "a/b/c/d/e/f/g/h/i/j", "-" * 40, "landwirtschaftlich", "Grundstuecksverkehrsgenehmigung", "dieeinkeitgekeit", "1234-5678-9012-3456"):
+        assert found(x) == []
+
+
 def test_redact_keeps_rows_and_columns(odd):
     out = secrets.redact(odd, queries.RANKS, queries.PATTERN)
     assert out.schema == odd.schema and out.count() == odd.count()
