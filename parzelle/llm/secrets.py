@@ -6,7 +6,9 @@ vocabulary of common strings needs many tokens for. Known digests (hexadecimal o
 identifiers are no random strings, and what a base span covers isn't reported again. Identifiers consist of parts, none
 of which mixes letters and digits and of whose characters over half are in numbers and words; words are letters that
 are one token or need few by the same ratio. Runs of plain words (letters of one case, or capitalised) and numbers are
-held to a stricter ratio, since made-up names come near random strings.
+held to a stricter ratio, since made-up names come near random strings. What is left of a run outside base spans is
+judged for itself. If it isn't random as a whole, what lies between its digests and words is judged (stretches of
+neighbouring parts, then single parts), so that the words of a path don't hide a random string among them.
 
 Spans are code points, end exclusive, ordered by start, then kind as listed.
 
@@ -31,8 +33,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:0x)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})=*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = re.compile(r"[A-Za-z0-9]+")
+INNER = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGEST.pattern})(?![A-Za-z0-9])|(?P<part>[A-Za-z0-9]+)")
 PLAIN = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)|[0-9]+")
 MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
+#: Characters of a random string, at least.
+LEAST = 16
 #: Strings of fewer characters per token are random.
 RATIO, NAME_RATIO = 2.2, 2.0
 
@@ -68,12 +73,44 @@ def is_random(run: str, count, ratio: float = RATIO) -> bool:
     return not is_known(run, count, ratio) and len(run) / count(run) < (min(ratio, NAME_RATIO) if plain else ratio)
 
 
+def judged(text: str, a: int, b: int, count, ratio: float = RATIO) -> list[Span]:
+    """Random strings in a stretch of key characters: all of it, or stretches of parts that are no words, or single parts."""
+
+    def random(x: int, y: int) -> bool:
+        return y - x >= LEAST and is_random(text[x:y], count, ratio)
+
+    if random(a, b):
+        return [(a, b, "random")]
+    stretches: list[list[tuple[int, int]]] = [[]]
+    short: list[tuple[int, int]] = []
+    for m in INNER.finditer(text, a, b) if b - a >= LEAST else ():
+        if m["part"] and not is_word(m[0], count, ratio):
+            # words of one or two characters, which random strings have too, end no stretch
+            stretches[-1] += [*(short if stretches[-1] else ()), m.span()]
+            short = []
+        elif len(m[0]) < 3:
+            short.append(m.span())
+        else:
+            stretches.append([])
+            short = []
+    found: list[Span] = []
+    for parts in filter(None, stretches):
+        whole = parts[0][0], parts[-1][1]
+        found += [(x, y, "random") for x, y in ([whole] if random(*whole) else [p for p in parts if random(*p)])]
+    return found
+
+
 def random_spans(text: str, count, base: list[Span], ratio: float = RATIO) -> list[Span]:
     found = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for x, y, _ in base) and is_random(m[0], count, ratio):
-            found.append((a, b, "random"))
+        at, b = m.span()
+        covered = [s for s in base if s[0] < b and at < s[1]]
+        if covered and DIGEST.fullmatch(m[0]):
+            continue
+        for x, y, _ in covered:
+            found += judged(text, at, x, count, ratio)
+            at = max(at, y)
+        found += judged(text, at, b, count, ratio)
     return found
 
 

@@ -146,6 +146,25 @@ def test_random_letters_are_random_strings():
         assert found(x) == []
 
 
+def test_random_strings_among_other_parts_of_a_run():
+    from parzelle.llm import bpe
+
+    encode = bpe.library(queries.RANKS, queries.PATTERN).encode_ordinary
+    found = lambda t: secrets.spans(t, lambda s: len(encode(s)))[1]
+    text = "/files/0123456789abcdef0123456789abcdef/q8Zt3vXk9LmP2sRw7YbN"
+    assert found(text) == [(7, 39, "hex"), (39, 60, "random")]
+    assert secrets.redacted(text, found(text)) == "/files/[hex][random]"
+    r = random.Random(11)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for path in ("/users/account/verification/confirm/", "/users/account/verification/confirm/internationalisation/administration/responsibilities/"):
+        for _ in range(200):
+            key = "".join(r.choices(base62, k=24))
+            assert any(b == len(path) + 24 and a <= len(path) for a, b, _ in found(path + key)), key
+    path = "/users/account/verification/confirm/internationalisation/administration/"
+    assert found(path + "q8Zt3vXk-9LmP2sRw7YbN/settings") == [(len(path), len(path) + 21, "random")]
+    assert found(path + "550e8400-e29b-41d4-a716-446655440000") == found(path + "D41D8CD98F00B204E9800998ECF8427E") == []
+
+
 def test_redact_keeps_rows_and_columns(odd):
     out = secrets.redact(odd, queries.RANKS, queries.PATTERN)
     assert out.schema == odd.schema and out.count() == odd.count()
