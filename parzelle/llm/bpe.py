@@ -20,9 +20,11 @@ import base64
 import codecs
 import gc
 import hashlib
+import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -345,6 +347,24 @@ def library(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Those that the tokenizer file of the same name as the ranks adds; none if there is no such file."""
+    file = Path(path).with_suffix(".json")
+    added = json.loads(file.read_text(encoding="utf-8"))["added_tokens"] if file.exists() else []
+    if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take in more or less than their own text aren't known here")
+    return {x["content"]: x["id"] for x in added}
+
+
+@lru_cache(maxsize=2)
+def with_added(path: str, pattern: str) -> Callable[[str], list[int]]:
+    """Ids as the tokenizer file gives them: added tokens that stand in a text have their own id."""
+    added = added_tokens(path)
+    known = tiktoken.Encoding("added", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens=added)
+    names = set(added)
+    return lambda text: known.encode(text, allowed_special=names) if any(x in text for x in names) else known.encode_ordinary(text)
+
+
 def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, lossless for every row; null texts count as empty."""
 

@@ -9,6 +9,8 @@ no shuffle and no group that could grow hot; memory is bounded by a window and o
 
 Loss-bearing tokens are the last ones of an item; of a document all but its first.
 
+Ids are those of the tokenizer file beside the ranks, whose added tokens are found in texts too.
+
 Cases. A null or empty text is the end token alone. Repeated rows are packed each for itself. An empty table gives no
 rows. Only the id and text columns are read, so other columns can have any names.
 """
@@ -133,7 +135,7 @@ def pack_documents(df: DataFrame, path: str, pattern: str, end: int = 1, limits:
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.library(path, pattern).encode_ordinary
+        encode = bpe.with_added(path, pattern)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << TASK_SHIFT
         kept: dict[int, tuple] = {}

@@ -151,6 +151,21 @@ def test_pack_keeps_all_limits(limits):
             assert at == n and sum(p[3] for p in parts[item]) == loss
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(12)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "a", " b", "  ", "\n", "'s", "1", "é", "<|", " \t "]
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3, "x  <|endoftext|>  y", *("".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(300))]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), RANKS, PATTERN).collect()
+    wanted = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert wanted[0] == [64, 220, 50256, 275, 1]
+    assert {r["doc_id"] for r in rows} == wanted.keys() and sum(r["length"] for r in rows) == sum(map(len, wanted.values()))
+    for x in rows:
+        own = wanted[x["doc_id"]]
+        assert x["doc_tokens"] == len(own)
+        assert x["ids_crc32"] == zlib.crc32(np.array(own[x["start"] : x["start"] + x["length"]], "<u4").tobytes())
+
+
 def test_windows_hand_over(monkeypatch, odd, library):
     monkeypatch.setattr(packing, "WINDOW_ROWS", 1)
     rows = packing.pack_documents(odd.coalesce(1), RANKS, PATTERN).collect()
