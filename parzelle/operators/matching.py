@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parzelle.functions import similarity
+from parzelle.operators.network import durable
 
 
 def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, threshold: float, score=similarity.jaro_winkler) -> DataFrame:
@@ -47,10 +48,15 @@ def with_overrides(df: DataFrame, overrides: DataFrame, key: str, old: str, colu
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def resolved(mapping: DataFrame, old: str, new: str, rounds: int = 4) -> DataFrame:
-    """A mapping whose targets are themselves mapped, followed to the end in doubling steps."""
-    now = mapping.select(F.col(old).alias("old"), F.col(new).alias("new"))
-    for _ in range(rounds):
-        step = now.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
-        now = now.join(step, now["new"] == step["_o"], "left").select("old", F.coalesce("_n", "new").alias("new"))
-    return now
+def resolved(mapping: DataFrame, old: str, new: str) -> DataFrame:
+    """A mapping whose targets are themselves mapped, followed to the end in doubling steps, each of which ends in a checkpoint. A name that leads into a cycle gets the smallest name of the cycle."""
+    now = durable(mapping.select(F.col(old).alias("old"), F.col(new).alias("new"), F.col(new).alias("low")).distinct())
+    names = now.where("new IS NOT NULL").select(F.col("old").alias("new")).distinct()
+    # after so many doublings only what leads into a cycle is still mapped, and low covers all of the cycle
+    for _ in range(names.count().bit_length()):
+        if now.join(names, "new", "left_semi").isEmpty():
+            break
+        step = now.where("new IS NOT NULL").select(F.col("old").alias("_o"), F.col("new").alias("_n"), F.col("low").alias("_l"))
+        now = durable(now.join(step, now["new"] == step["_o"], "left").select("old", F.coalesce("_n", "new").alias("new"), F.least("low", "_l").alias("low")).distinct())
+    ends = now.join(names, "new", "left_semi").select(F.col("old").alias("_o"), F.col("low").alias("_l"))
+    return now.join(ends, now["new"] == ends["_o"], "left").select("old", F.coalesce("_l", "new").alias("new"))

@@ -172,3 +172,22 @@ def test_stream_equals_batch(spark, tmp_path):
     done = {(r["start"], r["event_type"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     whole = {(r["start"], r["event_type"]): r["n"] for r in windowed_sums(events, "ts", "event_type", "value").collect()}
     assert done and done.items() <= whole.items()
+
+
+def test_mappings_are_followed_to_the_end(spark):
+    pairs = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(100)]  # a chain that ends at c100
+    pairs += [("z2", "z0"), ("z0", "z1"), ("z1", "z2"), ("a0", "z1"), ("a1", "a0")]  # a cycle, and names that lead into it
+    pairs += [("s", "s"), ("n0", "n1"), ("n1", None)]
+    random.Random(5).shuffle(pairs)
+    found = M.resolved(spark.createDataFrame(pairs, "x string, y string"), "x", "y").collect()
+    want = {f"c{i:03d}": "c100" for i in range(100)} | dict.fromkeys(["z0", "z1", "z2", "a0", "a1"], "z0") | {"s": "s", "n0": "n1", "n1": None}
+    assert len(found) == len(pairs) and {r["old"]: r["new"] for r in found} == want
+
+
+def test_bridge_query_reads_all_rows(spark, tmp_path):
+    from parzelle.queries import queries
+
+    rows = [(1, 11, 1.0), (1, 12, 48.0), (2, 12, 50.0), (2, 13, 49.0), (3, 14, 7.0), (3, 15, 50.0), (4, 16, 3.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["component"]: r["merged"] for r in queries()["gra_bridge"](spark, str(tmp_path)).collect()}
+    assert found == {"11": "11", "12": "11", "13": "11", "14": "14", "15": "14", "16": "16"}
