@@ -110,10 +110,12 @@ def test_packing_covers_each_id_once(spark, plain):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = lambda t: tok.encode(t, add_special_tokens=False).ids
     rows = queries.op3_packing(spark, SF).collect()
-    assert check_pieces(rows, plain.items(), encode) == 0
-    by_doc = defaultdict(list)
+    assert check_pieces(rows, plain.items(), encode) < 0.005 * sum(r["length"] for r in rows)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    assert max(sum(r["loss"] for r in held) for held in by_sequence.values()) == packing.LOSS
     for doc, text in plain.items():
         own = np.array([*encode(text), 1], "<u4").tobytes()
         at = 0
@@ -125,22 +127,23 @@ def test_packing_covers_each_id_once(spark, plain):
 
 def test_packing_of_odd_rows(odd, none, library):
     rows = packing.pack_documents(odd, RANKS, PATTERN).collect()
-    assert check_pieces(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], library.encode_ordinary) == 0
+    assert check_pieces(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], library.encode_ordinary) <= packing.PAD * len(rows)
     assert packing.pack_documents(none, RANKS, PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("limits", [(2048, 256, 2048), (64, 3, 40), (10, 2, 3), (5, 1, 1)])
-def test_pack_keeps_all_limits(limits):
+@pytest.mark.parametrize(("pad", "least"), [(0, 1), (64, 32), (3, 2)])
+@pytest.mark.parametrize("limits", [(2048, 256, 2048), (2048, 12, 2040), (64, 3, 40), (10, 2, 3), (5, 1, 1)])
+def test_pack_keeps_all_limits(limits, pad, least):
     r = random.Random(sum(limits))
-    for _ in range(30):
+    for _ in range(30 if limits[0] > 20 else 2):
         pieces = [(i, 0, n := r.choice([1, 2, 5, 700, 3000, r.randrange(1, 300)]), r.randrange(n + 1)) for i in range(r.randrange(60))]
-        done, left = packing.pack(pieces, limits)
+        done, left = packing.pack(pieces, limits, pad=pad, least=least)
         assert not left
         parts = defaultdict(list)
         for sequence in done:
             total = sum(p[2] for p in sequence)
             assert total <= limits[0] and len(sequence) <= limits[1] and sum(p[3] for p in sequence) <= limits[2]
-            assert total == limits[0] or total & (total - 1) == 0
+            assert limits[0] - total <= pad or total & (total - 1) == 0
             for p in sequence:
                 parts[p[0]].append(p)
         for item, _, n, loss in pieces:
@@ -151,6 +154,27 @@ def test_pack_keeps_all_limits(limits):
             assert at == n and sum(p[3] for p in parts[item]) == loss
 
 
+def test_choice_is_the_largest_dot_product():
+    """Items that all fit some sequence: what each sequence gets, item by item, against a search of all items left."""
+    r = random.Random(4)
+    limits = (100, 5, 60)
+    for _ in range(40):
+        pieces = [(i, 0, n := r.randrange(1, 60), r.randrange(n + 1)) for i in range(r.randrange(1, 50))]
+        # least is larger than any item, so nothing is cut to fill a rest; pad lets every sequence end where it does
+        done, _ = packing.pack(pieces, limits, pad=100, least=1000)
+        rest = [p[2:] for p in pieces]
+        for sequence in done:
+            left = list(limits)
+            for _, _, n, loss in sequence:
+                score = lambda need: sum(a * b / c / c for a, b, c in zip((need[0], 1, need[1]), left, limits, strict=True))  # noqa: B023, E731
+                fitting = [x for x in rest if x[0] <= left[0] and x[1] <= left[2]]
+                assert abs(score((n, loss)) - max(map(score, fitting))) < 1e-9
+                rest.remove((n, loss))
+                left = [left[0] - n, left[1] - 1, left[2] - loss]
+            assert left[1] == 0 or not any(x[0] <= left[0] and x[1] <= left[2] for x in rest)
+        assert not rest
+
+
 def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(12)
