@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parzelle.functions import similarity
-from parzelle.operators.network import durable
+from parzelle.operators.lineage import durable
 
 
 def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, threshold: float, score=similarity.jaro_winkler) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parzelle.operators.lineage import durable
+
 
 def share_number(text: Column) -> Column:
     """Share as written in a register: a comma is a decimal point, >x is a little more than x, WO and MO are whole and majority ownership; what names no number is null."""
@@ -21,14 +21,6 @@ def strong_edges(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.where((F.col("share") >= threshold) | ((F.col("share") < threshold) & control)).distinct()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node, component (its smallest node). Labels spread along edges and then jump to the label of the label, so rounds grow with the logarithm of a chain's length; each round is joins and sums, and ends in a checkpoint."""
     e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))

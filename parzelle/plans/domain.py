@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parzelle.functions import similarity, text as T
 from parzelle.operators import classify, matching as M, network as N, relational as R, spatial as S
+from parzelle.operators.lineage import durable
 from parzelle.plans.registry import Tables, query
 
 c = F.col
@@ -192,13 +193,13 @@ def gra_cc(t: Tables) -> DataFrame:
 
 
 def labelled(t: Tables) -> DataFrame:
-    s = N.durable(strong(t))
+    s = durable(strong(t))
     return s.join(N.components(s, "a", "b").withColumnRenamed("node", "a"), "a")
 
 
 @query("gra_cc_nested")
 def gra_cc_nested(t: Tables) -> DataFrame:
-    return N.nested_components(N.durable(strong(t)), "a", "b", (25, 50))
+    return N.nested_components(durable(strong(t)), "a", "b", (25, 50))
 
 
 @query("gra_members", f"{_CC} SELECT component, count(*) AS members, string_agg(node, '|' ORDER BY node) AS names FROM cc GROUP BY 1")
