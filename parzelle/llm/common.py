@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from parzelle.operators.lineage import durable  # noqa: F401  (the operators here take it from this module)
+
 #: Rows that one call of a batch function sees at most; texts of a call are in memory together.
 BATCH_ROWS = 256
 #: Bytes of text after which a call gets no further rows.
@@ -19,13 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_unique(rows: DataFrame, named: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a table that has each key once, and in column n how many rows have it. Keys of over a thousandth
+    of all rows, a thousand at most, are sent to all tasks, so that their rows aren't dealt by the key."""
+    total = named.agg(F.sum(n)).first()[0] or 0
+    hot = named.where(F.col(n) * 1000 > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.where(F.col(n) * 1000 <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:

@@ -7,7 +7,10 @@ distinct: copies are folded before. A table's rows are shuffled by their agreein
 Within a group, pivot tables: the Hamming distances of every member to reference fingerprints are computed once. By the
 triangle inequality a pair whose distances to any pivot differ by more than the radius is no link; the first pivot sorts
 the members, so only a window of them is looked at, the next ones discard by the maximum coordinate difference, and the
-survivors are verified bit by bit. Links of a group come out as a forest that spans its classes: no more rows than members.
+survivors are verified bit by bit. Measured on sf0.1 (9,296 distinct fingerprints): of random pairs the first pivot
+keeps 58 %, eight 1.5 %, all 32 0.01 %; of the 507 pairs that meet in block tables 63 are left for verification, 38 link.
+Unrelated fingerprints lie 32 +/- 4 bits from any pivot, so the first pivot alone can't deal them out to tasks, which is
+what the block tables are for. Links of a group come out as a forest that spans its classes: no more rows than members.
 
 Hot groups. A group of more than `hot` members is not held: its rows pass through in numbered chunks, and a second
 shuffle brings each two chunks together in a tile of their own. So a task holds 2 * hot fingerprints and a batch at most, and no
@@ -29,7 +32,9 @@ from parzelle.llm import common
 PIVOTS = 32
 #: Groups up to here are handled together, pair by pair at equal offsets.
 SMALL = 8
-HOT = 100_000
+HOT = 20_000
+#: Members of a bucket of a block table, on average, that are thought few.
+FEW = 16
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -52,6 +57,14 @@ def table_masks(radius: int, extra: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def extra_blocks(rows: int, radius: int) -> int:
+    """As many blocks that must agree as keep unrelated fingerprints of so many rows apart: two, and more for billions of rows."""
+    extra = 2
+    while extra < 6 and rows / 2.0 ** (64 * extra / (radius + extra)) > FEW:
+        extra += 1
+    return extra
+
+
 def distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8)
 

@@ -10,7 +10,9 @@ The score is the predicted language's posterior, with the evidence scaled to tha
 doesn't saturate with length.
 
 Cases. Null texts, and texts without a letter, are `und` with score 0; so is everything if no labelled row was given.
-Ties go to the language that sorts first. Rows whose id is null are not learned from. Repeated rows count each.
+Ties go to the language that sorts first. Rows whose id is null are not learned from. Repeated rows count each. Very
+long texts are scored in parts of AT_ONCE n-grams. An empty table gives no rows. Only the id, text and language columns
+are read, so others can have any names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parzelle.llm import common
@@ -28,6 +31,10 @@ BUCKETS, ORDERS = 1 << 16, 3
 #: Labelled rows that are learned from, on average.
 SAMPLE_ROWS = 20_000
 SMOOTHING, EVIDENCE = 0.5, 25.0
+#: The least score of a language that counts as known.
+LEAST = 0.5
+#: Languages whose counts a task holds at once, whatever the table has.
+LANGS_HELD = 64
 #: n-grams that are gathered at once.
 AT_ONCE = 1 << 17
 UNKNOWN = "und"
@@ -89,14 +96,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, held in sums.items():
+                some = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for part in common.slices(batches, "text"):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                held = sums.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
+                if lang not in sums:
+                    if len(sums) >= LANGS_HELD:
+                        yield from flush()
+                    sums[lang] = np.zeros(BUCKETS + 1, dtype=np.int64)
+                held = sums[lang]
                 held[:-1] += np.bincount(buckets(prepare(text)), minlength=BUCKETS)
                 held[-1] += 1
-        for lang, held in sums.items():
-            some = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], names=["lang", "bucket", "n"])
+        yield from flush()
 
     found = picked.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
@@ -161,13 +177,17 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return common.map_texts(df, id_col, text_col, make, "lang_pred string, score double", keep)
 
 
-def keep_known(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, whose language is known with a score of at least `least`."""
+def keep_known(df: DataFrame, model: Model, least: float = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, with all columns, whose language is known with a score of at least `least`; a null language becomes the predicted one."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, text_col):
-            langs, scores = score_batch(part.column(part.schema.get_field_index(text_col)).to_pylist(), shared.value)
-            yield part.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)]))
+            langs, scores = score_batch(part.column(text_at).to_pylist(), shared.value)
+            cols = list(part.columns)
+            cols[lang_at] = pc.coalesce(cols[lang_at], pa.array(langs, cols[lang_at].type))
+            filled = pa.RecordBatch.from_arrays(cols, names=part.schema.names)
+            yield filled.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -16,10 +16,10 @@ into chunks, and each two chunks meet in a tile of their own: no pair is lost, n
 
 Links run between sets, which have numbers of their own, so an id with several texts never ties their classes together.
 
-Cases. Null, empty and blank texts have no shingle and are one class; fewer words than a shingle are one shingle. Rows
-of one id with different texts have the class of their own text each, also if it names more than one. A null id never
-names a class: it has that of a like text with an id, else null. An empty table gives no rows. Only the id and text
-columns are read.
+Cases. Null, empty and blank texts have no shingle and are one class; fewer words than a shingle are one shingle. Very
+long texts are hashed in parts. Rows of one id with different texts have the class of their own text each, also if it
+names more than one. A null id names a class only if no member has an id. An empty table gives no rows. Only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parzelle.llm import common, hamming
 from parzelle.llm.neardup import SEED, shingle_hashes
@@ -153,13 +153,14 @@ def group_links(starts: np.ndarray, prints: np.ndarray, sizes: np.ndarray, simil
     return np.concatenate(froms), np.concatenate(tos)
 
 
-def text_key(text) -> Column:
-    """Tells the texts of one id apart."""
-    return F.xxhash64(text.cast("string"))
+def row_key(doc, text) -> Column:
+    """Of an id and a text, 16 bytes; null is like an empty text, and a null id like no other."""
+    parts = F.concat(F.when(doc.isNull(), "-").otherwise(F.concat(F.lit("+"), doc.cast("string"))), F.lit("\n"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.unhex(F.md5(parts.cast("binary")))
 
 
 def described(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, which (the text's key), digest, n, keys, print."""
+    """id, which (the key of id and text), digest, n, keys, print."""
 
     def make():
         def run(texts: pa.Array) -> dict:
@@ -169,7 +170,8 @@ def described(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
         return run
 
     text = F.col(f"`{text_col}`").cast("string")
-    picked = df.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("which"), text.alias("text"))
+    doc = F.col(f"`{id_col}`")
+    picked = df.select(doc.alias("id"), row_key(doc, text).alias("which"), text.alias("text"))
     return common.map_texts(picked, "id", "text", make, "digest binary, n long, keys array<long>, print binary", keep=("which",))
 
 
@@ -280,28 +282,31 @@ def _classes(df: DataFrame, words: int, similarity: float, hot: int, chunk: int,
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0, and 1 at most")
     every = common.durable(described(df, words, id_col, text_col))
-    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "which")))
-    one = every.groupBy("digest").agg(first.alias("first"), F.min_by(F.struct("n", "keys", "print"), "digest").alias("set"))
-    sets = common.durable(one.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "set.*"))
-    loose = hamming.components(loose_links(sets.where("first IS NOT NULL AND n > 0"), similarity, hot))
-    loose = common.durable(loose.join(sets.select("node", "first.*", "n"), "node"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "which"))
+    one = every.groupBy("digest").agg(first.alias("first"), F.min_by(F.struct("n", "keys", "print"), "digest").alias("set"), F.count(F.lit(1)).alias("copies"))
+    sets = common.durable(one.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "copies", "set.*"))
+    loose = hamming.components(loose_links(sets.where("n > 0"), similarity, hot))
+    loose = common.durable(loose.join(sets.select("node", "first.which", "n"), "node"))
     held = loose.groupBy("root").agg(F.sum("n").alias("n"))
     members = pair_chunks(loose.drop("n").join(held, "root"), F.ceil(F.col("n") / chunk), "node").drop("n")
     text = F.col(f"`{text_col}`").cast("string")
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("which"), text.alias("text")).join(members, ["id", "which"])
+    # a row may be repeated very often: of its copies one from each task goes through the shuffle, and one stays
+    once = Window.partitionBy("which").orderBy("which")
+    texts = df.select(row_key(F.col(f"`{id_col}`"), text).alias("which"), text.alias("text")).withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
+    texts = texts.join(members.select("which", "node", "root", "i", "j"), "which").drop("which")
     member = hamming.components(exact_links(texts, words, similarity))
-    named = sets.select("node", "digest", "first").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = sets.select("node", "digest", "first", "copies").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    return every, named.join(heads, "root").select("root", "digest", "head")
+    return every, named.join(heads, "root").select("root", "digest", "copies", "head")
 
 
 def near_copies(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id (the smallest id reachable)."""
     every, named = _classes(df, words, similarity, hot, chunk, id_col, text_col)
-    return every.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), F.col("head.id").alias("component_id"))
+    return common.join_unique(every.select("id", "digest"), named.drop("root"), "digest", "copies").select(F.col("id").alias(id_col), F.col("head.id").alias("component_id"))
 
 
 def heads(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, which: of each class that has an id the row to keep, by its id and text_key()."""
+    """id, which: of each class the row to keep, by its id and row_key(): the smallest id; null if no member has one."""
     _, named = _classes(df, words, similarity, hot, chunk, id_col, text_col)
-    return named.where("head IS NOT NULL").select("root", "head.*").distinct().select(F.col("id").alias(id_col), "which")
+    return named.select("root", "head.id", "head.which").distinct().select(F.col("id").alias(id_col), "which")

@@ -6,8 +6,8 @@ Documents link if their fingerprints differ in few bits, and form classes by cha
 
 Only ids and fingerprints are shuffled. Copies are folded to one fingerprint before pairs are sought.
 
-Cases. Null, empty and blank texts have fingerprint zero, which links like any other. Repeated rows are one class. A
-null id never names a class unless all its members' ids are null. An empty table gives no rows. Only the id and text
+Cases. Null, empty and blank texts have fingerprint zero, which links like any other. Very long texts are hashed in
+parts. Repeated rows are one class. A null id never names a class unless all its members' ids are null. An empty table gives no rows. Only the id and text
 columns are read.
 """
 
@@ -59,17 +59,18 @@ def fingerprints(df: DataFrame, words: int = WORDS, seed: int = SEED, id_col: st
     return common.map_texts(df, id_col, text_col, make, "fp long")
 
 
-def classes(prints: DataFrame, radius: int = RADIUS, extra: int = 2, hot: int = hamming.HOT, id_col: str = "doc_id") -> DataFrame:
+def classes(prints: DataFrame, radius: int = RADIUS, extra: int | None = None, hot: int = hamming.HOT, id_col: str = "doc_id") -> DataFrame:
     """id, fp, component_id (the smallest id reachable) for a table of id and fp."""
-    folded = common.durable(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
+    folded = common.durable(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")))
+    extra = extra or hamming.extra_blocks(folded.count(), radius)
     member = hamming.components(hamming.links(folded.select("fp"), radius, extra, hot))
     known = folded.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(heads, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col(id_col), "fp", "component_id")
+    named = known.join(heads, "root").select("fp", "n", "component_id")
+    return common.join_unique(prints, named, "fp", "n").select(F.col(id_col), "fp", "component_id")
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS, extra: int = 2, hot: int = hamming.HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS, extra: int | None = None, hot: int = hamming.HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, component_id."""
     return classes(common.durable(fingerprints(df, words, SEED, id_col, text_col)), radius, extra, hot, id_col)
 

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parzelle.llm import nearcopies
 from similar import closure, jaccard, wanted
@@ -136,3 +137,31 @@ def test_classes_of_an_id_with_several_texts(spark):
     x, y = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
     df = spark.createDataFrame([(3, y + " end"), (9, y), (9, x), (11, x)], "doc_id long, text string")
     assert sorted(map(tuple, nearcopies.near_copies(df).collect())) == [(3, 3), (9, 3), (9, 9), (11, 9)]
+
+
+def test_rows_without_an_id_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{k}{i}" for i in range(60)) for k in "xyz")
+    rows = [(None, x), (None, x), (None, x + " end"), (5, y), (None, y), (None, z), (None, None), (7, ""), (None, z)]
+    docs = spark.createDataFrame([(i, t, "keep", 3, "s", "w", i) for i, t in rows], "doc_id long, text string, _nth string, nth int, which string, id string, HELD long").repartition(4)
+    found = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert found.columns == docs.columns
+    found = found.collect()
+    assert all(r["_nth"] == "keep" and r["nth"] == 3 and r["which"] == "s" and r["id"] == "w" for r in found)
+    texts = {(r["doc_id"], r["text"]) for r in found}
+    assert len(found) == len(texts) == 4
+    assert {(5, y), (7, ""), (None, z)} <= texts and (texts - {(5, y), (7, ""), (None, z)}) < {(None, x), (None, x + " end")}
+    # each text is in a class of which exactly one text is kept
+    classes = wanted(dict(enumerate(t for _, t in rows)))
+    assert len(set(classes.values())) == 4
+    # classes: a null id names one only where nobody has an id
+    ids = {(r["doc_id"], r["component_id"]) for r in nearcopies.near_copies(docs).collect()}
+    assert ids == {(None, None), (5, 5), (None, 5), (7, 7), (None, 7)}
+
+
+def test_a_row_repeated_very_often(spark):
+    x = " ".join(f"x{i}" for i in range(60))
+    docs = spark.range(3000).selectExpr("1 AS doc_id").withColumn("text", F.lit(x)).union(spark.createDataFrame([(2, x + " end"), (3, "other")], "doc_id long, text string"))
+    rows = nearcopies.heads(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 3]
