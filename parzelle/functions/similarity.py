@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -38,39 +40,62 @@ def winkler(a: str, b: str) -> float:
 
 
 def ratio(a: str, b: str) -> int:
-    """0 to 100: twice the longest common subsequence by both lengths."""
-    if not a and not b:
-        return 0
-    if not a or not b:
+    """0 to 100: twice the letters of the longest common stretches, found one after the other, by both lengths."""
+    if a == b:
+        return 100
+    return round(100 * SequenceMatcher(None, a, b).ratio()) if a and b else 0
+
+
+def partial_ratio(a: str, b: str) -> int:
+    """The best ratio of the shorter text with a stretch, as long, of the longer one that begins where a common stretch puts the shorter one's begin."""
+    if a == b:
+        return 100
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
         return 0
-    # bit-parallel: a bit of the row is 0 where the subsequence grows
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        u = row & masks.get(c, 0)
-        row = (row + u | row - u) & full
-    return round(200 * (len(a) - row.bit_count()) / (len(a) + len(b)))
+    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long).get_matching_blocks()}
+    best = max(SequenceMatcher(None, short, long[s : s + len(short)]).ratio() for s in starts)
+    return 100 if best > 0.995 else round(100 * best)
 
 
-def token_set_ratio(a: str, b: str) -> int:
-    x, y = set(a.lower().split()), set(b.lower().split())
+def processed(text: str) -> str:
+    """ASCII alone, in lower case, with blanks for whatever is neither letter, digit nor underscore."""
+    return "".join(c if c.isalnum() or c == "_" else " " for c in text if c.isascii()).lower().strip()
+
+
+def _by_sets(a: str, b: str, score) -> int:
+    """Of two token sets: what is in both, against the same followed by what is in one alone; the best of all pairs."""
+    x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     one, two = (f"{both} {left}".strip(), f"{both} {right}".strip())
-    return max(ratio(both, one) if both else 0, ratio(both, two) if both else 0, ratio(one, two))
+    return max(score(both, one) if both else 0, score(both, two) if both else 0, score(one, two))
+
+
+def _in_order(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+def token_set_ratio(a: str, b: str) -> int:
+    return _by_sets(processed(a), processed(b), ratio)
 
 
 def token_sort_ratio(a: str, b: str) -> int:
-    return ratio(" ".join(sorted(a.lower().split())), " ".join(sorted(b.lower().split())))
+    return ratio(_in_order(processed(a)), _in_order(processed(b)))
 
 
 def weighted_ratio(a: str, b: str) -> int:
-    """The best of plain, token-sort and token-set ratio, the latter two a little less."""
-    return max(ratio(a.lower(), b.lower()), round(0.95 * token_sort_ratio(a, b)), round(0.95 * token_set_ratio(a, b)))
+    """0 to 100: the best of the plain ratio and, scaled down, those of sorted tokens and token sets (0.95); if one text
+    is one and a half times as long or more, partial ratios instead (0.9; 0.6 beyond eight times)."""
+    a, b = processed(a), processed(b)
+    if not a or not b:
+        return 0
+    base, longer = ratio(a, b), max(len(a), len(b)) / min(len(a), len(b))
+    if longer < 1.5:
+        return round(max(base, 0.95 * ratio(_in_order(a), _in_order(b)), 0.95 * _by_sets(a, b, ratio)))
+    scale = 0.6 if longer > 8 else 0.9
+    return round(max(base, scale * partial_ratio(a, b), 0.95 * scale * partial_ratio(_in_order(a), _in_order(b)), 0.95 * scale * _by_sets(a, b, partial_ratio)))
 
 
 def _pairs(f):

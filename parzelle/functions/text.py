@@ -50,12 +50,14 @@ def drop_last_part(text: Column, delimiter: str, keywords: list[str]) -> Column:
     return F.when((n > 1) & has_any(F.element_at(split, -1), keywords), F.array_join(F.slice(split, F.lit(1), n - 1), delimiter)).otherwise(text)
 
 
-def drop_word_and_next(text: Column, word: str) -> Column:
-    """Without the phrase made of the first occurrence of the word and the word after it."""
-    words = F.split(text, " ")
-    at = F.array_position(words, word)
-    phrase = F.array_join(F.slice(words, F.greatest(at, F.lit(1)).cast("int"), F.lit(2)), " ")
-    return F.when(at > 0, F.trim(F.replace(text, phrase, F.lit("")))).otherwise(text)
+def drop_word_and_next(text: Column, terms: str | list[str], words: int = 2) -> Column:
+    """For each term, without the phrase made of its first occurrence as a word and what follows, so many words in all; every occurrence of the phrase goes."""
+    for term in [terms] if isinstance(terms, str) else terms:
+        split = F.split(text, " ")
+        at = F.array_position(split, term)
+        phrase = F.array_join(F.slice(split, F.greatest(at, F.lit(1)).cast("int"), F.lit(words)), " ")
+        text = F.when(at > 0, F.trim(F.replace(text, phrase, F.lit("")))).otherwise(text)
+    return text
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -183,6 +185,103 @@ def bin_of(value: Column, edges: list[float], unknown: str) -> Column:
     return out
 
 
+def age_or_unknown(birth: Column, name: Column, klass: Column, oldest: int = 101, unknown_name: str = "unbekannt", unknown_class: int = 26) -> tuple[Column, Column, Column]:
+    """Age, name and class; who would be older than possible becomes an unknown owner."""
+    years = age(birth)
+    gone = years > oldest
+    return years, F.when(gone, F.lit(unknown_name)).otherwise(name), F.when(gone, F.lit(unknown_class)).otherwise(klass)
+
+
+#: Street and house number: a word, then a number with or without a suffix; or letters up to a number at the end.
+_STREET = r"(?U)^.+\s\d+(\s*[^\d\s]+)*$", r"[A-Za-z]+.*\d{1,4}$"
+#: Postcode and place, or a postcode.
+_PLACE = r"(?U)\d{4,5} \b\w+\b", r"\d{5}"
+#: What an owner without an address gets, as the register spells it.
+NO_ADDRESS = "unkown 1, 00000 unkown"
+
+
+def _first_of(parts_: Column, patterns: tuple[str, str]) -> Column:
+    """Of the parts, in order, the first that either pattern is found in; else empty."""
+    found = F.filter(parts_, lambda p: F.regexp_like(p, F.lit(patterns[0])) | F.regexp_like(p, F.lit(patterns[1])))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+
+def addresses_of(owner: Column, raw: Column) -> Column:
+    """The addresses of an owner in a raw entry: after each place where the owner stands, of the next two comma parts the street and the postcode with place. Alternatives, each once, in order, joined by _."""
+    rest = F.slice(F.split(raw, F.concat(F.lit("\\Q"), owner, F.lit("\\E"))), F.lit(2), F.lit(1 << 30))
+
+    def one(after: Column) -> Column:
+        two = F.slice(F.split(F.regexp_replace(after, "^,+|,+$", ""), ","), 1, 2)
+        both = F.trim(F.regexp_replace(F.concat(_first_of(two, _STREET), F.lit(","), _first_of(two, _PLACE)), "^,+|,+$", ""))
+        return F.when(F.length(both) > 1, both).otherwise(NO_ADDRESS)
+
+    # what stands between two occurrences is all that the first is followed by, as only two parts are looked at
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(rest, one))), "_")
+
+
+def all_addresses(owners_: Column, raw: Column) -> Column:
+    """Of each owner in a list, joined by ' | '."""
+    return F.array_join(F.transform(owners_, lambda o: addresses_of(o, raw)), " | ")
+
+
+def shortest_two(text: Column, joint: str = "_") -> tuple[Column, Column]:
+    """The two shortest alternatives; of equally long ones those that come first."""
+    trimmed = parts(text, joint)
+    ordered = F.array_sort(F.transform(trimmed, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))))
+    return F.get(ordered, F.lit(0))["x"], F.get(ordered, F.lit(1))["x"]
+
+
+def one_address(text: Column, alike: Column, threshold: float, joint: str = "_") -> Column:
+    """Of alternatives whose two shortest are more than `threshold` alike, the longer of these; else all, as they are. alike: the similarity of shortest_two()."""
+    return F.when(alike > threshold, shortest_two(text, joint)[1]).otherwise(text)
+
+
+def without_nobility(name: Column, words: list[str]) -> Column:
+    """A name 'family, given' whose family part has several words loses the first occurrence of each of the words there."""
+    family, given = F.get(F.split(name, ",", 2), F.lit(0)), F.get(F.split(name, ",", 2), F.lit(1))
+
+    def without(kept: Column, word: Column) -> Column:
+        at = F.array_position(kept, word).cast("int")
+        rest = F.concat(F.slice(kept, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(kept, at + 1, F.size(kept)))
+        return F.when((F.size(kept) > 1) & (at > 0), rest).otherwise(kept)
+
+    short = F.array_join(F.aggregate(F.array(*[F.lit(w) for w in words]), F.split(F.trim(family), " "), without), " ")
+    return F.when(given.isNull(), short).otherwise(F.concat(short, F.lit(","), given))
+
+
+def rule_chain(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Replacements by regular expression, one after the other."""
+    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
+
+
+def padded_postcode(text: Column, country: str = "DE") -> Column:
+    """The five digits of a postcode: without a country prefix, zeros in front of four digits; empty if there is none."""
+    plain = F.regexp_replace(F.trim(text), rf"^{country}-", "")
+    digits = F.regexp_extract(plain, r"(\d{4,5})", 1)
+    return F.when(F.length(digits) > 0, F.lpad(digits, 5, "0")).otherwise("")
+
+
+def separated(text: Column, n: int, delimiter: str = ",") -> list[Column]:
+    """n trimmed parts, the last with all that is left; null where there is none."""
+    split = F.split(text, "\\Q" + delimiter + "\\E", n)
+    return [F.trim(F.get(split, F.lit(i))) for i in range(n)]
+
+
+def by_length(array: Column) -> Column:
+    """Elements in order of their length, then of the alphabet."""
+    return F.transform(F.array_sort(F.transform(array, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda s: s["x"])
+
+
+def positions(array: Column, item) -> Column:
+    """All places of an item, from 0."""
+    return F.filter(F.transform(array, lambda x, i: F.when(x == item, i)), lambda i: i.isNotNull())
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key, b's value."""
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+
+
 def is_private(name: Column, keywords: list[str]) -> Column:
     """1 for a name with a comma and none of the keywords, else 2."""
     return F.when(F.contains(name, F.lit(",")) & ~has_any(F.lower(name), keywords), 1).otherwise(2)

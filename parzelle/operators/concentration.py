@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.ranks import at_percentile, ranked
+from parzelle.operators.ranks import at_percentile, bucket, known, ranked
 
 PERCENTILES = {"p40": 0.40, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -84,16 +84,42 @@ def theil_parts(df: DataFrame, unit: str, area: str, owner: str, klass: str) ->
     return out.withColumns({"theil_wg": F.col("theil_index") - F.col("theil_bg"), "theil_bs": F.try_divide("theil_bg", "theil_index")})
 
 
+def lorenz(df: DataFrame, unit: str, area: str, owner: str) -> DataFrame:
+    """unit, i, population, share: the points of each unit's Lorenz curve, from 0, 0."""
+    rows = ranked(df, [unit], area, owner).select(unit, "i", (F.col("i") / F.col("n")).alias("population"), F.try_divide("run", "tot").alias("share"))
+    zero = F.lit(0.0)
+    return rows.unionByName(df.where(F.col(area).isNotNull()).select(unit).distinct().select(unit, F.lit(0).cast("long").alias("i"), zero.alias("population"), zero.alias("share")))
+
+
 def weighted(df: DataFrame, unit: str, value: str, weight: str, tie: str) -> DataFrame:
-    """Gini and HHI of values with weights."""
-    order = Window.partitionBy(unit).orderBy(value, tie)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({"_w": F.sum(weight).over(run), "_xw": F.sum(F.col(value) * F.col(weight)).over(run), "_t": F.sum(value).over(Window.partitionBy(unit))})
-    rows = rows.withColumns({"_w0": F.lag("_w").over(order), "_xw0": F.lag("_xw").over(order)})
-    return rows.groupBy(F.col(unit).alias("unit")).agg(
-        F.try_divide(F.coalesce(F.sum(F.col("_xw") * F.col("_w0") - F.col("_xw0") * F.col("_w")), F.lit(0.0)), F.max("_xw") * F.max("_w")).alias("gini"),
-        (F.sum(F.pow(F.col(value) / F.col("_t"), 2) * F.col(weight)) * 10000).alias("hhi"),
+    """Gini, HHI and Lorenz asymmetry of values with weights; no unit is sorted in one task.
+
+    The Gini coefficient is a sum over neighbours in the order of the values, x and w being running sums of value times
+    weight and of weight: x[i] * w[i-1] - x[i-1] * w[i] = value[i] * weight[i] * w[i-1] - weight[i] * x[i-1]. Running
+    sums are those within a bucket plus the buckets before.
+    """
+    part = known(df, value).withColumn("_b", bucket(F.col(value))).withColumn("_x", F.col(value) * F.col(weight))
+    whole = Window.partitionBy(unit)
+    totals = part.groupBy(unit, "_b").agg(F.sum(weight).alias("_bw"), F.sum("_x").alias("_bx"), F.sum(value).alias("_bv"))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(unit, "_b", F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_w0"), F.coalesce(F.sum("_bx").over(before), F.lit(0)).alias("_x0"), F.sum("_bw").over(whole).alias("_w"), F.sum("_bx").over(whole).alias("_tx"), F.sum("_bv").over(whole).alias("_t"))
+    inside = Window.partitionBy(unit, "_b").orderBy(value, tie).rowsBetween(Window.unboundedPreceding, -1)
+    rows = part.withColumns({"_iw": F.coalesce(F.sum(weight).over(inside), F.lit(0)), "_ix": F.coalesce(F.sum("_x").over(inside), F.lit(0))}).join(totals, [unit, "_b"])
+    x, w, mu = F.col(value), F.col(weight), F.col("_tx") / F.col("_w")
+    rows = rows.withColumns({"_pw": F.col("_iw") + F.col("_w0"), "_px": F.col("_ix") + F.col("_x0"), "_mu": mu})
+    below, equal, above = x < F.col("_mu"), x == F.col("_mu"), x >= F.col("_mu")
+    some = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    out = rows.groupBy(F.col(unit).alias("unit")).agg(
+        F.try_divide(F.sum(F.col("_x") * F.col("_pw") - w * F.col("_px")), F.max("_tx") * F.max("_w")).alias("gini"),
+        (F.sum(F.pow(x / F.col("_t"), 2) * w) * 10000).alias("hhi"),
+        F.max("_mu").alias("_mu"), F.max("_w").alias("_w"), F.max("_tx").alias("_tx"),
+        some(below, w).alias("_m"), some(below, F.col("_x")).alias("_l"), some(equal, w).alias("_a"), some(equal, F.col("_x")).alias("_la"),
+        F.max(F.when(below, x)).alias("_xm"), F.min(F.when(above, x)).alias("_xm1"),
     )
+    delta = (F.col("_mu") - F.col("_xm")) / (F.col("_xm1") - F.col("_xm"))
+    apart = (F.col("_m") + delta) / F.col("_w") + (F.col("_l") + delta * F.col("_xm1")) / F.col("_tx")
+    tied = (F.col("_m") + F.col("_a") / 2) / F.col("_w") + (F.col("_l") + F.col("_la") / 2) / F.col("_tx")
+    return out.select("unit", "gini", "hhi", F.when(F.col("_a") > 0, tied).otherwise(apart).alias("lac"))
 
 
 def rank_percent(k: Column, n: Column) -> Column:

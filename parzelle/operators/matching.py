@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from parzelle.functions import similarity
 from parzelle.operators.lineage import durable
+from parzelle.operators.ranks import places
 
 
-def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, threshold: float, score=similarity.jaro_winkler) -> DataFrame:
-    """For each left row the best right text of its block, at least `threshold` alike; ties go to the smallest text. Equal texts are scored once."""
-    a = left.select(block, text).distinct()
-    b = right.select(block, F.col(text).alias("match")).where("match IS NOT NULL").distinct()
-    scored = a.join(b, block).withColumn("score", score(F.col(text), F.col("match"))).where(F.col("score") >= threshold)
-    best = scored.groupBy(block, text).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("match").alias("m"))).alias("_b"))
-    return left.join(best, [block, text], "left").select(*left.columns, F.col("_b.m").alias("match"), (-F.col("_b.s")).alias("score"))
+#: Texts of a block's right side that one task compares; larger blocks are dealt into as many parts as they need.
+BLOCK = 5_000
+
+
+def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, threshold, score=similarity.jaro_winkler, shortest: float = 0.0, strict: bool = False) -> DataFrame:
+    """For each left row the best right text of its block, at least `threshold` alike (strict: more); ties go to the smallest text.
+
+    Equal texts are scored once. threshold: a number, or the name of a left column. shortest: texts whose lengths differ
+    more than by this factor can't be alike enough and aren't scored; for Jaro-Winkler at 0.93 that is 0.65, since the
+    plain Jaro value must be 1 - 0.07 / 0.6 at least and is (2 + shorter / longer) / 3 at most. They meet by bands of
+    lengths, each neighbouring two of which cover the factor. The right side of a large block is dealt into parts, each
+    of which meets all left texts, so no task has a whole hot block.
+    """
+    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    band = lambda c: F.floor(F.ln(F.length(c)) / -F.ln(F.lit(shortest))) if shortest else F.lit(0)
+    a = left.where(F.col(text).isNotNull()).select(block, text, limit.alias("_limit")).distinct().withColumn("_w", F.explode(F.array(*[band(F.col(text)) + d for d in ((-1, 0, 1) if shortest else (0,))])))
+    b = right.where(F.col(text).isNotNull()).select(block, F.col(text).alias("match")).distinct().withColumn("_w", band(F.col("match")))
+    parts = b.groupBy(block, "_w").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    a = a.join(parts, [block, "_w"]).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    b = b.join(parts, [block, "_w"]).withColumn("_p", F.pmod(F.xxhash64("match"), F.col("_parts")).cast("int")).drop("_parts")
+    pairs = a.join(b, [block, "_w", "_p"])
+    if shortest:
+        n, m = F.length(text), F.length("match")
+        pairs = pairs.where(F.least(n, m) >= F.greatest(n, m) * (shortest - 1e-9))
+    scored = pairs.withColumn("score", score(F.col(text), F.col("match")))
+    scored = scored.where(F.col("score") > F.col("_limit") if strict else F.col("score") >= F.col("_limit"))
+    best = scored.groupBy(block, text, "_limit").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("match").alias("m"))).alias("_b"))
+    return left.withColumn("_limit", limit).join(best, [block, text, "_limit"], "left").select(*left.columns, F.col("_b.m").alias("match"), (-F.col("_b.s")).alias("score"))
 
 
 def canonical_names(counted: DataFrame, name: str, freq: str, threshold: float, reach: int = 20, score=similarity.token_set) -> DataFrame:
     """name, canonical: in alphabetical order, the most frequent of a name and those of the next reach - 1 that are more than `threshold` alike; ties go to the first.
 
-    Names are numbered in two levels, by their first characters, so that no task sorts them all; neighbours then meet
-    through blocks of `reach` numbers.
+    Names are numbered through sampled ranges, so that no task sorts them all; neighbours then meet through blocks of
+    `reach` numbers.
     """
-    heads = counted.groupBy(F.substring(name, 1, 3).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = counted.withColumn("_h", F.substring(name, 1, 3)).withColumn("_i", F.row_number().over(Window.partitionBy("_h").orderBy(name)))
-    rows = rows.join(heads, "_h").select(F.col(name).alias("name"), F.col(freq).alias("freq"), (F.col("_i") + F.col("_before")).alias("rn"))
+    rows = places(counted.select(F.col(name).alias("name"), F.col(freq).alias("freq")), "name").withColumnRenamed("place", "rn")
     block = F.floor(F.col("rn") / reach)
     ahead = rows.select(F.col("name").alias("other"), F.col("freq").alias("other_freq"), F.col("rn").alias("other_rn"), F.explode(F.array(block, block - 1)).alias("_b"))
     near = rows.withColumn("_b", block).join(ahead, "_b").where((F.col("other_rn") > F.col("rn")) & (F.col("other_rn") < F.col("rn") + reach))
@@ -41,6 +60,16 @@ def containing(people: DataFrame, names: DataFrame, first: str, last: str, name:
     return people.join(words, F.lower(people[last]) == words["_w"]).where(F.contains(F.lower(F.col(name)), F.lower(F.col(first)))).drop("_w").distinct()
 
 
+def parts_containing(people: DataFrame, names: DataFrame, first: str, last: str, name: str, gram: int = 3) -> DataFrame:
+    """As containing(), but the last name may be any part of the name: blocked by the last name's first letters, which
+    are some `gram` neighbouring letters of the name. Shorter last names meet by their whole length."""
+    low = F.lower(F.col(name))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    every = names.select(name, F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, gram + 1)])))).alias("_g"))
+    who = people.withColumn("_g", F.substring(F.lower(F.col(last)), 1, gram)).where(F.length("_g") > 0)
+    return who.join(every, "_g").where(F.contains(low, F.lower(F.col(last))) & F.contains(low, F.lower(F.col(first)))).drop("_g").distinct()
+
+
 def with_overrides(df: DataFrame, overrides: DataFrame, key: str, old: str, columns: dict[str, str]) -> DataFrame:
     """Columns replaced where a table of corrections has the old key and a new value; of several corrections the smallest counts."""
     best = overrides.groupBy(F.col(old).alias("_old")).agg(*[F.min(new).alias(f"_{c}") for c, new in columns.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parzelle.operators.lineage import durable
+from parzelle.operators.relational import joined
 
 
 def share_number(text: Column) -> Column:
@@ -39,20 +40,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             return labels
 
 
-def nested_components(edges: DataFrame, left: str, right: str, thresholds: tuple[float, ...]) -> DataFrame:
-    """Edges with community_0 and, for each threshold, community_T: that of the strong edges inside it, numbered by their smallest node; null where the edge is too weak."""
-    whole = components(edges, left, right)
-    out = edges.join(whole.withColumnRenamed("node", left), left).withColumnRenamed("component", "community_0")
-    for t in thresholds:
-        strong = strong_edges(edges, t)
-        sub = components(strong, left, right).join(whole.withColumnRenamed("component", "c0"), "node")
-        names = sub.select("c0", "component").distinct().withColumn("nr", F.dense_rank().over(Window.partitionBy("c0").orderBy("component")))
-        label = sub.join(names, ["c0", "component"]).select(F.col("node").alias(left), F.concat_ws("_", "c0", F.col("nr").cast("string")).alias("_l"))
-        held = strong.select(left, right).distinct().withColumn("_s", F.lit(1))
-        out = out.join(label, left, "left").join(held, [left, right], "left").withColumn(f"community_{t:g}", F.when(F.col("_s") == 1, F.col("_l"))).drop("_l", "_s")
-    return out
-
-
 def ultimate_owners(edges: DataFrame, component: str, left: str, right: str) -> DataFrame:
     """component, owner. Targets of "mother company" edges that are no source of one; else, without such edges, targets of the largest share; else all targets. Several are joined."""
     plain = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
@@ -66,7 +53,7 @@ def ultimate_owners(edges: DataFrame, component: str, left: str, right: str) ->
     rest = edges.select(component, F.col(right).alias("o"), F.lit(3).alias("p"))
     found = top.unionByName(circle).unionByName(largest).unionByName(rest)
     best = found.groupBy(component).agg(F.min("p").alias("p"))
-    return found.join(best, [component, "p"]).groupBy(component).agg(F.array_join(F.array_sort(F.collect_set("o")), " AND ").alias("owner"))
+    return joined(found.join(best, [component, "p"]), component, "o", " AND ").select(component, F.col("names").alias("owner"))
 
 
 def depth(edges: DataFrame, component: str, left: str, right: str) -> DataFrame:
@@ -84,7 +71,7 @@ def members(edges: DataFrame, component: str, left: str, right: str) -> DataFram
 def in_several(edges: DataFrame, component: str, left: str, right: str) -> DataFrame:
     """Members of more than one component: how many and which."""
     held = members(edges, component, left, right).where(F.col(component).isNotNull())
-    return held.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(component).cast("string"))), "|").alias("components")).where("n > 1")
+    return joined(held.withColumn(component, F.col(component).cast("string")), "member", component, "|").where("n > 1").withColumnRenamed("names", "components")
 
 
 def bridge(held: DataFrame, member: str, component: str) -> DataFrame:
@@ -100,12 +87,6 @@ def merged_relations(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("company", "connection").agg(F.min(F.struct(rank.alias("r"), F.col("attribute")))["attribute"].alias("attribute"), F.max("share").alias("share"), F.max(F.when(F.col("ismanager") == "yes", "yes").otherwise("no")).alias("ismanager"), F.max(F.when(F.length("location") > 0, F.col("location"))).alias("location"))
 
 
-def directed(rows: DataFrame) -> DataFrame:
-    """Edges from company to holder for positive distance, from connection to company for subsidiaries."""
-    below = F.col("distance") < 0
-    return rows.select(F.when(below, F.col("connection")).otherwise(F.col("company")).alias("conn_left"), F.when(below, F.col("company")).otherwise(F.col("connection")).alias("conn_right"), *[c for c in rows.columns if c not in ("company", "connection")])
-
-
 def chain_edges(rows: DataFrame, company: str, level: str, name: str) -> DataFrame:
     """From a company's ranked holders to edges of neighbouring levels."""
     order = Window.partitionBy(company).orderBy(level, name)

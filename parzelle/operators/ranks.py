@@ -1,13 +1,19 @@
-"""Ranks, running sums and percentiles of groups of any size.
+"""Ranks, running sums, percentiles and places of groups of any size.
 
 A window over a whole group sorts it in one task. Here a group is dealt into buckets that follow the order of the
-value; ranks and sums within a bucket are added to what the buckets before hold, of which there are few.
+value; ranks and sums within a bucket are added to what the buckets before hold, of which there are few. Rows of a group
+that share one value are one bucket, so where very many may do so, percentiles() is the way: it counts each value once.
+places() numbers rows by any columns through sampled ranges, which Spark sorts one by one.
+
+Null and NaN values have no rank and are left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parzelle.operators.lineage import durable
+
 #: Buckets to a doubling of the value.
 PER_DOUBLING = 64
 
@@ -18,9 +24,54 @@ def bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(0).cast("long")
 
 
+def known(df: DataFrame, value: str) -> DataFrame:
+    """The rows whose value is neither null nor NaN."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """A row for each group with the linearly interpolated percentile at each share, by name."""
+    cuts = percentile_list(df, group, value, list(shares.values()))
+    return cuts.select(*group, *[F.col("cuts")[i].alias(name) for i, name in enumerate(shares)])
+
+
+def percentile_list(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """group, cuts: the linearly interpolated percentiles at the shares, as an array. Equal values are counted together, then dealt into buckets; only the values at the ranks that are needed go on."""
+    counted = known(df.withColumn(value, F.col(value).cast("double")), value).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket(F.col(value)))
+    totals = counted.groupBy(*group, "_b").agg(F.sum("_c").alias("_n"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "n": F.sum("_n").over(whole)})
+    up = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    within = counted.withColumn("_upto", F.sum("_c").over(up))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}"))
+    rows = within.alias("x").join(totals.alias("y"), same & (F.col("x._b") == F.col("y._b"))).select("x.*", "y.n", "y._before")
+    last = F.col("_upto") + F.col("_before")
+    place = lambda s: (F.col("n") - 1) * s
+    hit = lambda k: (last - F.col("_c") <= k) & (k < last)
+    each = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s, i: F.struct(i.alias("i"), (place(s) - F.floor(place(s))).alias("part"), F.when(hit(F.floor(place(s))), F.col(value)).alias("low"), F.when(hit(F.ceil(place(s))), F.col(value)).alias("high")))
+    some = F.explode(F.filter(each, lambda x: x["low"].isNotNull() | x["high"].isNotNull()))
+    found = rows.select(*group, some.alias("_p")).select(*group, "_p.*").groupBy(*group, "i").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("part").alias("part"))
+    cut = F.struct("i", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("v"))
+    return found.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(cut)), lambda x: x["v"]).alias("cuts"))
+
+
+def places(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds place (from 1) in the order of the columns. Ranges between sampled boundaries are sorted each for itself; a range's first place is the count of rows before it."""
+    dealt = durable(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_m", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each range
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_p", part).join(F.broadcast(counts), "_p").select(*df.columns, (within + F.col("_before") + 1).cast("long").alias("place"))
+
+
 def ranked(df: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:
     """Adds i (1 = smallest), k (1 = largest, ties by `tie` ascending), n, tot and run (sum up to and with i)."""
-    part = df.where(F.col(value).isNotNull()).withColumn("_b", bucket(F.col(value)))
+    part = known(df, value).withColumn("_b", bucket(F.col(value)))
     totals = part.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parzelle.operators.ranks import known, percentiles, places
+
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in the order."""
@@ -92,11 +94,12 @@ def skew(value: str) -> Column:
 
 
 def describe(df: DataFrame, columns: list[str], percents: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """A row for each column: count, mean, std, min, percentiles, max."""
+    """A row for each column: count, mean, std, min, percentiles, max. Null and NaN values don't count."""
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns]))
-    cuts = F.percentile("v", F.array(*[F.lit(p) for p in percents]))
-    out = df.select(stack.alias("x")).select("x.*").groupBy("variable").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), cuts.alias("_p"), F.max("v").alias("max"))
-    return out.select("variable", "count", "mean", "std", "min", *[F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(percents)], "max")
+    long = known(df.select(stack.alias("x")).select("x.*"), "v")
+    out = long.groupBy("variable").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    cuts = percentiles(long, ["variable"], "v", {f"p{round(p * 100)}": p for p in percents})
+    return out.join(cuts, "variable").select("variable", "count", "mean", "std", "min", *[f"p{round(p * 100)}" for p in percents], "max")
 
 
 def correlations(df: DataFrame, columns: list[str], least: float = 0.2) -> DataFrame:
@@ -124,11 +127,70 @@ def stretch(df: DataFrame, names: str, others: str, drop: str, areas: list[str])
     return held.select(*[c for c in df.columns if c not in (names, others)], "n_owners", F.inline("_z"))
 
 
+def top_words(df: DataFrame, key: str, text: str, stop: DataFrame, n: int, longer_than: int = 2) -> DataFrame:
+    """key, words: the most frequent words of each key's texts without stop words (a column word), joined by |; ties go to the alphabet."""
+    words = df.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("word")).where(F.length("word") > longer_than).join(F.broadcast(stop), "word", "left_anti")
+    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
+    best = counted.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_n"), "word"))).where(F.col("_r") <= n)
+    return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "word"))), lambda x: x["word"]), "|").alias("words"))
+
+
+def transposed(df: DataFrame, key: str, values: list) -> DataFrame:
+    """Columns become rows (variable) and the key's values columns; the table has a row for each key."""
+    numbers = [c for c in df.columns if c != key]
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("v")) for c in numbers])).alias("x")).select(key, "x.*")
+    return long.groupBy("variable").pivot(key, values).agg(F.first("v"))
+
+
+def natural(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on all columns that both tables have."""
+    keys = [c for c in left.columns if c in right.columns]
+    if not keys:
+        raise ValueError("the tables have no column in common")
+    return left.join(right, keys, how)
+
+
+def looked_up(df: DataFrame, key: str, names: DataFrame, names_key: str, value: str, out: str) -> DataFrame:
+    """A column from a dictionary table, null where it has no entry; of a key's entries the smallest. Spark sends the dictionary to all tasks if it is small."""
+    one = names.groupBy(F.col(names_key).alias("_k")).agg(F.min(value).alias(out))
+    return df.join(one, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def in_given_order(df: DataFrame, column: str, values: list, then: str) -> DataFrame:
+    """place: rows by a list of values, others after them, then by another column."""
+    at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
+    rank = F.when(F.coalesce(at, F.lit(0)) == 0, F.lit(len(values) + 1)).otherwise(at)
+    return places(df.withColumn("_o", rank), "_o", column, then).drop("_o")
+
+
+def every_unit(df: DataFrame, key: str, units: DataFrame) -> DataFrame:
+    """A row for each unit, with 0 where the table has none."""
+    return units.select(key).distinct().join(df, key, "left").fillna(0)
+
+
+def processed_half(df: DataFrame, done: Column, first, second) -> DataFrame:
+    """Rows that a condition holds for go through one function, all others through another; both halves together again."""
+    is_done = F.coalesce(done, F.lit(False))
+    return first(df.where(is_done)).unionByName(second(df.where(~is_done)), allowMissingColumns=True)
+
+
+def repeated(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """repeated: 0 for the first row of each key in the order, 1 for those after it."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_f"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    return df.alias("x").join(first.alias("y"), same).select("x.*", (~F.struct(*[F.col(f"x.{o}") for o in order]).eqNullSafe(F.col("y._f"))).cast("int").alias("repeated"))
+
+
+def joined(df: DataFrame, key: str, value: str, joint: str, most: int = 10_000) -> DataFrame:
+    """key, n, names: the distinct values of each key, in order, joined. A key with more than `most` has null, so no row grows without bound; its values are the table's rows."""
+    each = df.where(F.col(value).isNotNull()).select(key, value).distinct()
+    sizes = each.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    names = each.join(sizes.where(F.col("n") <= most).select(key), key, "left_semi").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(value)), joint).alias("names"))
+    return sizes.join(names, key, "left")
+
+
 def chunks(df: DataFrame, column: str, size: int = 1000) -> DataFrame:
-    """Distinct values in order, numbered in chunks of a fixed size. Values are dealt by their first characters, so no task sorts them all."""
-    values = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_h", F.substring(column, 1, 3))
-    before = Window.partitionBy(F.lit(0)).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    heads = values.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = values.withColumn("_i", F.row_number().over(Window.partitionBy("_h").orderBy(column)))
-    place = F.col("_i") + F.col("_b")
-    return within.join(heads, "_h").select(column, place.cast("long").alias("place"), (F.floor((place - 1) / size) + 1).cast("long").alias("chunk"))
+    """Distinct values in order, numbered in chunks of a fixed size. Values are dealt by sampled ranges, so no task sorts them all."""
+    return places(df.where(F.col(column).isNotNull()).select(column).distinct(), column).withColumn("chunk", (F.floor((F.col("place") - 1) / size) + 1).cast("long"))

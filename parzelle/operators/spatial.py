@@ -106,3 +106,114 @@ def regional(df: DataFrame, owner: str, unit: str, neighbours: DataFrame) -> Dat
     hits = held.join(around, "_u").groupBy(owner, "unit").agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy(owner).agg(F.max("hits").alias("best"))
     return sizes.join(best, owner, "left").select(owner, "units", F.coalesce((F.col("best") == F.col("units")).cast("int"), F.lit(0)).alias("regional"))
+
+
+def grids(df: DataFrame, x: str, y: str, size: float, margin: float, offsets: list[float]) -> DataFrame:
+    """The grid once for each pair of offsets by which its origin is moved, with a version from 1 (x outer)."""
+    box = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    moves = F.array(*[F.struct(F.lit(i + 1).alias("version"), F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy")) for i, (a, b) in enumerate((a, b) for a in offsets for b in offsets)])
+    out = box.withColumn("m", F.explode(moves)).select("m.version", (F.col("x0") - margin + F.col("m.dx")).alias("x0"), (F.col("y0") - margin + F.col("m.dy")).alias("y0"), (F.col("x1") + margin).alias("x1"), (F.col("y1") + margin).alias("y1"))
+    span = lambda a, b: F.explode(F.sequence(F.lit(1), F.greatest(F.ceil((F.col(b) - F.col(a)) / size).cast("int"), F.lit(1))))
+    out = out.withColumn("col", span("x0", "x1")).withColumn("row", span("y0", "y1"))
+    return out.select("version", cell_id(F.col("col"), F.col("row")).alias("cell_id"), (F.col("x0") + (F.col("col") - 1) * size).alias("x_min"), (F.col("y0") + (F.col("row") - 1) * size).alias("y_min"))
+
+
+def _spread(df: DataFrame, size: float, p: str = "") -> DataFrame:
+    """Boxes (x1, y1, x2, y2) once for each cell that they touch."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(p + a) / size).cast("int"), F.floor(F.col(p + b) / size).cast("int")))
+    return df.withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2"))
+
+
+def touching(boxes: DataFrame, key: str, size: float) -> DataFrame:
+    """key, neighbour: boxes that share a border or corner but no inside. They meet in the cell of the shared place's lower left corner."""
+    left = _spread(boxes.select(*[F.col(c).alias(f"l_{c}") for c in boxes.columns]), size, "l_")
+    right = _spread(boxes.select(*[F.col(c).alias(f"r_{c}") for c in boxes.columns]), size, "r_")
+    x1, x2 = F.greatest("l_x1", "r_x1"), F.least("l_x2", "r_x2")
+    y1, y2 = F.greatest("l_y1", "r_y1"), F.least("l_y2", "r_y2")
+    home = (F.floor(x1 / size) == F.col("_cx")) & (F.floor(y1 / size) == F.col("_cy"))
+    met = left.join(right, ["_cx", "_cy"]).where((F.col(f"l_{key}") != F.col(f"r_{key}")) & (x1 <= x2) & (y1 <= y2) & ((x1 == x2) | (y1 == y2)) & home)
+    return met.select(F.col(f"l_{key}").alias(key), F.col(f"r_{key}").alias("neighbour"))
+
+
+def outer_overlap(left: DataFrame, right: DataFrame, size: float, key: str = "k") -> DataFrame:
+    """As overlap(), and a row without a right box for what of a left box none covers. Right boxes must not overlap each other."""
+    met = overlap(left, right, size)
+    covered = met.groupBy(f"l_{key}").agg(F.sum("area").alias("_a"))
+    whole = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).join(covered, f"l_{key}", "left")
+    rest = (F.col("l_x2") - F.col("l_x1")) * (F.col("l_y2") - F.col("l_y1")) - F.coalesce("_a", F.lit(0.0))
+    return met.unionByName(whole.withColumn("area", rest).where("area > 1e-9").drop("_a"), allowMissingColumns=True)
+
+
+def ring(wkt: Column) -> Column:
+    """The outer ring of POLYGON ((x y, ...)) as an array of x, y; null if it is none."""
+    body = F.regexp_extract(wkt, r"^POLYGON ?\(\(([^()]*)\)", 1)
+    points = F.transform(F.split(body, ", ?"), lambda p: F.struct(F.get(F.split(p, " "), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(p, " "), F.lit(1)).try_cast("double").alias("y")))
+    return F.when(F.length(body) > 0, points)
+
+
+def polygon_parts(wkt: Column) -> Column:
+    """All polygons of a POLYGON, MULTIPOLYGON or GEOMETRYCOLLECTION, each as POLYGON text; other geometries are left out."""
+    found = F.regexp_extract_all(wkt, F.lit(r"\(\([^()]+\)(?:, ?\([^()]+\))*\)"), F.lit(0))
+    return F.transform(found, lambda p: F.concat(F.lit("POLYGON "), p))
+
+
+def _edges(points: Column) -> Column:
+    """Neighbouring points, the last with the first."""
+    n = F.size(points)
+    return F.transform(points, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get(points, (i + 1) % n)["x"].alias("x2"), F.get(points, (i + 1) % n)["y"].alias("y2")))
+
+
+def _total(array: Column, f) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, e: s + f(e))
+
+
+def shape(points: Column) -> dict[str, Column]:
+    """area, perimeter, cx, cy (centroid), x_min, y_min, x_max, y_max of a ring of points."""
+    edges = _edges(points)
+    cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
+    twice = _total(edges, cross)
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return {
+        "area": F.abs(twice) / 2,
+        "perimeter": _total(edges, lambda e: F.sqrt(F.pow(e["x2"] - e["x1"], 2) + F.pow(e["y2"] - e["y1"], 2))),
+        "cx": F.try_divide(_total(edges, lambda e: (e["x1"] + e["x2"]) * cross(e)), 3 * twice),
+        "cy": F.try_divide(_total(edges, lambda e: (e["y1"] + e["y2"]) * cross(e)), 3 * twice),
+        "x_min": F.array_min(xs), "y_min": F.array_min(ys), "x_max": F.array_max(xs), "y_max": F.array_max(ys),
+    }
+
+
+def inside(x: Column, y: Column, points: Column) -> Column:
+    """Whether a point lies in a ring: an odd number of its edges is crossed to the right."""
+    crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+    return F.size(F.filter(_edges(points), crossed)) % 2 == 1
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """Points (x, y) with the polygons (ring) that they lie in; they meet through the cells that a polygon's bounds touch. Columns of polygons get the prefix p_."""
+    s = shape(F.col("ring"))
+    boxed = polygons.withColumns({"x1": s["x_min"], "y1": s["y_min"], "x2": s["x_max"], "y2": s["y_max"]})
+    p = _spread(boxed, size).select("_cx", "_cy", *[F.col(c).alias(f"p_{c}") for c in polygons.columns])
+    at = points.withColumns({"_cx": F.floor(F.col("x") / size).cast("int"), "_cy": F.floor(F.col("y") / size).cast("int")})
+    return at.join(p, ["_cx", "_cy"]).where(inside(F.col("x"), F.col("y"), F.col("p_ring"))).drop("_cx", "_cy")
+
+
+def without_slivers(df: DataFrame, area: str, perimeter: str, least_area: float, least_ratio: float) -> DataFrame:
+    """Rows of at least that area that are thicker than that ratio, which is added."""
+    return df.withColumn("thin_ratio", thinness(F.col(area), F.col(perimeter))).where((F.col(area) >= least_area) & (F.col("thin_ratio") > least_ratio))
+
+
+def to_utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """Easting and northing in metres of a UTM zone (north) from degrees on the GRS 80 / WGS 84 ellipsoid, by Krueger's series to the third order; errors are below a millimetre inside a zone."""
+    f, a = 1 / 298.257222101, 6378137.0
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, c in enumerate(alpha, 1):
+        east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500_000 + 0.9996 * big_a * east, 0.9996 * big_a * north

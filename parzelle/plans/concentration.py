@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parzelle.operators import concentration as C, relational as R, spatial as S
+from parzelle.operators.ranks import percentiles
 from parzelle.plans.registry import Tables, query
 
 MEASURES = ["gini_coeff", "hhi", "rosenbluth_index", "theil_index", "lac", "palma_v1", "palma_v2", "palma_v3", "share_p100", "share_p95_99", "share_v19", "share_m50", "share_b40"]
@@ -185,8 +186,9 @@ def rep_classes(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     a = holdings(t).groupBy("klass", "owner").agg(F.sum("area").alias("a"), F.count(F.lit(1)).alias("p"))
-    out = a.groupBy("klass").agg(F.count(F.lit(1)).alias("owners"), F.round(F.avg("p"), 6).alias("mean_plots"), F.round(F.avg("a"), 4).alias("mean_area"), F.round(F.percentile("a", F.lit(0.5)), 4).alias("median_area"), F.sum("a").alias("t"))
-    return out.withColumn("share", F.round(F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0))) * 100, 6)).drop("t")
+    out = a.groupBy("klass").agg(F.count(F.lit(1)).alias("owners"), F.round(F.avg("p"), 6).alias("mean_plots"), F.round(F.avg("a"), 4).alias("mean_area"), F.sum("a").alias("t"))
+    middle = percentiles(a, ["klass"], "a", {"median_area": 0.5}).select("klass", F.round("median_area", 4).alias("median_area"))
+    return out.join(middle, "klass").withColumn("share", F.round(F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0))) * 100, 6)).drop("t")
 
 
 @query(

@@ -124,7 +124,7 @@ def agg_modal_address(t: Tables) -> DataFrame:
     SELECT p_partkey, match, round(score, 6) AS score FROM part p LEFT JOIN f ON p.p_size = f.p_size AND p.p_name = f.p_name WHERE p_partkey % 2 = 0""",
 )
 def jn_block_jw(t: Tables) -> DataFrame:
-    found = M.best_in_block(t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_size", "p_name"), t.part.where("p_partkey % 2 = 1").select("p_size", "p_name"), "p_size", "p_name", 0.93, lambda a, b: F.round(similarity.jaro_winkler(a, b), 9))
+    found = M.best_in_block(t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_size", "p_name"), t.part.where("p_partkey % 2 = 1").select("p_size", "p_name"), "p_size", "p_name", 0.93, lambda a, b: F.round(similarity.jaro_winkler(a, b), 9), shortest=0.65)
     return found.select("p_partkey", "match", F.round("score", 6).alias("score"))
 
 
@@ -133,6 +133,8 @@ def jn_block_weighted(t: Tables) -> DataFrame:
     return M.best_in_block(t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_size", "p_name"), t.part.where("p_partkey % 2 = 1").select("p_size", "p_name"), "p_size", "p_name", 85, similarity.weighted)
 
 
+
+
 @query("win_fwd20")
 def win_fwd20(t: Tables) -> DataFrame:
     return M.canonical_names(t.part.groupBy("p_name").agg(F.count(F.lit(1)).alias("n")), "p_name", "n", 70)
@@ -169,7 +171,7 @@ _EDGES = """sp AS (SELECT o_custkey, l_suppkey, sum(l_extendedprice) p FROM orde
 
 def edges(t: Tables) -> DataFrame:
     spent = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("p"))
-    whole = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey")).groupBy("o_custkey").agg(F.sum("l_extendedprice").alias("w"))
+    whole = spent.groupBy("o_custkey").agg(F.sum("p").alias("w"))
     function = F.when((c("o_custkey") + c("l_suppkey")) % 3 == 0, "mother company").otherwise("holder")
     return spent.join(whole, "o_custkey").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), F.round(100 * c("p") / c("w"), 4).alias("share"), F.when(c("o_custkey") % 7 == 0, "yes").otherwise("no").alias("ismanager"), function.alias("function"))
 
@@ -187,8 +189,17 @@ def gra_filter(t: Tables) -> DataFrame:
     return N.strong_edges(edges(t), 15).select("a", "b", "share", "ismanager", "function")
 
 
-@query("gra_cc", f"{_CC} SELECT node, component FROM cc")
+#: Components of all edges: labels spread until none changes.
+_ALL_CC = f"WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a UNION SELECT u.a, min(cc.component) FROM cc JOIN u ON cc.node = u.b JOIN recurring.cc AS old ON old.node = u.a WHERE cc.component < old.component GROUP BY u.a)"
+
+
+@query("gra_cc", f"{_ALL_CC} SELECT node, component FROM cc")
 def gra_cc(t: Tables) -> DataFrame:
+    return N.components(edges(t), "a", "b")
+
+
+@query("gra_cc_strong", f"{_CC} SELECT node, component FROM cc")
+def gra_cc_strong(t: Tables) -> DataFrame:
     return N.components(strong(t), "a", "b")
 
 
@@ -197,14 +208,9 @@ def labelled(t: Tables) -> DataFrame:
     return s.join(N.components(s, "a", "b").withColumnRenamed("node", "a"), "a")
 
 
-@query("gra_cc_nested")
-def gra_cc_nested(t: Tables) -> DataFrame:
-    return N.nested_components(durable(strong(t)), "a", "b", (25, 50))
-
-
 @query("gra_members", f"{_CC} SELECT component, count(*) AS members, string_agg(node, '|' ORDER BY node) AS names FROM cc GROUP BY 1")
 def gra_members(t: Tables) -> DataFrame:
-    return N.members(labelled(t), "component", "a", "b").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_list("member")), "|").alias("names"))
+    return R.joined(N.members(labelled(t), "component", "a", "b"), "component", "member", "|").withColumnRenamed("n", "members")
 
 
 _LABELLED = f"{_CC}, l AS (SELECT s.*, component FROM s JOIN cc ON s.a = cc.node)"
@@ -274,13 +280,13 @@ def geo_buffer(t: Tables) -> DataFrame:
     return S.within(points, centres, 40.0).groupBy(c("c_s_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("area"))
 
 
-@query("geo_overlap", "WITH l AS (SELECT s_suppkey k, s_suppkey * 13 % 500 x1, s_suppkey * 29 % 500 y1 FROM supplier), r AS (SELECT p_partkey k, p_partkey * 7 % 500 x1, p_partkey * 11 % 500 y1 FROM part WHERE p_size < 5) SELECT l.k AS l_k, r.k AS r_k, CAST((least(l.x1 + 30, r.x1 + 20) - greatest(l.x1, r.x1)) * (least(l.y1 + 30, r.y1 + 20) - greatest(l.y1, r.y1)) AS DOUBLE) AS area FROM l JOIN r ON least(l.x1 + 30, r.x1 + 20) > greatest(l.x1, r.x1) AND least(l.y1 + 30, r.y1 + 20) > greatest(l.y1, r.y1)")
+@query("geo_overlap", "WITH l AS (SELECT s_suppkey k, s_suppkey * 13 % 500 x1, s_suppkey * 29 % 500 y1 FROM supplier), r AS (SELECT p_partkey k, p_partkey * 7 % 500 x1, p_partkey * 11 % 500 y1 FROM part) SELECT l.k AS l_k, r.k AS r_k, CAST((least(l.x1 + 30, r.x1 + 20) - greatest(l.x1, r.x1)) * (least(l.y1 + 30, r.y1 + 20) - greatest(l.y1, r.y1)) AS DOUBLE) AS area FROM l JOIN r ON least(l.x1 + 30, r.x1 + 20) > greatest(l.x1, r.x1) AND least(l.y1 + 30, r.y1 + 20) > greatest(l.y1, r.y1)")
 def geo_overlap(t: Tables) -> DataFrame:
     def boxes(df: DataFrame, key: str, a: int, b: int, size: int) -> DataFrame:
         x, y = (c(key) * a % 500).cast("double"), (c(key) * b % 500).cast("double")
         return df.select(c(key).alias("k"), x.alias("x1"), y.alias("y1"), (x + size).alias("x2"), (y + size).alias("y2"))
 
-    return S.overlap(boxes(t.supplier, "s_suppkey", 13, 29, 30), boxes(t.part.where("p_size < 5"), "p_partkey", 7, 11, 20), 50.0).select("l_k", "r_k", "area")
+    return S.overlap(boxes(t.supplier, "s_suppkey", 13, 29, 30), boxes(t.part, "p_partkey", 7, 11, 20), 50.0).select("l_k", "r_k", "area")
 
 
 _FIELDS = "f AS (SELECT l_suppkey k, l_orderkey * 1000 + l_partkey id, CAST(l_orderkey * 37 % 5000 AS DOUBLE) x, CAST(l_partkey * 91 % 5000 AS DOUBLE) y, l_quantity a FROM lineitem)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parzelle.operators import relational as R
-from parzelle.operators.ranks import ranked
+from parzelle.operators.ranks import percentile_list, percentiles, ranked
 from parzelle.plans.registry import Tables, query
 
 c = F.col
@@ -213,8 +213,7 @@ def agg_ols(t: Tables) -> DataFrame:
 
 @query("agg_limits", "SELECT c_nationkey, round(quantile_cont(c_acctbal, 0.02), 4) low, round(quantile_cont(c_acctbal, 0.98), 4) high FROM customer GROUP BY 1")
 def agg_limits(t: Tables) -> DataFrame:
-    cuts = F.percentile("c_acctbal", F.array(F.lit(0.02), F.lit(0.98)))
-    return t.customer.groupBy("c_nationkey").agg(F.round(cuts[0], 4).alias("low"), F.round(cuts[1], 4).alias("high"))
+    return percentiles(t.customer, ["c_nationkey"], "c_acctbal", {"low": 0.02, "high": 0.98}).select("c_nationkey", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 _FLAGS = ["A", "N", "R"]
@@ -278,8 +277,8 @@ def win_eqwidth(t: Tables) -> DataFrame:
 
 @query("win_qcut", "WITH e AS (SELECT quantile_cont(o_totalprice, [i / 20.0 FOR i IN range(1, 20)]) q FROM orders) SELECT o_orderkey, CAST(1 + len(list_filter(q, lambda x: x < o_totalprice)) AS INT) AS bin FROM orders, e")
 def win_qcut(t: Tables) -> DataFrame:
-    edges = t.orders.agg(F.percentile("o_totalprice", F.array(*[F.lit(i / 20.0) for i in range(1, 20)])).alias("q"))
-    return t.orders.join(F.broadcast(edges)).select("o_orderkey", (F.size(F.filter("q", lambda x: x < c("o_totalprice"))) + 1).alias("bin"))
+    edges = percentile_list(t.orders, [], "o_totalprice", [i / 20.0 for i in range(1, 20)])  # one row
+    return t.orders.join(F.broadcast(edges)).select("o_orderkey", (F.size(F.filter("cuts", lambda x: x < c("o_totalprice"))) + 1).alias("bin"))
 
 
 @query("win_group_count", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer")
