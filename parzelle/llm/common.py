@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -84,3 +85,25 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
 def arrow_types(schema: str) -> list[pa.DataType]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return [kinds[part.split()[1]] for part in schema.split(",")]
+
+
+def pair_chunks(members: DataFrame, chunks, by: str) -> DataFrame:
+    """Each member with the tiles (i, j) of its group that it belongs to: one if the group is a single chunk."""
+    dealt = members.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64(by), chunks)})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(1))))).where("chunk <> other")
+    return dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "chunk", "other")
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group, together; rows come sorted by the keys. One group is held, and a batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, new]) if held is not None else new
+        cols = [held[c].to_numpy() for c in keys]
+        starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = held.slice(starts[-1])
+    if held is not None and len(held):
+        yield held

@@ -175,18 +175,11 @@ def described(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
     return common.map_texts(picked, "id", "text", make, "digest binary, n long, keys array<long>, print binary", keep=("which",))
 
 
-def pair_chunks(members: DataFrame, chunks, by: str) -> DataFrame:
-    """Each member with the tiles (i, j) of its group that it belongs to: one if the group is a single chunk."""
-    dealt = members.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64(by), chunks)})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(1))))).where("chunk <> other")
-    return dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "chunk", "other")
-
-
 def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
     """a, b: links that connect the distinct sets whose estimate suffices; sets has node, n, keys, print."""
     keyed = sets.select("node", F.posexplode("keys").alias("t", "key"))
     shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiles = pair_chunks(keyed.join(shared, ["t", "key"]), F.ceil(F.col("members") / hot), "node")
+    tiles = common.pair_chunks(keyed.join(shared, ["t", "key"]), F.ceil(F.col("members") / hot), "node")
     tiles = tiles.join(sets.select("node", "n", "print"), "node")
     tile = ["t", "key", "i", "j"]
 
@@ -288,7 +281,7 @@ def _classes(df: DataFrame, words: int, similarity: float, hot: int, chunk: int,
     loose = hamming.components(loose_links(sets.where("n > 0"), similarity, hot))
     loose = common.durable(loose.join(sets.select("node", "first.which", "n"), "node"))
     held = loose.groupBy("root").agg(F.sum("n").alias("n"))
-    members = pair_chunks(loose.drop("n").join(held, "root"), F.ceil(F.col("n") / chunk), "node").drop("n")
+    members = common.pair_chunks(loose.drop("n").join(held, "root"), F.ceil(F.col("n") / chunk), "node").drop("n")
     text = F.col(f"`{text_col}`").cast("string")
     # a row may be repeated very often: of its copies one from each task goes through the shuffle, and one stays
     once = Window.partitionBy("which").orderBy("which")

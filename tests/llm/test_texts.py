@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -6,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from parzelle.llm import fingerprints, langid, media, queries, secrets, sharding, url_filters
 
@@ -236,24 +238,51 @@ def test_shards_of_odd_rows(odd, none):
     assert sharding.shard(none, 3).count() == 0
 
 
-def slow_compare(rows):
+def slow_fingerprint(text):
+    """By the definition, term by term and bit by bit."""
+    full = (1 << 64) - 1
+    words = text.lower().encode().split() if text.isascii() else bytes(x + 32 if 65 <= x <= 90 else x for x in text.encode()).split()
+    votes = np.zeros(256, int)
+    before, size_before = 0x1234567, 0
+    for word in words:
+        own = xxhash.xxh64_intdigest(word, 1)
+        term, weight = (own * 0x9E3779B97F4A7C15 + before) & full, min(len(word) + size_before, 16)
+        bits = b""
+        for lane in range(1, 5):
+            x = (term + lane * 0xD1B54A32D192ED03) & full
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+            bits += (x ^ x >> 31).to_bytes(8, "little")
+        votes += weight * (2 * np.unpackbits(np.frombuffer(bits, np.uint8)).astype(int) - 1)
+        before, size_before = own, len(word)
+    return sum(int(v > 0) << 255 - k for k, v in enumerate(votes))
+
+
+def slow_compare(rows, radius=7):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    hasher = fingerprints.Hasher()
+    like = lambda x, y: max(0.0, math.cos(math.pi * (x ^ y).bit_count() / 256))
+    prints = [slow_fingerprint(t) for _, t in rows]
     for i, (doc, text) in enumerate(rows):
-        following = next((t for d, t in rows[i + 1 :]), rows[0][1])
+        k = (i + 1) % len(rows)
         n = len(text) // 4
-        new = text[: len(text) - n] + following[:n]
-        a, b, c = (hasher.fingerprint(x.encode()) for x in (text, new, following))
-        yield doc, len(text), hashlib.sha256(new.encode()).hexdigest(), a.hex(), b.hex(), fingerprints.likeness(a, b), fingerprints.likeness(a, c)
+        new = text[: len(text) - n] + rows[k][1][:n]
+        a, b = prints[i], slow_fingerprint(new)
+        first = min((d for (d, _), x in zip(rows, prints, strict=True) if d is not None and (x ^ a).bit_count() <= radius), default=None)
+        yield doc, len(text), hashlib.sha256(new.encode()).hexdigest(), f"{a:064x}", f"{b:064x}", like(a, b), like(a, prints[k]), first
 
 
 def test_fingerprints_of_edited_texts(spark, plain, odd, none):
     found = sorted(map(tuple, queries.op5_fingerprints(spark, SF).collect()))
-    assert found == sorted(slow_compare(list(plain.items())))
+    want = sorted(slow_compare(list(plain.items())))
+    assert [r[:5] + r[7:] for r in found] == [r[:5] + r[7:] for r in want]
+    assert np.allclose([r[5:7] for r in found], [r[5:7] for r in want], atol=1e-12)
+    assert sum(r[7] != r[0] for r in found) > 5
     assert np.mean([r[5] for r in found]) > 0.6 > 0.3 > np.mean([r[6] for r in found])
-    key = lambda r: (r[0] is not None, r)
+    key = lambda r: (r[0] is not None, str(r[:5] + r[7:]))
     rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
-    assert sorted(map(tuple, fingerprints.compare(odd).collect()), key=key) == sorted(slow_compare(rows), key=key)
+    got, want = sorted(map(tuple, fingerprints.compare(odd).collect()), key=key), sorted(slow_compare(rows), key=key)
+    assert [r[:5] + r[7:] for r in got] == [r[:5] + r[7:] for r in want]
+    assert np.allclose([r[5:7] for r in got], [r[5:7] for r in want], atol=1e-12)
     assert fingerprints.compare(none).count() == 0
     one = fingerprints.compare(odd.where("doc_id = 1")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
@@ -270,6 +299,10 @@ def test_block_tables_find_all_neighbours(spark):
     df = spark.createDataFrame([(bytearray(x),) for x in [*prints, prints[0]]] + [(None,)], "fingerprint binary")
     distinct = sorted(set(prints))
     apart = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
-    for radius, extra in ((8, 1), (5, 2)):
+    ids = {x: i for i, x in enumerate(distinct)}
+    named = spark.createDataFrame([(i, bytearray(x)) for x, i in ids.items()] + [(None, bytearray(distinct[3]))], "id long, fp binary")
+    for radius, extra, hot in ((8, 1, 20_000), (5, 2, 20_000), (8, 1, 3)):
+        first = {x: min(i for y, i in ids.items() if apart(x, y) <= radius) for x in distinct}
+        assert {bytes(x["fp"]): x["first_near"] for x in fingerprints.first_near(named, radius, extra, hot=hot).collect()} == first
         want = {(a, b, apart(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if apart(a, b) <= radius}
-        assert {(bytes(x["a"]), bytes(x["b"]), x["apart"]) for x in fingerprints.neighbours(df, radius, extra).collect()} == want
+        assert {(bytes(x["a"]), bytes(x["b"]), x["apart"]) for x in fingerprints.neighbours(df, radius, extra, hot=hot).collect()} == want
