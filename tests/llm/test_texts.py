@@ -90,6 +90,22 @@ def test_urls_against_rule_by_rule(spark, none):
     assert url_filters.judge(df.limit(0), rules).count() == 0
 
 
+def test_many_rules_are_dealt_by_host():
+    r = random.Random(3)
+    labels = ["com", "net", "a", "b", "shop", "www", "x1"]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randrange(1, 5)))
+    path = lambda: r.choice(["", "/", "/en/", "/en/7", "/de"])
+    rules = [("block", host(), path()) for _ in range(300)] + [("allow", "", "/de")]
+    urls = [(host() if r.random() < 0.95 else "", path() + r.choice(["", "x", "/y"])) for _ in range(600)]
+    fits = lambda rule, h, p: (not rule[1] or h == rule[1] or h.endswith("." + rule[1])) and p.startswith(rule[2])
+    for most in (1, 7, 1000):
+        dealt = url_filters.Dealt([x for x in rules if x[1]], most)
+        assert most == 1000 or len(dealt.parts) > 10
+        want = [next((k for k, rule in enumerate(dealt.rules) if fits(rule, h, p)), -1) for h, p in urls]
+        assert dealt.fits(*map(list, zip(*urls, strict=True))) == want
+        assert all(len(a.final) == 2 * len(n) for a, n in dealt.made.values())
+
+
 def test_globs_against_regular_expressions():
     r = random.Random(7)
     globs = ["".join(r.choice(["a", "b", "/", "*", "**", "?"]) for _ in range(r.randrange(1, 12))) for _ in range(60)]
