@@ -66,6 +66,15 @@ def test_stream_decodes_characters_that_span_tokens(encoder):
     assert "".join(encoder.stream(half)).startswith("\ufffd")
 
 
+def test_blocks_hand_over_open_characters(encoder, monkeypatch):
+    text = "漢字 🙂🙂 é ÄÖ plain"
+    coded = encoder.encode([text])[0]
+    for size in (1, 2, 3, 1000):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        assert "".join(encoder.blocks(coded)) == text
+    assert "".join(encoder.blocks(b"")) == "" and "".join(encoder.blocks(encoder.encode(["🙂"])[0][:-4])).endswith("\ufffd")
+
+
 def test_query_equals_library(spark, plain, library):
     found = {r["doc_id"]: r for r in queries.op7_byte_bpe(spark, SF).collect()}
     assert found.keys() == plain.keys()
