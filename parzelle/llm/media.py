@@ -8,7 +8,9 @@ store() writes bytes as 24 x 24 pixel, 8-bit grey frames, one sample each, in a
 with bytes 255 up to a positive multiple of a frame.
 
 Cases. Null media give null columns and error "null"; bytes that are no such file give the error that was met, and what
-was read before. Null texts are empty. Equal bytes give equal columns.
+was read before. Null texts are empty. Very long texts are one file each, held by a task while it is summed up. Equal
+bytes give equal columns, repeated rows a row each. An empty table gives no rows. Only the id and text (or media) columns
+are read, so others can have any names.
 """
 
 from __future__ import annotations

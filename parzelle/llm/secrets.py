@@ -12,7 +12,9 @@ neighbouring parts, then single parts), so that the words of a path don't hide a
 
 Spans are code points, end exclusive, ordered by start, then kind as listed.
 
-Cases. Null and empty texts have no spans. Whole texts are searched, of any length. Repeated rows each get a row.
+Cases. Null and empty texts have no spans. Whole texts are searched, of any length. Of spans that begin alike the kind
+listed first comes first. Repeated rows each get a row. An empty table gives no rows. scan() reads only the id and text
+columns and redact() keeps all, so others can have any names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ boundaries of many ranges; one pass counts each range's rows and bytes, and over
 records are then ordered within it; with the bytes of the ranges before, each record knows where it starts in the whole
 order, and the shard follows from the middle of the record. So shards differ by about one record, whatever the sample.
 
-Only id, key, size and check sum are shuffled, no texts; a task holds one range at a time. The law is `bytes`.
+Only id, key, size and check sum are shuffled, no texts; a task holds one range at a time. The law is `bytes`, so a group
+of equal texts that lies on the border of two shards is cut there: 2 of 583 groups on sf0.01.
 
 Cases. Null texts are empty, of size 8. Repeated rows are records of their own. Null ids are an id like any other. An
 empty table gives no rows. Only the id and text columns are read.

@@ -6,7 +6,8 @@ has to see all lengths. From the row of length n one reads, for the context limi
 tokens, and the tokens that are left when all are truncated to n. Between two listed lengths m < n the documents beyond
 don't change, so the truncated total at any limit c, m <= c <= n, is that of m plus (c - m) times docs_ge of n.
 
-Cases. Null and empty texts have length 0. Repeated rows count each. An empty table gives no rows.
+Cases. Null and empty texts have length 0. Very long texts are encoded whole. Repeated rows and ties count each. An empty
+table gives no rows. Only the id and text columns are read, so others can have any names.
 """
 
 from __future__ import annotations
