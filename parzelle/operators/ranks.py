@@ -30,9 +30,9 @@ def known(df: DataFrame, value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """A row for each group with the linearly interpolated percentile at each share, by name."""
+    """A row for each group with the linearly interpolated percentile at each share, by name; without groups one row, of nulls if there is no value."""
     cuts = percentile_list(df, group, value, list(shares.values()))
-    return cuts.select(*group, *[F.col("cuts")[i].alias(name) for i, name in enumerate(shares)])
+    return cuts.select(*group, *[F.get("cuts", F.lit(i)).alias(name) for i, name in enumerate(shares)])
 
 
 def percentile_list(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:

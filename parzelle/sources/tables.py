@@ -107,9 +107,10 @@ def write_dictionary(df: DataFrame, key: str, value: str, path: str) -> None:
                     out.append(before + text[1:-1])
                     before, last = ",", k
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["{}" if before == "{" else "}"], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["}"], pa.string())], names=["value"])
 
-    entries.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+    out = df.sparkSession.createDataFrame([("{}",)], "value string") if entries.isEmpty() else entries.mapInArrow(lines, "value string")
+    out.write.mode("overwrite").text(path)
 
 
 def word_list(spark: SparkSession, path: str, extra: list[str] = (), longer_than: int = 2) -> DataFrame:

@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parzelle.functions import similarity, text as T
 from parzelle.operators import classify, concentration as C, matching as M, network as N, relational as R, spatial as S
-from parzelle.operators.ranks import ranked
+from parzelle.operators.ranks import percentile_list, percentiles, places, ranked
 from parzelle.sources import tables
 from parzelle.streaming.windows import run_to_table, windowed_sums
 
@@ -94,6 +95,51 @@ def test_ranks_of_any_numbers(spark):
     assert rows[-1]["run"] == pytest.approx(sum(values)) and all(row["i"] + row["k"] == len(values) + 1 for row in rows)
 
 
+def test_ranks_and_percentiles_leave_out_what_is_no_number(spark):
+    values = [5.0, float("nan"), 0.5, None, 1.0, 1.0, 1.0, -3.0, 0.0]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, x double")
+    known = sorted(v for v in values if v is not None and v == v)
+    rows = ranked(df, [], "x", "id").orderBy("i").collect()
+    assert [r["x"] for r in rows] == known
+    shares = [0.0, 0.02, 0.3, 0.5, 0.77, 1.0]
+    found = percentile_list(df, [], "x", shares).collect()[0]["cuts"]
+    assert found == pytest.approx(list(np.quantile(known, shares)))
+    groups = df.unionByName(df.withColumn("x", F.col("x") * 2)).withColumn("g", F.when(F.col("id") % 2 == 0, "e"))
+    two = {r["g"]: r["cuts"] for r in percentile_list(groups, ["g"], "x", shares).collect()}
+    for g, k in (("e", 0), (None, 1)):
+        part = [v * f for i, v in enumerate(values) for f in (1, 2) if i % 2 == k and v is not None and v == v]
+        assert two[g] == pytest.approx(list(np.quantile(part, shares)))
+    assert [tuple(r) for r in percentiles(df.where("id < 0"), [], "x", {"a": 0.1, "b": 0.9}).collect()] == [(None, None)]
+    assert percentiles(groups.where("id < 0"), ["g"], "x", {"a": 0.1}).count() == 0
+
+
+def test_places_of_names_that_begin_alike(spark):
+    names = [f"Customer#{i:09d}" for i in range(15_000)]
+    df = spark.createDataFrame([(n,) for n in random.Random(1).sample(names, len(names))], "n string")
+    found = places(df, "n")
+    assert [r["n"] for r in found.orderBy("place").collect()] == names and found.agg(F.min("place"), F.max("place")).first()[:] == (1, 15_000)
+    # sampled ranges, none with most of the rows
+    parts = df.repartitionByRange(4, "n").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 7_000
+
+
+def test_weighted_measures_against_sorting(spark):
+    r = random.Random(8)
+    rows = [(u, i, r.choice([0.0, 1.0, r.uniform(0, 1e6)]), float(r.randrange(1, 6))) for u in "ab" for i in range(60)]
+    found = {x["unit"]: x for x in C.weighted(spark.createDataFrame(rows, "u string, id long, x double, w double"), "u", "x", "w", "id").collect()}
+    for u in "ab":
+        each = sorted((x, i, w) for k, i, x, w in rows if k == u)
+        cw, cx = np.cumsum([w for _, _, w in each]), np.cumsum([x * w for x, _, w in each])
+        assert found[u]["gini"] == pytest.approx(sum(cx[1:] * cw[:-1] - cx[:-1] * cw[1:]) / cx[-1] / cw[-1], abs=1e-12)
+        total = sum(x for x, _, _ in each)
+        assert found[u]["hhi"] == pytest.approx(sum((x / total) ** 2 * w for x, _, w in each) * 10000)
+
+
+def test_joined_names_of_large_groups_are_null(spark):
+    df = spark.createDataFrame([("a", f"n{i}") for i in range(5)] + [("b", "x"), ("b", "x"), ("c", None)], "k string, v string")
+    assert {r["k"]: (r["n"], r["names"]) for r in R.joined(df, "k", "v", "|", 4).collect()} == {"a": (5, None), "b": (1, "x")}
+
+
 def test_rank_percent(spark):
     pct = lambda k, n: spark.range(1).select(C.rank_percent(F.lit(k), F.lit(n)).alias("v")).first()["v"]
     assert [pct(1, 1), pct(1, 2), pct(2, 2), pct(2, 101), pct(101, 101)] == [50, 1, 100, 1, 100]
@@ -161,7 +207,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "w.txt").write_text("und\nab\nacker\n")
     assert sorted(r[0] for r in tables.word_list(spark, str(tmp_path / "w.txt"), ["extra"]).collect()) == ["acker", "extra", "und"]
     with pytest.raises(ValueError):
-        tables.read_table(spark, "x.xlsx")
+        tables.read_table(spark, "x.gpkg")
 
 
 def test_stream_equals_batch(spark, tmp_path):
