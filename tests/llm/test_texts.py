@@ -38,6 +38,56 @@ def test_media_with_other_tables():
     assert found.offsets.tolist() == [8, 11, 16, 18] and found.duration == 34 and found.key.tolist() == [0, 1, 2, 3]
 
 
+def track(number, kind, sizes, offset):
+    """A track whose samples lie one after the other from an offset; none are listed for an empty list."""
+    tkhd = media.full(b"tkhd", struct.pack(">III", 0, 0, number), b"\0" * 68)
+    hdlr = media.full(b"hdlr", b"\0" * 4, kind, b"\0" * 13)
+    mdhd = media.full(b"mdhd", struct.pack(">IIIII", 0, 0, 1000, 10 * len(sizes), 0))
+    stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1" if kind == b"vide" else b"mp4a", b"\0" * 8)), media.full(b"stsc", struct.pack(">I", 1), struct.pack(">III", 1, max(1, len(sizes)), 1)), media.full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), media.full(b"stco", struct.pack(">I", 1 if sizes else 0), struct.pack(">I", offset) if sizes else b""))
+    return media.box(b"trak", tkhd, media.box(b"mdia", mdhd, hdlr, media.box(b"minf", stbl)))
+
+
+def test_media_with_several_tracks(spark):
+    data = media.box(b"mdat", bytes(range(30))) + media.box(b"moov", track(1, b"soun", [4, 6], 8), track(2, b"vide", [5, 5, 5], 18))
+    found, error = media.tracks(data)
+    assert error is None and [t.codec for t in found] == ["mp4a", "avc1"] and [t.offsets.tolist() for t in found] == [[8, 12], [18, 23, 28]]
+    assert media.index(data).kind == "vide"
+    df = spark.createDataFrame([(1, bytearray(data)), (2, None)], "id long, media binary")
+    assert [(r["id"], r["track"], r["codec"], r["samples"], r["duration"]) for r in media.media_columns(df, all_tracks=True).orderBy("id", "track").collect()] == [(1, 1, "mp4a", 2, 20), (1, 2, "avc1", 3, 30), (2, None, None, 0, None)]
+    assert [(r["id"], r["track"]) for r in media.media_columns(df).orderBy("id").collect()] == [(1, 2), (2, None)]
+
+
+def test_media_in_fragments():
+    trex = media.full(b"trex", struct.pack(">5I", 7, 1, 100, 9, 0x10000))
+    head = media.box(b"moov", track(7, b"vide", [], 0), media.box(b"mvex", trex))
+
+    def fragment(*truns, flags=0x20000, extra=b""):
+        traf = media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7), extra, flags=flags), *truns)
+        return media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), traf)
+
+    # sizes of their own, the first a key frame; then two by default, neither a key frame
+    one = lambda at: fragment(media.full(b"trun", struct.pack(">IiI", 3, at, 0), struct.pack(">3I", 5, 6, 7), flags=0x205), media.full(b"trun", struct.pack(">I", 2)))
+    first = one(len(one(0)) + 8) + media.box(b"mdat", bytes(36))
+    # an offset from the file's beginning; duration, size and flags for each sample
+    two = lambda base: fragment(media.full(b"trun", struct.pack(">I", 2), struct.pack(">6I", 50, 3, 0, 60, 4, 0x10000), flags=0x700), flags=1, extra=struct.pack(">Q", base))
+    base = len(head) + len(first) + len(two(0)) + 8
+    data = head + first + two(base) + media.box(b"mdat", b"abcdefg")
+    found = media.index(data)
+    at = len(head) + len(first) - 36
+    assert found.error is None and found.sizes.tolist() == [5, 6, 7, 9, 9, 3, 4]
+    assert found.offsets.tolist() == [at, at + 5, at + 11, at + 18, at + 27, base, base + 3]
+    assert found.key.tolist() == [0, 5] and found.duration == 5 * 100 + 50 + 60
+    assert media.payload(data, found)[-7:] == b"abcdefg"
+    r = random.Random(6)
+    for _ in range(300):
+        bad = bytearray(data)
+        for _ in range(3):
+            bad[r.randrange(len(data))] = r.randrange(256)
+        media.index(bytes(bad))
+        media.index(data[: r.randrange(len(data))])
+    assert media.index(head + first[:-1]).error
+
+
 def test_damaged_media_never_crash(spark):
     r = random.Random(2)
     whole = media.store(media.pad(b"x" * 3000))
@@ -58,6 +108,11 @@ def test_media_query(spark, plain, odd, none):
         data = media.pad(plain[r["doc_id"]].encode())
         assert r["n_bytes"] == len(plain[r["doc_id"]].encode()) and r["payload_bytes"] == len(data)
         assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["tail_crc32"] == zlib.crc32(data[-32:])
+        made, n = media.store(data), len(data) // 576
+        # the payload is the end of the file, frame after frame, with a key frame every eight
+        assert made.endswith(data) and r["media_bytes"] == len(made) and r["media_sha256"] == hashlib.sha256(made).hexdigest()
+        keys = ",".join(f"{len(made) - len(data) + 576 * k}+576" for k in range(0, n, 8))
+        assert r["feature"] == f"codec=raw;timescale=24000;duration={1000 * n};samples={n};keyframes={keys}"
     assert media.digests(odd).count() == odd.count() and media.digests(none).count() == 0
     by_text = {}
     for r in media.digests(odd).collect():
