@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from parzelle.llm import common
 
 #: Bounds of what a worker keeps: chunks with their ids, and transitions. Each table starts anew when it is full.
-CHUNKS, TRANSITIONS = 200_000, 300_000
+CHUNKS, TRANSITIONS = 250_000, 300_000
 #: Longer chunks are encoded each time; longer pieces go through the transducer one by one.
 CHUNK_CHARS, PIECE_BYTES = 48, 200
 #: Ids that are decoded at once.
@@ -291,15 +291,17 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.transducer = None if pieces else Transducer(ranks)
         self.of_pieces = pieces or self.transducer.encode
+        #: Chunks with their ids: those met lately, and those met before, of which those met again come over.
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.table = np.zeros(max(ranks.values()) + 1, dtype=object)
         for token, rank in ranks.items():
             self.table[rank] = token
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        get, cut = self.chunks.get, {}
-        missing: dict[str, None] = {}
+        known, cut = self.chunks, {}
+        missing: set[str] = set()
         pieces: dict[str, None] = {}
         work = []
         for text in texts:
@@ -309,20 +311,22 @@ class Encoder:
                 first, *rest = text.split(" ")
                 first = self.pieces(first)
             pieces.update(dict.fromkeys(first))
-            found = list(map(get, rest))
-            missing.update(dict.fromkeys([c for c, x in zip(rest, found, strict=True) if x is None]))
-            work.append((first, rest, found))
+            missing.update(set(rest).difference(known))
+            work.append((first, rest))
         for chunk in missing:
-            cut[chunk] = parts = self.pieces(" " + chunk)
-            pieces.update(dict.fromkeys(parts))
+            if (ids := self.older.get(chunk)) is not None:
+                known[chunk] = ids
+            else:
+                cut[chunk] = parts = self.pieces(" " + chunk)
+                pieces.update(dict.fromkeys(parts))
         ids = dict(zip(pieces, self.of_pieces([x.encode() for x in pieces]), strict=True))
-        new = {chunk: b"".join([ids[x] for x in parts]) for chunk, parts in cut.items()}
-        out = []
-        for first, rest, found in work:
-            out.append(b"".join([*map(ids.__getitem__, first), *(new[c] if x is None else x for c, x in zip(rest, found, strict=True))]))
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks.clear()
-        self.chunks.update((c, x) for c, x in new.items() if len(c) <= CHUNK_CHARS)
+        known.update((chunk, b"".join([ids[x] for x in parts])) for chunk, parts in cut.items())
+        out = [b"".join([*map(ids.__getitem__, first), *map(known.__getitem__, rest)]) for first, rest in work]
+        for chunk in cut:
+            if len(chunk) > CHUNK_CHARS:
+                del known[chunk]
+        if len(known) > CHUNKS:
+            self.older, self.chunks = known, {}
         return out
 
     def decode(self, ids: bytes) -> bytes:
