@@ -69,10 +69,11 @@ def places(df: DataFrame, *columns: str) -> DataFrame:
     return dealt.withColumn("_p", part).join(F.broadcast(counts), "_p").select(*df.columns, (within + F.col("_before") + 1).cast("long").alias("place"))
 
 
-def ranked(df: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:
-    """Adds i (1 = smallest), k (1 = largest, ties by `tie` ascending), n, tot and run (sum up to and with i)."""
+def ranked(df: DataFrame, group: list[str], value: str, tie: str, summed: str | None = None) -> DataFrame:
+    """Adds i (1 = smallest), k (1 = largest, ties by `tie` ascending), n, tot and run (sum up to and with i) of the value, or of another column."""
+    summed = summed or value
     part = known(df, value).withColumn("_b", bucket(F.col(value)))
-    totals = part.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"))
+    totals = part.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(summed).alias("_t"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({
@@ -82,7 +83,7 @@ def ranked(df: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:
         "tot": F.sum("_t").over(whole),
     })
     up = Window.partitionBy(*group, "_b").orderBy(F.col(value), F.col(tie).desc())
-    within = part.withColumns({"_i": F.row_number().over(up), "_run": F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, 0))})
+    within = part.withColumns({"_i": F.row_number().over(up), "_run": F.sum(summed).over(up.rowsBetween(Window.unboundedPreceding, 0))})
     same = F.lit(True)
     for g in group:
         same = same & F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}"))

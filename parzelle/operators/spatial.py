@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from parzelle.operators.ranks import ranked
 
 #: Shifts of 12 km windows over 4 km cells, in cells.
 SHIFTS = (3, 2, 1)
@@ -89,10 +91,10 @@ def covering_radius(df: DataFrame, key: str, x: str, y: str, area: str, tie: str
     """Mean place of a key's fields, and the smallest radius, in steps, that holds the share of its area."""
     centre = df.groupBy(key).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.sum(area).alias("total"))
     d = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
-    rows = df.join(centre, key).withColumn("d", d)
-    run = Window.partitionBy(key).orderBy("d", tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("held", F.sum(area).over(run) / F.col("total"))
-    return rows.groupBy(key).agg(F.max("cx").alias("cx"), F.max("cy").alias("cy"), F.max("d").alias("max_radius"), (F.ceil(F.round(F.min(F.when(F.col("held") >= share - 1e-9, F.col("d"))), 6) / step) * step).alias("radius"))
+    rows = df.join(centre, key).select(F.col(key).alias("_key"), "cx", "cy", "total", d.alias("d"), F.col(area).alias("_area"), F.col(tie).alias("_tie"))
+    rows = ranked(rows, ["_key"], "d", "_tie", "_area").withColumn("held", F.col("run") / F.col("total"))
+    least = F.min(F.when(F.col("held") >= share - 1e-9, F.col("d")))
+    return rows.groupBy(F.col("_key").alias(key)).agg(F.max("cx").alias("cx"), F.max("cy").alias("cy"), F.max("d").alias("max_radius"), (F.ceil(F.round(least, 6) / step) * step).alias("radius"))
 
 
 def regional(df: DataFrame, owner: str, unit: str, neighbours: DataFrame) -> DataFrame:

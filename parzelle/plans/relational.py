@@ -135,7 +135,9 @@ def agg_basic(t: Tables) -> DataFrame:
 
 @query("agg_named", "SELECT o_custkey, round(sum(o_totalprice), 2) total, min(o_totalprice) low, max(o_totalprice) high, count(DISTINCT o_orderstatus) states, round(median(o_totalprice), 4) middle, count(o_orderkey) n FROM orders GROUP BY o_custkey")
 def agg_named(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.countDistinct("o_orderstatus").alias("states"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("middle"), F.count("o_orderkey").alias("n"))
+    out = t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.countDistinct("o_orderstatus").alias("states"), F.count("o_orderkey").alias("n"))
+    middle = percentiles(t.orders, ["o_custkey"], "o_totalprice", {"middle": 0.5})
+    return out.join(middle, "o_custkey").withColumn("middle", F.round("middle", 4))
 
 
 @query("agg_collect", "SELECT o_custkey, string_agg(DISTINCT o_orderstatus, '_' ORDER BY o_orderstatus) AS states, len(list(DISTINCT o_orderpriority)) AS priorities FROM orders GROUP BY o_custkey")
@@ -255,7 +257,7 @@ def rsh_idxmax(t: Tables) -> DataFrame:
 
 @query("win_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def win_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
+    return ranked(t.orders, ["o_custkey"], "o_totalprice", "o_orderkey").select("o_orderkey", c("k").alias("place"))
 
 
 @query("win_cum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_totalprice, o_orderkey DESC), 2) AS running, row_number() OVER (ORDER BY o_totalprice, o_orderkey DESC) AS i FROM orders")
