@@ -15,8 +15,9 @@ empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parzelle.llm import common
@@ -69,11 +70,18 @@ def split(keyed: DataFrame, shards: int) -> DataFrame:
 
 
 def _in_ranges(keyed: DataFrame, cuts: np.ndarray) -> DataFrame:
-    @F.pandas_udf("int")
-    def part(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype("int32"))
-
-    return keyed.withColumn("part", part("key"))
+    """Adds part, the number of cuts up to the key, found in two steps: among every n-th cut, then among the n that follow it."""
+    if not len(cuts):
+        return keyed.withColumn("part", F.lit(0))
+    n = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + n].tolist() for i in range(0, len(cuts), n)]
+    # constants as text, which Spark folds into literals
+    heads = F.split(F.lit(",".join(str(g[0]) for g in groups)), ",").cast("array<bigint>")
+    rest = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
+    upto = lambda values: F.size(F.filter(values, lambda cut: cut <= F.col("key")))
+    with_group = keyed.withColumn("_g", upto(heads))
+    part = F.when(F.col("_g") == 0, 0).otherwise((F.col("_g") - 1) * n + upto(F.get(rest, F.col("_g") - 1)))
+    return with_group.withColumn("part", part.cast("int")).drop("_g")
 
 
 def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

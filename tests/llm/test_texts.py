@@ -295,6 +295,15 @@ def test_shards_are_near_equal(spark, plain, docs):
     assert again == {r["doc_id"]: r["shard"] for r in rows}
 
 
+def test_ranges_of_keys(spark):
+    r = np.random.default_rng(4)
+    keys = [-(2**63), 2**63 - 1, 0, *r.integers(-(2**63), 2**63 - 1, size=300).tolist()]
+    for n in (0, 1, 2, 3, 10, 200):
+        cuts = np.unique(np.array(keys[:n], dtype=np.int64))
+        rows = sharding._in_ranges(spark.createDataFrame([(k,) for k in keys], "key long"), cuts).collect()
+        assert [x["part"] for x in rows] == np.searchsorted(cuts, [x["key"] for x in rows], side="right").tolist()
+
+
 def test_a_hot_group_is_split(spark):
     rows = spark.createDataFrame([(i, "copy" * 20 if i % 3 else f"text {i}") for i in range(3000)], "doc_id long, text string")
     check_shards(sharding.shard(rows, 8).collect(), range(3000), 8)
