@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parzelle.llm import bpe, fingerprints, langid, media, neardup, packing, secrets, sharding, token_counts, url_filters
+from parzelle.llm import bpe, fingerprints, funnels, langid, media, neardup, packing, secrets, sharding, token_counts, url_filters
 from parzelle.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,13 @@ RULES = [
 ]
 
 
+FUNNELS = [
+    funnels.Funnel("A", ("view", "click", "view", "purchase"), "error"),
+    funnels.Funnel("B", ("signup", "view", "click", "purchase"), "error"),
+    funnels.Funnel("C", ("click", "click", "purchase", "view"), "signup"),
+]
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -66,8 +73,12 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count(table(spark, sf_dir, "clicks"), FUNNELS)
+
+
 def queries() -> dict:
-    found = [op1_media_columns, op2_url_filters, op3_packing, op4_token_counts, op5_fingerprints, op6_sharding, op7_byte_bpe, op8_secret_scans, op9_language_id, op10_simhash_neardup]
+    found = [op1_media_columns, op2_url_filters, op3_packing, op4_token_counts, op5_fingerprints, op6_sharding, op7_byte_bpe, op8_secret_scans, op9_language_id, op10_simhash_neardup, op11_funnels]
     return {f.__name__: f for f in found}
 
 
@@ -93,5 +104,47 @@ def oracle_sql() -> dict[str, str]:
                 FROM parts
             )
             SELECT page_id, host, path, rule, CASE WHEN rule IS NULL OR rule = 'example.com/en/7' THEN 'allow' ELSE 'block' END AS verdict FROM ruled""",
+        "op11_funnels": """
+            WITH r AS (
+                SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS t FROM clicks
+                WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL
+            ), defs(funnel, step, kind, bad) AS (
+                VALUES ('A', 1, 'view', 'error'), ('A', 2, 'click', 'error'), ('A', 3, 'view', 'error'), ('A', 4, 'purchase', 'error'),
+                       ('B', 1, 'signup', 'error'), ('B', 2, 'view', 'error'), ('B', 3, 'click', 'error'), ('B', 4, 'purchase', 'error'),
+                       ('C', 1, 'click', 'signup'), ('C', 2, 'click', 'signup'), ('C', 3, 'purchase', 'signup'), ('C', 4, 'view', 'signup')
+            ), s1 AS (
+                SELECT d.funnel, r.client_id, d.bad, r.t AS s, r.t AS p FROM r JOIN defs d ON d.step = 1 AND d.kind = r.kind
+            ), s2 AS (
+                SELECT q.*, y.t AS n FROM (SELECT s1.*, d.kind AS want FROM s1 JOIN defs d ON d.funnel = s1.funnel AND d.step = 2) q
+                ASOF JOIN r y ON y.client_id = q.client_id AND y.kind = q.want AND y.t > q.p
+            ), k2 AS (
+                SELECT funnel, client_id, bad, s, p, n FROM s2
+                WHERE n - s <= 300000000 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.client_id = s2.client_id AND x.kind = s2.bad AND x.t > s2.p AND x.t <= s2.n)
+            ), s3 AS (
+                SELECT q.funnel, q.client_id, q.bad, q.s, q.n AS p, y.t AS n FROM (SELECT k2.*, d.kind AS want FROM k2 JOIN defs d ON d.funnel = k2.funnel AND d.step = 3) q
+                ASOF JOIN r y ON y.client_id = q.client_id AND y.kind = q.want AND y.t > q.n
+            ), k3 AS (
+                SELECT * FROM s3
+                WHERE n - s <= 300000000 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.client_id = s3.client_id AND x.kind = s3.bad AND x.t > s3.p AND x.t <= s3.n)
+            ), s4 AS (
+                SELECT q.funnel, q.client_id, q.bad, q.s, q.n AS p, y.t AS n FROM (SELECT k3.*, d.kind AS want FROM k3 JOIN defs d ON d.funnel = k3.funnel AND d.step = 4) q
+                ASOF JOIN r y ON y.client_id = q.client_id AND y.kind = q.want AND y.t > q.n
+            ), k4 AS (
+                SELECT * FROM s4
+                WHERE n - s <= 300000000 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.client_id = s4.client_id AND x.kind = s4.bad AND x.t > s4.p AND x.t <= s4.n)
+            ), steps AS (
+                SELECT funnel, client_id, 1 AS step, 0 AS d FROM s1 UNION ALL SELECT funnel, client_id, 2, n - p FROM k2
+                UNION ALL SELECT funnel, client_id, 3, n - p FROM k3 UNION ALL SELECT funnel, client_id, 4, n - p FROM k4
+            ), ranked AS (
+                SELECT *, ROW_NUMBER() OVER (PARTITION BY funnel, client_id, step ORDER BY d) AS i,
+                       (25 * COUNT(*) OVER (PARTITION BY funnel, client_id, step) + 99) // 100 AS k FROM steps
+            ), found AS (
+                SELECT funnel, client_id,
+                       COUNT(*) FILTER (step = 1) AS n1, COUNT(*) FILTER (step = 2) AS n2, COUNT(*) FILTER (step = 3) AS n3, COUNT(*) FILTER (step = 4) AS n4,
+                       MAX(step) AS deepest,
+                       MAX(d) FILTER (step = 2 AND i = k) AS t2, MAX(d) FILTER (step = 3 AND i = k) AS t3, MAX(d) FILTER (step = 4 AND i = k) AS t4
+                FROM ranked GROUP BY 1, 2
+            )
+            SELECT *, COUNT(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM found""",
     }
 
