@@ -49,44 +49,41 @@ def micros(df: DataFrame, column: str) -> Column:
     return seconds * SECOND + (F.extract(F.lit("SECOND"), c) * SECOND).cast("long")
 
 
-def following(rows: DataFrame, kinds: list[str], within: int) -> DataFrame:
-    """The distinct rows client, kind, t, each with next_0, next_1, ...: when the client's next row of each kind comes, as far as it may be within reach."""
-    span = SPAN * within
-    own = F.floor(F.col("t") / span).cast("long")
-    spans = F.explode(F.array_distinct(F.array(own, F.floor((F.col("t") - within) / span).cast("long")))).alias("span")
-    dealt = rows.withColumn("own", own).select("client", "kind", "t", "own", spans)
+def following(rows: DataFrame, kinds: int, within: int) -> DataFrame:
+    """The distinct rows client, kind (0, 1, ...), t, each with next_0, next_1, ...: when the client's next row of each kind comes, as far as it may be within reach."""
+    span = F.lit(SPAN * within)
+    of = lambda t: F.floor(t / span).cast("long")
+    spans = F.explode(F.array_distinct(F.array(of(F.col("t")), of(F.col("t") - within)))).alias("span")
+    # dealt before the windows' columns are made, so that all steps share this shuffle
+    dealt = rows.select("client", "kind", "t", spans).repartition("client", "span")
     after = Window.partitionBy("client", "span").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    seen = dealt.select("client", "kind", "t", "own", "span", *[F.min(F.when(F.col("kind") == k, F.col("t"))).over(after).alias(f"next_{i}") for i, k in enumerate(kinds)])
-    return seen.where("own = span").drop("own", "span")
+    seen = dealt.select("*", *[F.min(F.when(F.col("kind") == k, F.col("t"))).over(after).alias(f"next_{k}") for k in range(kinds)])
+    return seen.where(of(F.col("t")) == F.col("span")).drop("span")
 
 
-def attempts(rows: DataFrame, funnels: list[Funnel], within: int) -> DataFrame:
-    """A row for each attempt: funnel, client, d2 ... dn, the microseconds that each step reached took from the one before, else null."""
-    kinds = sorted({k for f in funnels for k in (*f.steps, f.excluding)})
-    at = {k: F.col(f"next_{i}") for i, k in enumerate(kinds)}
-    rows = following(rows.where(F.col("kind").isin(kinds)), kinds, within)
+def attempts(rows: DataFrame, funnels: list[Funnel], code: dict[str, int], within: int) -> DataFrame:
+    """A row for each attempt that reaches step 2: funnel, client, d2 ... dn, the microseconds that each step reached took from the one before, else null."""
+    seen = following(rows, len(code), within)
     longest = max(len(f.steps) for f in funnels)
 
-    def step(n: int, rows: DataFrame) -> DataFrame:
-        """For rows that may be step n of a funnel: when step n + 1 and an excluded row come next."""
-        some = [f for f in funnels if len(f.steps) > n]
-        ways = F.array(*[F.when(F.col("kind") == f.steps[n - 1], F.struct(F.lit(f.name).alias("funnel"), at[f.steps[n]].alias("then"), at[f.excluding].alias("bad"))) for f in some])
-        return rows.select("client", "kind", "t", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("way")).select("client", "kind", "t", "way.*")
-
-    def reached(start: Column, before: Column) -> Column:
-        then, bad = F.col("then"), F.col("bad")
-        return F.when((then - start <= within) & ~F.coalesce(bad <= then, F.lit(False)), then - before)
-
-    kind_of = lambda n: F.coalesce(*[F.when(F.col("funnel") == f.name, F.lit(f.steps[n - 1])) for f in funnels if len(f.steps) >= n])
-    held = step(1, rows)
-    held = held.select("funnel", "client", F.col("t").alias("start"), F.col("t").alias("last"), reached(F.col("t"), F.col("t")).alias("d2"))
+    def step(n: int) -> DataFrame:
+        """Rows that may be step n of a funnel, and how long it takes from them to step n + 1, if it can be reached."""
+        ways = []
+        for f in funnels:
+            if len(f.steps) > n:
+                then, bad = F.col(f"next_{code[f.steps[n]]}"), F.col(f"next_{code[f.excluding]}")
+                free = (then - F.col("t") <= within) & ~F.coalesce(bad <= then, F.lit(False))
+                ways.append(F.when((F.col("kind") == code[f.steps[n - 1]]) & free, F.struct(F.lit(f.name).alias("funnel"), (then - F.col("t")).alias("to"))))
+        return seen.select("client", "kind", "t", F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("way")).select("way.funnel", "client", "kind", "t", "way.to")
+
+    kind_of = lambda n: F.coalesce(*[F.when(F.col("funnel") == f.name, F.lit(code[f.steps[n - 1]])) for f in funnels if len(f.steps) >= n])
+    held = step(1).select("funnel", "client", F.col("t").alias("start"), F.col("t").alias("last"), F.col("to").alias("d2"))
     for n in range(2, longest):
         # an attempt that has ended has no kind, and so meets no row; its time still spreads it over the tasks
         d = F.col(f"d{n}")
         at_step = held.withColumns({"last": F.col("last") + F.coalesce(d, F.lit(0)), "kind": F.when(d.isNotNull(), kind_of(n))})
-        ways = step(n, rows).withColumnRenamed("t", "last")
-        met = at_step.join(ways, ["funnel", "client", "kind", "last"], "left")
-        held = met.select(*held.columns, reached(F.col("start"), F.col("last")).alias(f"d{n + 1}"))
+        met = at_step.join(step(n).withColumnRenamed("t", "last"), ["funnel", "client", "kind", "last"], "left")
+        held = met.select(*held.columns, F.when(F.col("last") + F.col("to") - F.col("start") <= within, F.col("to")).alias(f"d{n + 1}"))
     return held.drop("start", "last")
 
 
@@ -114,11 +111,15 @@ def count(df: DataFrame, funnels: list[Funnel], within: int = 300 * SECOND, perc
     if not 0 < percent <= 100:
         raise ValueError("percent must lie above 0, and at 100 at most")
     longest = max(len(f.steps) for f in funnels)
-    picked = df.select(F.col(f"`{client}`").alias("client"), F.col(f"`{kind}`").alias("kind"), micros(df, time).alias("t"))
-    tries = attempts(picked.dropna().distinct(), funnels, within)
-    # step 1 of an attempt takes no time
-    steps = F.array(F.struct(F.lit(1).alias("step"), F.lit(0).cast("long").alias("d")), *[F.struct(F.lit(n).alias("step"), F.col(f"d{n}").alias("d")) for n in range(2, longest + 1)])
-    counted = tries.select("funnel", "client", F.explode(F.filter(steps, lambda x: x["d"].isNotNull())).alias("x")).groupBy("funnel", "client", "x.step", "x.d").agg(F.count(F.lit(1)).alias("c"))
+    code = {k: i for i, k in enumerate(sorted({k for f in funnels for k in (*f.steps, f.excluding)}))}
+    coded = F.coalesce(*[F.when(F.col(f"`{kind}`") == k, F.lit(i).cast("byte")) for k, i in code.items()])
+    rows = df.select(F.col(f"`{client}`").alias("client"), coded.alias("kind"), micros(df, time).alias("t")).dropna().distinct()
+    # every first step is an attempt; it takes no time
+    begun = F.filter(F.array(*[F.when(F.col("kind") == code[f.steps[0]], F.lit(f.name)) for f in funnels]), lambda x: x.isNotNull())
+    first = rows.select("client", F.explode(begun).alias("funnel")).groupBy("funnel", "client").agg(F.count(F.lit(1)).alias("c"))
+    steps = F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"d{n}").alias("d")) for n in range(2, longest + 1)])
+    later = attempts(rows, funnels, code, within).select("funnel", "client", F.explode(F.filter(steps, lambda x: x["d"].isNotNull())).alias("x"))
+    counted = later.groupBy("funnel", "client", "x.step", "x.d").agg(F.count(F.lit(1)).alias("c")).unionByName(first.select("funnel", "client", F.lit(1).alias("step"), F.lit(0).cast("long").alias("d"), "c"))
     times = ranked_times(durable(counted), percent)
     n_of = lambda n: F.coalesce(F.sum(F.when(F.col("step") == n, F.col("n"))), F.lit(0)).alias(f"n{n}")
     t_of = lambda n: F.max(F.when(F.col("step") == n, F.col("time"))).alias(f"t{n}")
