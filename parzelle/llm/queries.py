@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parzelle.llm import bpe, conversations, fingerprints, funnels, langid, media, neardup, packing, secrets, sharding, token_counts, url_filters
+from parzelle.llm import bpe, conversations, fingerprints, funnels, langid, media, neardup, packing, pii, secrets, sharding, token_counts, url_filters
 from parzelle.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -81,8 +81,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_media_columns, op2_url_filters, op3_packing, op4_token_counts, op5_fingerprints, op6_sharding, op7_byte_bpe, op8_secret_scans, op9_language_id, op10_simhash_neardup, op11_funnels, op12_conversation_repair]
+    found = [op1_media_columns, op2_url_filters, op3_packing, op4_token_counts, op5_fingerprints, op6_sharding, op7_byte_bpe, op8_secret_scans, op9_language_id, op10_simhash_neardup, op11_funnels, op12_conversation_repair, op13_pii]
     return {f.__name__: f for f in found}
 
 
