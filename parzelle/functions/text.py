@@ -11,6 +11,11 @@ def replace_each(text: Column, strings: list[str], by: str = "") -> Column:
     return reduce(lambda t, s: F.replace(t, F.lit(s), F.lit(by)), strings, text)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), where the value is computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def transliterate(text: Column) -> Column:
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -31,10 +36,30 @@ def cut_at(text: Column, term: str) -> Column:
     return F.substring_index(text, term, 1)
 
 
+#: White space that trimmed() takes off.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+# A comma part is a place if it has a number of 4 or 5 digits before a word, or one of 5 digits; it is a
+# street if it ends in a house number after a blank, with any suffix free of digits, or if digits end it after a letter.
+PLACE = r"(?U)\d{4,5} \w", r"(?U)\d{5}"
+STREET = r"(?Ud)^.+\s\d+(\D*[^\d\s])?$", r"(?Ud)[A-Za-z].*\d$"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.regexp_like(text, F.lit(p)) for p in patterns])
+
+
+def is_address(part: Column) -> Column:
+    """Whether a comma part is a place or a street. What has no digit is neither, so most parts meet one plain test."""
+    return F.regexp_like(part, F.lit(r"(?U)\d")) & matches_any(part, (*PLACE, *STREET))
+
+
 def drop_address_parts(text: Column) -> Column:
-    """Without comma parts that look like a postcode with place, a bare postcode, or a street with number. A part with a * is a birth date and stays."""
-    address = r"(?U)\b\d{5} \b\w+\b|\b\d{5}\b|\b\d{1,4}$|\b\d{1,3} ?[a-f]$"
-    return F.array_join(F.filter(parts(text), lambda p: F.contains(p, F.lit("*")) | ~F.regexp_like(p, F.lit(address))), ", ")
+    """Without the comma parts that are places or streets."""
+    return F.array_join(F.transform(F.filter(F.split(text, ","), lambda p: ~is_address(p)), trimmed), ", ")
 
 
 def drop_street_word(text: Column, keywords: list[str]) -> Column:
@@ -51,12 +76,12 @@ def drop_last_part(text: Column, delimiter: str, keywords: list[str]) -> Column:
 
 
 def drop_word_and_next(text: Column, terms: str | list[str], words: int = 2) -> Column:
-    """For each term, without the phrase made of its first occurrence as a word and what follows, so many words in all; every occurrence of the phrase goes."""
+    """For each term, without the phrase made of its first occurrence as a word of the whole text and what follows there, so many words in all; every occurrence of the phrase goes."""
+    split = F.split(text, " ")
     for term in [terms] if isinstance(terms, str) else terms:
-        split = F.split(text, " ")
         at = F.array_position(split, term)
         phrase = F.array_join(F.slice(split, F.greatest(at, F.lit(1)).cast("int"), F.lit(words)), " ")
-        text = F.when(at > 0, F.trim(F.replace(text, phrase, F.lit("")))).otherwise(text)
+        text = F.when(at > 0, F.trim(F.replace(text, phrase, F.lit("")))).otherwise(F.trim(text))
     return text
 
 
@@ -67,7 +92,8 @@ def has_any(text: Column, terms: list[str]) -> Column:
 
 def has_word(text: Column, terms: list[str]) -> Column:
     """One of the terms is a whole word, between spaces or commas."""
-    return F.arrays_overlap(F.split(F.replace(text, F.lit(","), F.lit(" ")), " "), F.array(*[F.lit(t) for t in terms]))
+    padded = F.concat(F.lit(" "), F.replace(text, F.lit(","), F.lit(" ")), F.lit(" "))
+    return has_any(padded, [f" {t} " for t in terms])
 
 
 def birth_date(text: Column) -> Column:
@@ -75,34 +101,31 @@ def birth_date(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("*")), F.substring_index(F.get(F.split(text, "[*]"), F.lit(1)), ",", 1))
 
 
-def _first(text: Column, pattern: str) -> Column:
-    return F.element_at(F.filter(parts(text), lambda p: F.regexp_like(p, F.lit(pattern))), F.lit(1))
-
-
-def _some(c: Column) -> Column:
-    return F.when(F.length(c) > 0, c)
+def _first_found(text: Column, of) -> Column:
+    """Of the comma parts, in order, the first for which `of` isn't null; empty without one."""
+    return F.coalesce(F.get(F.filter(F.transform(F.split(text, ","), of), lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
 
 def postcode(text: Column) -> Column:
-    """Five digits before a word, else four digits before a word, else five digits; empty without one."""
-    found = [_some(F.regexp_extract(text, p, 1)) for p in (r"(?U)\b(\d{5}) \w+", r"(?U)\b(\d{4}) \w+", r"(?U)\b(\d{5})\b")]
-    return F.coalesce(*found, F.lit(""))
-
+    """Of the first comma part that has one: five digits before a word, else four digits before a word, else five digits; empty without one."""
+    def of(part: Column) -> Column:
+        digits = lambda n: F.regexp_extract(part, rf"(?U)(\d{{{n}}})", 1)
+        has = lambda p: F.regexp_like(part, F.lit(p))
+        return F.when(has(r"(?U)\d{5} \w"), digits(5)).when(has(r"(?U)\d{4} \w"), digits(4)).when(has(r"(?U)\d{5}"), digits(5))
 
-def _maybe(array: Column) -> Column:
-    return F.get(array, F.lit(0))
+    return _first_found(text, of)
 
 
 def street(text: Column) -> Column:
-    """First comma part that ends in a house number; empty without one."""
-    found = F.filter(parts(text), lambda p: F.regexp_like(p, F.lit(r"(?U)\w+.* \d{1,4}( ?[a-f])?$")))
-    return F.coalesce(_maybe(found), F.lit(""))
+    """First comma part, or line, that ends in a house number, with or without a small letter from a to f; empty without one."""
+    ends = lambda p: F.when(F.regexp_like(p, F.lit(r"(?Ud)\d( ?[a-f])?$")), p)
+    return trimmed(_first_found(F.replace(text, F.lit("\n"), F.lit(",")), ends))
 
 
 def city(text: Column) -> Column:
-    """What follows the postcode in its part; empty without one."""
-    found = F.filter(parts(text), lambda p: F.regexp_like(p, F.lit(r"(?U)\b\d{4,5} \w+")))
-    return F.coalesce(F.trim(F.regexp_replace(_maybe(found), r"\d", "")), F.lit(""))
+    """What is no digit in the first comma part that has a postcode before a word; empty without one."""
+    of = lambda p: F.when(F.regexp_like(p, F.lit(r"(?U)\d{4} \w")), F.array_join(F.regexp_extract_all(p, F.lit(r"(?U)(\D{1,100})"), F.lit(1)), " "))
+    return trimmed(_first_found(text, of))
 
 
 def completeness(has_street: Column, has_city: Column, has_postcode: Column) -> Column:
@@ -111,26 +134,46 @@ def completeness(has_street: Column, has_city: Column, has_postcode: Column) ->
     return bit(has_street, 1) + bit(has_city, 2) + bit(has_postcode, 4)
 
 
-def clean_addresses(text: Column, joint: str = "_") -> Column:
-    """Alternatives, normalised: transliterated, without . - :, street words shortened; without unknown ones; each once, and not if part of a longer one."""
-    plain = replace_each(transliterate(F.lower(text)), [".", "-", ":"])
-    plain = F.replace(F.replace(plain, F.lit("strasse"), F.lit("str")), F.lit("00000"), F.lit("unbekannt"))
-    each = F.array_distinct(F.filter(parts(plain, joint), lambda p: ~F.contains(p, F.lit("unbekannt")) & (F.length(p) > 0)))
+def rebuilt_address(text: Column) -> Column:
+    """One address as 'street number, postcode city', whatever the order of its parts: the number without a leading zero
+    and blanks, the city without what follows a slash and without districts (bei, ot); empty without postcode and city."""
+    def built(found: Column, place: Column, town: Column) -> Column:
+        number = F.regexp_extract(found, r"(?Ud)(\d{1,4}\s?[a-f]?)$", 1)
+        with_street = let(number, lambda n: F.concat(trimmed(F.substring(found, F.lit(1), F.length(found) - F.length(n))), F.lit(" "), F.regexp_replace(F.replace(n, F.lit(" "), F.lit("")), "^0", ""), F.lit(", ")))
+        return F.when(F.concat(place, town) != "", F.concat(F.when(found != "", with_street).otherwise(""), place, F.lit(" "), town)).otherwise("")
+
+    town = let(F.substring_index(city(text), "/", 1), lambda x: drop_word_and_next(x, ["bei", "ot"]))
+    return let(F.struct(street(text).alias("s"), postcode(text).alias("p"), town.alias("t")), lambda x: built(x["s"], x["p"], x["t"]))
+
+
+def clean_addresses(text: Column, joint: str = "_", unknown: str = "unbekannt") -> Column:
+    """Alternatives, each rebuilt from a transliterated text without . and : and with blanks for -; without unknown ones;
+    each once, and not if part of a longer one but for blanks; by length, then alphabet."""
+    plain = F.replace(replace_each(transliterate(F.lower(text)), [".", ":"]), F.lit("-"), F.lit(" "))
+    plain = F.replace(plain, F.lit("strasse"), F.lit("str"))
+    known = F.filter(F.transform(F.split(plain, "\\Q" + joint + "\\E"), trimmed), lambda p: ~F.contains(p, F.lit("00000")) & ~F.contains(p, F.lit("unbekannt")))
+    each = by_length(F.array_distinct(F.filter(F.transform(known, rebuilt_address), lambda p: p != "")))
     bare = lambda p: F.replace(p, F.lit(" "), F.lit(""))
-    kept = F.filter(each, lambda p: ~F.exists(each, lambda q: (F.length(bare(q)) > F.length(bare(p))) & F.contains(bare(q), bare(p))))
-    return F.when(F.size(kept) > 0, F.array_join(kept, joint)).otherwise("unbekannt")
+    kept = let(each, lambda e: F.filter(e, lambda p, i: ~F.exists(F.slice(e, i + 2, F.lit(1 << 30)), lambda q: F.contains(bare(q), bare(p)))))
+    return let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, joint)).otherwise(unknown))
 
 
 def owners(text: Column) -> Column:
-    """Owners of a free text: an entry to a line; without birth names and address parts, and nothing after the part that has the birth date; each once, in order."""
+    """Owners of a free text: an entry to a line; without birth names and address parts, and nothing after the part that
+    has the birth date; each once, in order. A last entry that is part of an earlier one is a cut-off repetition and goes.
+    A line of nothing but an address is an owner without a name; a blank text is an unknown owner."""
     def one(line: Column) -> Column:
-        held = F.filter(parts(drop_address_parts(drop_parts_with_word(F.trim(line), "geb."))), lambda p: F.length(p) > 0)
-        at = F.array_position(F.transform(held, lambda p: F.contains(p, F.lit("*"))), True)
-        return F.array_join(F.when(at > 0, F.slice(held, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(held), ", ")
+        held = F.filter(F.split(line, ","), lambda p: ~F.array_contains(F.split(p, " "), "geb.") & ~is_address(p))
+        cut = lambda h, at: F.when(at > 0, F.slice(h, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(h)
+        return let(F.transform(held, trimmed), lambda h: F.array_join(cut(h, F.array_position(F.transform(h, lambda p: F.contains(p, F.lit("*"))), True)), ", "))
+
+    def kept(each: Column) -> Column:
+        last, earlier = F.element_at(each, -1), F.slice(each, F.lit(1), F.size(each) - 1)
+        gone = F.exists(earlier, lambda o: F.contains(o, last)) & ~F.array_contains(earlier, last)
+        return F.array_distinct(F.transform(F.when(gone, earlier).otherwise(each), lambda o: F.replace(trimmed(o), F.lit("  "), F.lit(" "))))
 
-    each = F.transform(F.split(F.lower(F.trim(text)), "\n"), one)
-    each = F.array_distinct(F.filter(each, lambda o: F.length(o) > 0))
-    return F.when(F.size(each) > 0, each).otherwise(F.array(F.lit("unbekannt")))
+    plain = trimmed(F.regexp_replace(F.lower(F.when(F.length(trimmed(text)) > 0, text).otherwise("unbekannt")), "^,+|,+$", ""))
+    return let(F.transform(F.split(plain, "\n"), one), kept)
 
 
 #: Phrases that a key leaves out, in this order.
@@ -192,17 +235,13 @@ def age_or_unknown(birth: Column, name: Column, klass: Column, oldest: int = 101
     return years, F.when(gone, F.lit(unknown_name)).otherwise(name), F.when(gone, F.lit(unknown_class)).otherwise(klass)
 
 
-#: Street and house number: a word, then a number with or without a suffix; or letters up to a number at the end.
-_STREET = r"(?U)^.+\s\d+(\s*[^\d\s]+)*$", r"[A-Za-z]+.*\d{1,4}$"
-#: Postcode and place, or a postcode.
-_PLACE = r"(?U)\d{4,5} \b\w+\b", r"\d{5}"
 #: What an owner without an address gets, as the register spells it.
 NO_ADDRESS = "unkown 1, 00000 unkown"
 
 
 def _first_of(parts_: Column, patterns: tuple[str, str]) -> Column:
     """Of the parts, in order, the first that either pattern is found in; else empty."""
-    found = F.filter(parts_, lambda p: F.regexp_like(p, F.lit(patterns[0])) | F.regexp_like(p, F.lit(patterns[1])))
+    found = F.filter(parts_, lambda p: matches_any(p, patterns))
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
@@ -212,8 +251,8 @@ def addresses_of(owner: Column, raw: Column) -> Column:
 
     def one(after: Column) -> Column:
         two = F.slice(F.split(F.regexp_replace(after, "^,+|,+$", ""), ","), 1, 2)
-        both = F.trim(F.regexp_replace(F.concat(_first_of(two, _STREET), F.lit(","), _first_of(two, _PLACE)), "^,+|,+$", ""))
-        return F.when(F.length(both) > 1, both).otherwise(NO_ADDRESS)
+        both = let(two, lambda x: F.trim(F.regexp_replace(F.concat(_first_of(x, STREET), F.lit(","), _first_of(x, PLACE)), "^,+|,+$", "")))
+        return let(both, lambda x: F.when(F.length(x) > 1, x).otherwise(NO_ADDRESS))
 
     # what stands between two occurrences is all that the first is followed by, as only two parts are looked at
     return F.array_join(F.array_sort(F.array_distinct(F.transform(rest, one))), "_")

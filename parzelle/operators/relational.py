@@ -122,7 +122,8 @@ def cross_table(df: DataFrame, row: str, column: str, values: list, percent: boo
 def stretch(df: DataFrame, names: str, others: str, drop: str, areas: list[str]) -> DataFrame:
     """A row for each name of a list column with the entry of the other list at its place; a name to drop goes with its entry; areas are divided by the names that stay."""
     zipped = F.filter(F.arrays_zip(F.col(names).alias("name"), F.col(others).alias("other")), lambda x: x["name"] != drop)
-    held = df.withColumn("_z", zipped).withColumn("n_owners", F.size("_z"))
+    # by way of a generator, behind which the lists are not computed anew for each use
+    held = df.select("*", F.explode(F.array(zipped)).alias("_z")).withColumn("n_owners", F.size("_z"))
     held = held.withColumns({a: F.try_divide(F.col(a), F.col("n_owners")) for a in areas})
     return held.select(*[c for c in df.columns if c not in (names, others)], "n_owners", F.inline("_z"))
 

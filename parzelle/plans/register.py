@@ -12,8 +12,8 @@ from parzelle.plans.registry import Tables, query
 
 c = F.col
 
-#: Raw entries of two owners, from customers; each third one has the second owner without an address.
-_RAW = "concat('Müller, Anna', CAST(c_custkey % 9 AS VARCHAR(9)), ', * 1950-01-02, Haupt Str ', CAST(c_custkey % 90 + 1 AS VARCHAR(9)), ', ', lpad(CAST(c_custkey * 37 % 100000 AS VARCHAR(9)), 5, '0'), ' Ort', CAST(c_nationkey AS VARCHAR(9)), chr(10), CASE c_custkey % 4 WHEN 0 THEN 'Acker AG' WHEN 1 THEN 'Kirchgemeinde Dorf' WHEN 2 THEN 'Land Brandenburg' ELSE 'Hof GmbH' END, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(', Am Weg ', CAST(c_custkey % 70 + 1 AS VARCHAR(9)), ', 01234 Stadt') END)"
+#: Raw entries of two owners, from customers; each third one has the second owner without an address, each fifth ends in a repetition of the first that is cut off.
+_RAW = "concat('Müller, Anna', chr(97 + c_custkey % 9), ', * 1950-01-02, Haupt Str ', CAST(c_custkey % 90 + 1 AS VARCHAR(9)), ', ', lpad(CAST(c_custkey * 37 % 100000 AS VARCHAR(9)), 5, '0'), ' Ort', CAST(c_nationkey AS VARCHAR(9)), chr(10), CASE c_custkey % 4 WHEN 0 THEN 'Acker AG' WHEN 1 THEN 'Kirchgemeinde Dorf' WHEN 2 THEN 'Land Brandenburg' ELSE 'Hof GmbH' END, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(', Am Weg ', CAST(c_custkey % 70 + 1 AS VARCHAR(9)), ', 01234 Stadt') END, CASE WHEN c_custkey % 5 = 0 THEN concat(chr(10), 'Müller, Anna', chr(97 + c_custkey % 9)) ELSE '' END)"
 
 
 def raw(t: Tables) -> DataFrame:
@@ -22,14 +22,14 @@ def raw(t: Tables) -> DataFrame:
 
 @query(
     "own_from_raw",
-    """WITH x AS (SELECT c_custkey, c_acctbal, 'müller, anna' || c_custkey % 9 || ', * 1950-01-02' AS one, 'haupt str ' || c_custkey % 90 + 1 || ', ' || lpad(CAST(c_custkey * 37 % 100000 AS VARCHAR), 5, '0') || ' ort' || c_nationkey AS a1,
+    """WITH x AS (SELECT c_custkey, c_acctbal, 'müller, anna' || chr(CAST(97 + c_custkey % 9 AS INT)) || ', * 1950-01-02' AS one, 'haupt str ' || c_custkey % 90 + 1 || ', ' || lpad(CAST(c_custkey * 37 % 100000 AS VARCHAR), 5, '0') || ' ort' || c_nationkey AS a1,
         CASE c_custkey % 4 WHEN 0 THEN 'acker ag' WHEN 1 THEN 'kirchgemeinde dorf' WHEN 2 THEN 'land brandenburg' ELSE 'hof gmbh' END AS two, CASE WHEN c_custkey % 3 = 0 THEN 'unkown 1, 00000 unkown' ELSE 'am weg ' || c_custkey % 70 + 1 || ', 01234 stadt' END AS a2,
         CASE c_custkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 20 WHEN 2 THEN 23 ELSE 8 END AS k FROM customer)
     SELECT c_custkey, one AS owner, a1 AS address, 1 AS category, '1_1_1' AS level3, round(c_acctbal / 2, 6) AS area, 2::BIGINT AS n_owners FROM x
     UNION ALL SELECT c_custkey, two, a2, k, CASE k WHEN 7 THEN '2_1_1' WHEN 20 THEN '4_1_1' WHEN 23 THEN '5_2_2' ELSE '2_1_2' END, round(c_acctbal / 2, 6), 2 FROM x""",
 )
 def own_from_raw(t: Tables) -> DataFrame:
-    rows = raw(t).withColumn("names", T.owners(c("raw")))
+    rows = raw(t).select("*", F.explode(F.array(T.owners(c("raw")))).alias("names"))
     # an address belongs to its own line of the entry
     rows = rows.withColumn("addresses", F.transform("names", lambda o: T.addresses_of(o, F.replace(c("raw"), F.lit("\n"), F.lit(",\n")))))
     each = R.stretch(rows.drop("raw"), "names", "addresses", "unbekannt", ["area"])
