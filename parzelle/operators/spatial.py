@@ -1,9 +1,10 @@
-"""Grids, windows, distances and buffers, by arithmetic on coordinates and cell numbers."""
+"""Grids, windows, distances, buffers and measures of polygons, by arithmetic on coordinates and cell numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parzelle.functions.text import let
 from parzelle.operators.ranks import ranked
 
 #: Shifts of 12 km windows over 4 km cells, in cells.
@@ -146,57 +147,65 @@ def outer_overlap(left: DataFrame, right: DataFrame, size: float, key: str = "k"
     return met.unionByName(whole.withColumn("area", rest).where("area > 1e-9").drop("_a"), allowMissingColumns=True)
 
 
-def ring(wkt: Column) -> Column:
-    """The outer ring of POLYGON ((x y, ...)) as an array of x, y; null if it is none."""
-    body = F.regexp_extract(wkt, r"^POLYGON ?\(\(([^()]*)\)", 1)
-    points = F.transform(F.split(body, ", ?"), lambda p: F.struct(F.get(F.split(p, " "), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(p, " "), F.lit(1)).try_cast("double").alias("y")))
-    return F.when(F.length(body) > 0, points)
-
-
 def polygon_parts(wkt: Column) -> Column:
     """All polygons of a POLYGON, MULTIPOLYGON or GEOMETRYCOLLECTION, each as POLYGON text; other geometries are left out."""
     found = F.regexp_extract_all(wkt, F.lit(r"\(\([^()]+\)(?:, ?\([^()]+\))*\)"), F.lit(0))
     return F.transform(found, lambda p: F.concat(F.lit("POLYGON "), p))
 
 
-def _edges(points: Column) -> Column:
-    """Neighbouring points, the last with the first."""
+def _number(text: Column, i: int) -> Column:
+    return F.get(F.split(F.trim(text), " +"), F.lit(i)).try_cast("double")
+
+
+def _joined(points: Column) -> Column:
+    """The edges between neighbouring points, the last with the first; none of no length."""
     n = F.size(points)
-    return F.transform(points, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get(points, (i + 1) % n)["x"].alias("x2"), F.get(points, (i + 1) % n)["y"].alias("y2")))
+    each = F.transform(points, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get(points, (i + 1) % n)["x"].alias("x2"), F.get(points, (i + 1) % n)["y"].alias("y2")))
+    return F.filter(each, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
 
 def _total(array: Column, f) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda s, e: s + f(e))
 
 
-def shape(points: Column) -> dict[str, Column]:
-    """area, perimeter, cx, cy (centroid), x_min, y_min, x_max, y_max of a ring of points."""
-    edges = _edges(points)
-    cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    twice = _total(edges, cross)
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+def _cross(e: Column) -> Column:
+    return e["x1"] * e["y2"] - e["x2"] * e["y1"]
+
+
+def rings(wkt: Column) -> Column:
+    """All rings of a polygon text of any kind, with parts and holes, each as an array of its edges (x1, y1, x2, y2). What lies to the left of an edge is inside: outer rings run against the clock, holes with it, however they are written. Null if there is no polygon."""
+    def directed(points: Column, hole: Column) -> Column:
+        turned = lambda e: F.transform(F.reverse(e), lambda x: F.struct(x["x2"].alias("x1"), x["y2"].alias("y1"), x["x1"].alias("x2"), x["y1"].alias("y2")))
+        return let(_joined(points), lambda e: F.when((_total(e, _cross) > 0) == hole, turned(e)).otherwise(e))
+
+    point = lambda p: F.struct(_number(p, 0).alias("x"), _number(p, 1).alias("y"))
+    of_part = lambda part: F.transform(F.regexp_extract_all(part, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda r, i: let(F.transform(F.split(r, ","), point), lambda p: directed(p, i > 0)))
+    found = F.flatten(F.transform(polygon_parts(wkt), of_part))
+    return F.when(F.size(polygon_parts(wkt)) > 0, found)
+
+
+def edges(wkt: Column) -> Column:
+    """The edges of all rings(); null if there is no polygon."""
+    return F.flatten(rings(wkt))
+
+
+def shape(edges_: Column) -> dict[str, Column]:
+    """area, perimeter, cx, cy (centroid), x_min, y_min, x_max, y_max of a polygon's edges()."""
+    twice = _total(edges_, _cross)
+    xs, ys = F.transform(edges_, lambda e: e["x1"]), F.transform(edges_, lambda e: e["y1"])
     return {
-        "area": F.abs(twice) / 2,
-        "perimeter": _total(edges, lambda e: F.sqrt(F.pow(e["x2"] - e["x1"], 2) + F.pow(e["y2"] - e["y1"], 2))),
-        "cx": F.try_divide(_total(edges, lambda e: (e["x1"] + e["x2"]) * cross(e)), 3 * twice),
-        "cy": F.try_divide(_total(edges, lambda e: (e["y1"] + e["y2"]) * cross(e)), 3 * twice),
+        "area": twice / 2,
+        "perimeter": _total(edges_, lambda e: F.sqrt(F.pow(e["x2"] - e["x1"], 2) + F.pow(e["y2"] - e["y1"], 2))),
+        "cx": F.try_divide(_total(edges_, lambda e: (e["x1"] + e["x2"]) * _cross(e)), 3 * twice),
+        "cy": F.try_divide(_total(edges_, lambda e: (e["y1"] + e["y2"]) * _cross(e)), 3 * twice),
         "x_min": F.array_min(xs), "y_min": F.array_min(ys), "x_max": F.array_max(xs), "y_max": F.array_max(ys),
     }
 
 
-def inside(x: Column, y: Column, points: Column) -> Column:
-    """Whether a point lies in a ring: an odd number of its edges is crossed to the right."""
+def inside(x: Column, y: Column, edges_: Column) -> Column:
+    """Whether a point lies in a polygon with any parts and holes: an odd number of its edges is crossed to the right."""
     crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"]))
-    return F.size(F.filter(_edges(points), crossed)) % 2 == 1
-
-
-def in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Points (x, y) with the polygons (ring) that they lie in; they meet through the cells that a polygon's bounds touch. Columns of polygons get the prefix p_."""
-    s = shape(F.col("ring"))
-    boxed = polygons.withColumns({"x1": s["x_min"], "y1": s["y_min"], "x2": s["x_max"], "y2": s["y_max"]})
-    p = _spread(boxed, size).select("_cx", "_cy", *[F.col(c).alias(f"p_{c}") for c in polygons.columns])
-    at = points.withColumns({"_cx": F.floor(F.col("x") / size).cast("int"), "_cy": F.floor(F.col("y") / size).cast("int")})
-    return at.join(p, ["_cx", "_cy"]).where(inside(F.col("x"), F.col("y"), F.col("p_ring"))).drop("_cx", "_cy")
+    return F.size(F.filter(edges_, crossed)) % 2 == 1
 
 
 def without_slivers(df: DataFrame, area: str, perimeter: str, least_area: float, least_ratio: float) -> DataFrame:

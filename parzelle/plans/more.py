@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parzelle.functions import text as T
-from parzelle.operators import concentration as C, relational as R, reports as P, spatial as S
+from parzelle.operators import concentration as C, polygons as Y, relational as R, reports as P, spatial as S
 from parzelle.plans import concentration as K
 from parzelle.plans.registry import Tables, query
 
@@ -179,19 +179,19 @@ def diamonds(t: Tables) -> DataFrame:
     k = c("s_suppkey")
     x, y, r = (k * 13 % 800), (k * 29 % 900), (k % 37 + 20)
     wkt = F.concat_ws("", F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", (x + a * r).cast("string"), (y + b * r).cast("string")) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1))]), F.lit("))"))
-    return t.supplier.select(k.alias("k"), wkt.alias("wkt"), S.ring(wkt).alias("ring"))
+    return t.supplier.select(k.alias("k"), wkt.alias("wkt"))
 
 
 @query("geo_in_polygon", "SELECT c_custkey, s_suppkey AS k FROM customer JOIN supplier ON abs(c_custkey % 800 + 0.3 - s_suppkey * 13 % 800) + abs(c_custkey * 7 % 900 + 0.4 - s_suppkey * 29 % 900) < s_suppkey % 37 + 20")
 def geo_in_polygon(t: Tables) -> DataFrame:
     points = t.customer.select("c_custkey", (c("c_custkey") % 800 + 0.3).alias("x"), (c("c_custkey") * 7 % 900 + 0.4).alias("y"))
-    return S.in_polygons(points, diamonds(t), 50.0).select("c_custkey", c("p_k").alias("k"))
+    return Y.in_polygons(points, diamonds(t), 50.0, "wkt").select("c_custkey", c("p_k").alias("k"))
 
 
 @query("geo_shapes", "WITH x AS (SELECT s_suppkey AS k, s_suppkey * 13 % 800 AS x, s_suppkey * 29 % 900 AS y, s_suppkey % 37 + 20 AS r FROM supplier) SELECT k, CAST(2 * r * r AS DOUBLE) AS area, round(4 * sqrt(2) * r, 6) AS perimeter, round(x::DOUBLE, 6) AS cx, round(y::DOUBLE, 6) AS cy, CAST(x - r AS DOUBLE) AS x_min, CAST(y + r AS DOUBLE) AS y_max FROM x")
 def geo_shapes(t: Tables) -> DataFrame:
-    s = S.shape(c("ring"))
-    return diamonds(t).select("k", *[F.round(s[n], 6).alias(n) for n in ("area", "perimeter", "cx", "cy", "x_min", "y_max")])
+    s = S.shape(c("edges"))
+    return diamonds(t).select("k", F.explode(F.array(S.edges(c("wkt")))).alias("edges")).select("k", *[F.round(s[n], 6).alias(n) for n in ("area", "perimeter", "cx", "cy", "x_min", "y_max")])
 
 
 @query("geo_slivers", "WITH x AS (SELECT p_partkey, CAST(p_size * (p_partkey % 7 + 1) AS DOUBLE) AS a, 2.0 * (p_size + p_partkey % 7 + 1) AS p FROM part) SELECT p_partkey, round(4 * 3.14 * a / (p * p), 6) AS thin_ratio FROM x WHERE a >= 30 AND 4 * 3.14 * a / (p * p) > 0.4")
