@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of a sheet, with its head, by the format.
@@ -184,20 +185,31 @@ def attributes(data: bytes, encoding: str = "latin-1") -> tuple[list[str], Itera
             place = head + i * size + 1
             out = []
             for _, width in fields:
-                out.append(data[place : place + width].decode(encoding).strip() or None)
+                out.append(data[place : place + width].decode(encoding).rstrip(" \0") or None)
                 place += width
             yield out
 
     return [name for name, _ in fields], rows()
 
 
+def _code_page(spark: SparkSession, path: str) -> str:
+    """What the .cpg files name, if there are any; Latin-1 without."""
+    try:
+        said = spark.read.text(path).limit(1).first()
+    except AnalysisException:
+        return "latin-1"
+    name = (said[0] if said else "").strip()
+    return f"cp{name}" if name.isdigit() else name or "latin-1"
+
+
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """geometry (text), then the columns of the .dbf file beside it, as strings."""
+    """geometry (text), then the columns of the .dbf file beside it, as strings, in the code page that a .cpg file names."""
     table = re.sub(r"\.shp$", ".dbf", path)
+    encoding = _code_page(spark, re.sub(r"\.shp$", ".cpg", path))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([attributes(x)[0] for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["names"])
+            yield pa.RecordBatch.from_arrays([pa.array([attributes(x, encoding)[0] for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["names"])
 
     names = _files(spark, table).orderBy("path").limit(1).mapInArrow(head, "names array<string>").first()[0]
     both = _files(spark, path).select(F.regexp_replace("path", r"\.shp$", "").alias("file"), F.col("content").alias("shp")).join(_files(spark, table).select(F.regexp_replace("path", r"\.dbf$", "").alias("file"), F.col("content").alias("dbf")), "file")
@@ -205,38 +217,76 @@ def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shp, dbf in zip(batch.column("shp").to_pylist(), batch.column("dbf").to_pylist(), strict=True):
-                records = [[g, *r] for g, r in zip(shapes(shp), attributes(dbf)[1], strict=True)]
+                records = [[g, *r] for g, r in zip(shapes(shp), attributes(dbf, encoding)[1], strict=True)]
                 columns = list(zip(*records, strict=True)) or [[]] * (1 + len(names))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in columns], names=["geometry", *(f"c{i}" for i in range(len(names)))])
 
     return both.mapInArrow(rows, ", ".join(["geometry string", *(f"c{i} string" for i in range(len(names)))])).toDF("geometry", *names)
 
 
-def write_shapes(df: DataFrame, geometry: str, path: str, width: int = 80) -> None:
-    """POLYGON texts and the other columns as .shp, .shx and .dbf beside each other at a path of the driver; rows pass it one partition at a time."""
+#: Bytes that a column's name and value may have in a .dbf file.
+NAME_BYTES, VALUE_BYTES = 10, 254
+
+
+def _body(text: str | None) -> tuple[bytes, list[tuple[float, float]]]:
+    """A record of a .shp file and its corners. Outer rings are turned with the clock and holes against it, as the format wants them."""
+    if text is None:
+        return struct.pack("<i", 0), []
+    parts = re.findall(r"\(\([^()]+\)(?:,\s*\([^()]+\))*\)", text)
+    if not parts:
+        points = [tuple(map(float, x)) for x in re.findall(r"\(\s*(\S+)\s+([^\s()]+)\s*\)", text)[:1]]
+        return struct.pack("<i2d", 1, *points[0]), points
+    rings = []
+    for part in parts:
+        for i, ring in enumerate(re.findall(r"\(([^()]+)\)", part)):
+            corners = [tuple(map(float, p.split()[:2])) for p in ring.split(",")]
+            corners += corners[:1] if corners[0] != corners[-1] else []
+            clockwise = sum((x2 - x1) * (y2 + y1) for (x1, y1), (x2, y2) in zip(corners, corners[1:], strict=False)) >= 0
+            rings.append(corners if clockwise == (i == 0) else corners[::-1])
+    points = [p for ring in rings for p in ring]
+    starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+    box = [f(p[k] for p in points) for f in (min, max) for k in (0, 1)]
+    return struct.pack("<i4dii", 5, *box, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<dd", *p) for p in points), points
+
+
+def write_shapes(df: DataFrame, geometry: str, path: str) -> None:
+    """Texts of polygons or of points, and the other columns, as .shp, .shx, .dbf and .cpg (UTF-8) beside each other at a path
+    of the driver. Rows pass it one partition at a time and go straight to the files. What the format can't hold raises an
+    error and nothing is written: other or mixed geometries, names of over 10 and values of over 254 bytes."""
     names = [c for c in df.columns if c != geometry]
-    shp, shx, dbf = io.BytesIO(), io.BytesIO(), io.BytesIO()
-    low, high, n = [float("inf")] * 2, [float("-inf")] * 2, 0
-    for row in df.select(geometry, *[F.col(c).cast("string") for c in names]).toLocalIterator():
-        rings = [[tuple(map(float, p.split())) for p in ring.split(",")] for ring in re.findall(r"\(([^()]+)\)", row[0] or "")]
-        points = [p for ring in rings for p in ring]
-        body = struct.pack("<i", 5 if points else 0)
-        if points:
-            box = [f(p[k] for p in points) for f in (min, max) for k in (0, 1)]
-            low, high = [min(a, b) for a, b in zip(low, box[:2], strict=True)], [max(a, b) for a, b in zip(high, box[2:], strict=True)]
-            starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
-            body += struct.pack("<4dii", *box, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<dd", *p) for p in points)
-        n += 1
-        shx.write(struct.pack(">ii", (100 + shp.tell()) // 2, len(body) // 2))
-        shp.write(struct.pack(">ii", n, len(body) // 2) + body)
-        dbf.write(b" " + b"".join((x or "").encode("latin-1", "replace")[:width].ljust(width) for x in row[1:]))
-    box = [*low, *high] if n and low[0] <= high[0] else [0.0] * 4
+    if long := [n for n in names if len(n.encode()) > NAME_BYTES]:
+        raise ValueError(f"column names have over {NAME_BYTES} bytes: {', '.join(long)}")
+    rows = df.select(F.col(f"`{geometry}`").alias("g"), *[F.col(f"`{n}`").cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    polygon, point = (F.regexp_like("g", F.lit(p)) for p in (r"^(MULTI)?POLYGON\s*\(", r"^POINT\s*\("))
+    sums = rows.agg(F.count_if(polygon).alias("polygons"), F.count_if(point).alias("points"), F.count("g").alias("all"), F.count(F.lit(1)).alias("rows"), *[F.max(F.octet_length(f"c{i}")).alias(f"c{i}") for i in range(len(names))]).first()
+    if sums["all"] not in (sums["polygons"], sums["points"]):
+        raise ValueError("all geometries must be polygons, or all points")
+    widths = [max(1, sums[f"c{i}"] or 1) for i in range(len(names))]
+    if wide := [n for n, w in zip(names, widths, strict=True) if w > VALUE_BYTES]:
+        raise ValueError(f"values have over {VALUE_BYTES} bytes in: {', '.join(wide)}")
+    kind = 5 if sums["polygons"] or not sums["points"] else 1
     base = re.sub(r"\.shp$", "", path)
-    for end, part in (("shp", shp), ("shx", shx)):
-        with open(f"{base}.{end}", "wb") as out:
-            out.write(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + part.tell()) // 2) + struct.pack("<ii8d", 1000, 5, *box, 0, 0, 0, 0) + part.getvalue())
-    with open(f"{base}.dbf", "wb") as out:
-        out.write(struct.pack("<B3BIHH20x", 3, 95, 7, 26, n, 33 + 32 * len(names), 1 + width * len(names)))
-        for name in names:
-            out.write(name.encode("latin-1")[:10].ljust(11, b"\0") + b"C" + bytes(4) + bytes([width]) + bytes(15))
-        out.write(b"\r" + dbf.getvalue() + b"\x1a")
+    with open(f"{base}.shp", "wb") as shp, open(f"{base}.shx", "wb") as shx, open(f"{base}.dbf", "wb") as dbf:
+        for out in (shp, shx):
+            out.write(bytes(100))
+        dbf.write(struct.pack("<B3BIHH20x", 3, 95, 7, 26, sums["rows"], 33 + 32 * len(names), 1 + sum(widths)))
+        for name, width in zip(names, widths, strict=True):
+            dbf.write(name.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([width]) + bytes(15))
+        dbf.write(b"\r")
+        box, n = [float("inf")] * 2 + [float("-inf")] * 2, 0
+        for n, row in enumerate(rows.toLocalIterator(), 1):
+            body, points = _body(row[0])
+            for x, y in points:
+                box = [min(box[0], x), min(box[1], y), max(box[2], x), max(box[3], y)]
+            shx.write(struct.pack(">ii", shp.tell() // 2, len(body) // 2))
+            shp.write(struct.pack(">ii", n, len(body) // 2) + body)
+            dbf.write(b" " + b"".join((x or "").encode().ljust(w) for x, w in zip(row[1:], widths, strict=True)))
+        if n != sums["rows"]:
+            raise ValueError("the table changed while it was written")
+        dbf.write(b"\x1a")
+        for out in (shp, shx):
+            size = out.tell()
+            out.seek(0)
+            out.write(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<ii8d", 1000, kind, *(box if box[0] <= box[2] else [0.0] * 4), 0, 0, 0, 0))
+    with open(f"{base}.cpg", "w") as out:
+        out.write("UTF-8")

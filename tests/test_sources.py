@@ -75,6 +75,26 @@ def test_shapes(spark, tmp_path):
     assert sorted((int(r["id"]), r["geometry"]) for r in found) == rows
 
 
+def test_shapes_lose_nothing(spark, tmp_path):
+    rows = [("a" * 254, "ä" * 127, " x", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), (None, "漢字 🙂", None, None)]
+    files.write_shapes(spark.createDataFrame(rows, "ten_bytes_ string, b string, c string, geometry string"), "geometry", f"{tmp_path}/a.shp")
+    back = tables.read_table(spark, f"{tmp_path}/a.shp")
+    assert {(r["ten_bytes_"], r["b"], r["c"]) for r in back.collect()} == {r[:3] for r in rows}
+    # the outer ring is turned, as the format wants it
+    assert {r["geometry"] for r in back.collect()} == {None, "POLYGON ((0 0, 0 2, 2 2, 2 0, 0 0))"}
+    files.write_shapes(spark.createDataFrame([(1, "POINT (3 4)"), (2, "POINT (0.25 -7.5)")], "id int, geometry string"), "geometry", f"{tmp_path}/p.shp")
+    assert {r["geometry"] for r in tables.read_table(spark, f"{tmp_path}/p.shp").collect()} == {"POINT (3 4)", "POINT (0.25 -7.5)"}
+    for bad in (("x" * 255, "POINT (1 1)"), ("x", "LINESTRING (0 0, 1 1)")):
+        with pytest.raises(ValueError):
+            files.write_shapes(spark.createDataFrame([bad], "v string, geometry string"), "geometry", f"{tmp_path}/b.shp")
+    for names in ("elevenbytes string, geometry string",):
+        with pytest.raises(ValueError, match="names"):
+            files.write_shapes(spark.createDataFrame([("x", None)], names), "geometry", f"{tmp_path}/b.shp")
+    with pytest.raises(ValueError, match="all"):
+        files.write_shapes(spark.createDataFrame([("x", "POINT (1 1)"), ("y", rows[0][3])], "v string, geometry string"), "geometry", f"{tmp_path}/b.shp")
+    assert not (tmp_path / "b.shp").exists()
+
+
 def test_other_kinds_are_refused(spark):
     for name in ("x.gpkg", "x.tif", "x.xls"):
         with pytest.raises(ValueError, match="convert"):
