@@ -81,6 +81,25 @@ def bridge(held: DataFrame, member: str, component: str) -> DataFrame:
     return components(pairs, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
 
 
+def preferred_sources(rows: DataFrame) -> DataFrame:
+    """The relations (company, connection, attribute, distance) that each company's sources leave: all shareholders (CSH);
+    the national parent (KMn) only of a company without CSH; the global parent (KMg) only if it is another than the parent
+    found so far, the farthest shareholder or the national one; a company is no parent of itself; all of the other
+    sources. Of several parents of a kind the smallest decides, and all are kept or none. Each company's parents are one row of an aggregate, which
+    the relations of parents alone are joined with, so a company's other relations stay where they are."""
+    of = lambda a, x: F.when(F.col("attribute") == a, x)
+    parent = F.col("attribute").isin("KMn", "KMg")
+    least = lambda a: F.min(of(a, F.col("connection")))
+    nearest = F.min(of("CSH", F.struct((-F.col("distance")).alias("d"), F.col("connection").alias("c"))))["c"]
+    known = rows.where(F.col("attribute").isin("CSH", "KMn", "KMg")).groupBy(F.col("company").alias("_company")).agg(nearest.alias("_csh"), least("KMn").alias("_kmn"), least("KMg").alias("_kmg"))
+    met = rows.where(parent).join(known, F.col("company") == F.col("_company"))
+    other = lambda x: F.col(x).cast("string") != F.col("company").cast("string")
+    of_nation = (F.col("attribute") == "KMn") & F.col("_csh").isNull() & other("_kmn")
+    of_world = (F.col("attribute") == "KMg") & other("_kmg") & ~F.col("_kmg").eqNullSafe(F.coalesce("_csh", "_kmn"))
+    taken = met.where(of_nation | of_world)
+    return rows.where(~parent).unionByName(taken.select(*rows.columns))
+
+
 def merged_relations(rows: DataFrame, order: list[str]) -> DataFrame:
     """One row for each company and connection: attribute of the first kind in the order, largest share, manager if any says so, a location if any has one."""
     rank = F.coalesce(*[F.when(F.col("attribute") == a, F.lit(i)) for i, a in enumerate(order)], F.lit(len(order)))

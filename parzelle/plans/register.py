@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parzelle.functions import similarity, text as T
-from parzelle.operators import classify, matching as M, register as G, relational as R
+from parzelle.operators import classify, matching as M, network as N, register as G, relational as R
 from parzelle.operators.lineage import durable
 from parzelle.plans import domain as D
 from parzelle.plans.registry import Tables, query
@@ -82,13 +82,14 @@ def str_international(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", T.has_any(F.lower(F.expr(_FIRM)), INTERNATIONAL).cast("int").alias("international"))
 
 
-# The first clean-up rules of recipients' names, in order.
-RECIPIENT_RULES = [("[.]", ""), ("landwirtschaftl ", "landwirtschaftliche"), ("lwb", "landwirtschaftsbetrieb"), ("apg", "agrarproduktivgenossenschaft"), ("leg ", "landwirtschaftsgesellschaft"), ("ag ", "agrargenossenschaft"), ("gesellschaftmbh", "gmbh"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("-", ""), ("&", ""), (" ", ""), ("ß", "ss"), ("/", ""), (",", "")]
+# The clean-up rules of recipients' names and addresses that can change a text, in order.
+RECIPIENT_RULES = [("[.]", ""), ("landwirtschaftl ", "landwirtschaftliche"), ("lwb", "landwirtschaftsbetrieb"), ("apg", "agrarproduktivgenossenschaft"), ("leg ", "landwirtschaftsgesellschaft"), ("ag ", "agrargenossenschaft"), ("landwirtschaftsb ", "landwirtschaftsbetrieb"), ("agrarges ", "agrargesellschaft"), ("gesellschaftmbh", "gmbh"), ("gemeinnuetzigegmbh", "ggmbh"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("-", ""), ("´", ""), ("`", ""), ("'", ""), ("&", ""), (" ", ""), ("ß", "ss"), ("/", ""), (",", ""), ('["]', "")]
+RECIPIENT_ADDRESS_RULES = [("[.]", ""), ("straße", "str"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("-", ""), ("´", ""), ("`", ""), ("'", ""), ("&", ""), ("ß", "ss"), ("/", ""), (" ", "")]
 
 
 def _gsub(x: str) -> str:
     for a, b in RECIPIENT_RULES:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+        x = f"regexp_replace({x}, '{a.replace(chr(39), chr(39) * 2)}', '{b}', 'g')"
     return x
 
 
@@ -100,6 +101,22 @@ def str_rule_chain(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", T.rule_chain(F.expr(_RECIPIENT), RECIPIENT_RULES).alias("name"))
 
 
+#: Names and addresses as recipients write them, from clients.
+_WRITTEN = "lower(name) || CASE WHEN client_id % 6 = 0 THEN ' landwirtschaftsb & söhne' WHEN client_id % 6 = 1 THEN ' agrarges \"nord\"' WHEN client_id % 6 = 2 THEN ' gemeinnuetzigegmbh' WHEN client_id % 6 = 3 THEN '´s agrargesellschaftmbh, süd' WHEN client_id % 6 = 4 THEN ' ag leg land/forst' ELSE '`-e.g.' END"
+_PLACED = "lower(city) || '-straße ' || CAST(client_id % 90 AS VARCHAR(9)) || CASE WHEN client_id % 4 = 0 THEN ' a/b' WHEN client_id % 4 = 1 THEN '. & ´c`' WHEN client_id % 4 = 2 THEN ' größe' ELSE '' END"
+
+
+@query(
+    "str_recipients",
+    f"""WITH x AS (SELECT client_id, updated_at, {_WRITTEN} AS a, {_PLACED} AS b FROM clients),
+    y AS (SELECT client_id, updated_at, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(a, '.', ''), 'landwirtschaftl ', 'landwirtschaftliche'), 'lwb', 'landwirtschaftsbetrieb'), 'apg', 'agrarproduktivgenossenschaft'), 'leg ', 'landwirtschaftsgesellschaft'), 'ag ', 'agrargenossenschaft'), 'landwirtschaftsb ', 'landwirtschaftsbetrieb'), 'agrarges ', 'agrargesellschaft'), 'gesellschaftmbh', 'gmbh'), 'gemeinnuetzigegmbh', 'ggmbh') AS a, replace(replace(b, '.', ''), 'straße', 'str') AS b FROM x)
+    SELECT client_id, updated_at, translate(replace(replace(replace(replace(a, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '-´`''& /,"', '') AS name, translate(replace(replace(replace(replace(b, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '-´`''& /', '') AS address FROM y""",
+)
+def str_recipients(t: Tables) -> DataFrame:
+    name, address = T.rule_chain(F.expr(_WRITTEN), RECIPIENT_RULES), T.rule_chain(F.expr(_PLACED), RECIPIENT_ADDRESS_RULES)
+    return t.clients.select("client_id", "updated_at", name.alias("name"), address.alias("address"))
+
+
 @query("str_postcode_pad", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 5, '0') WHEN 1 THEN '16352' ELSE '' END AS postcode FROM customer")
 def str_postcode_pad(t: Tables) -> DataFrame:
     k = c("c_custkey")
@@ -174,6 +191,31 @@ def reg_relations(t: Tables) -> DataFrame:
     return relations(t).withColumn("share", F.round("share", 6))
 
 
+#: Entries of all sources from sales lines: which sources a company (an order's client) has, differs by company.
+_SOURCES = ["CSH", "KMn", "KMg", "ATE", "TGS", "TGS2", "MAN"]
+_LISTED = """src AS (SELECT s.client_id AS company, (l.item_id % 8)::BIGINT AS connection, ['CSH', 'KMn', 'KMg', 'ATE', 'TGS', 'TGS2', 'MAN'][CAST((s.client_id // 3 + l.line_no * (1 + s.client_id % 5)) % 7 AS INT) + 1] AS attribute,
+        l.line_no AS distance, l.quantity % 90 AS share, CASE WHEN l.vendor_id % 3 = 0 THEN 'yes' ELSE 'no' END AS ismanager, CASE WHEN l.vendor_id % 4 = 0 THEN 'ort' || l.vendor_id % 5 ELSE '' END AS location
+        FROM sales s JOIN sale_lines l USING (sale_id) WHERE s.client_id IS NOT NULL AND l.item_id IS NOT NULL AND l.vendor_id IS NOT NULL AND l.line_no IS NOT NULL)"""
+
+
+def listed(t: Tables) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(x) for x in _SOURCES]), ((F.floor(c("client_id") / 3) + c("line_no") * (1 + c("client_id") % 5)) % 7 + 1).cast("int"))
+    rows = t.sales.select("sale_id", "client_id").join(t.sale_lines, "sale_id").dropna(subset=["client_id", "item_id", "vendor_id", "line_no"])
+    return rows.select(c("client_id").alias("company"), (c("item_id") % 8).cast("long").alias("connection"), kind.alias("attribute"), c("line_no").alias("distance"), (c("quantity") % 90).alias("share"), F.when(c("vendor_id") % 3 == 0, "yes").otherwise("no").alias("ismanager"), F.when(c("vendor_id") % 4 == 0, F.concat(F.lit("ort"), c("vendor_id") % 5)).otherwise("").alias("location"))
+
+
+@query(
+    "reg_sources",
+    f"""WITH {_LISTED}, csh AS (SELECT company, arg_max(connection, (distance, -connection)) AS mother FROM src WHERE attribute = 'CSH' GROUP BY 1), kmn AS (SELECT company, min(connection) AS mother FROM src WHERE attribute = 'KMn' GROUP BY 1), kmg AS (SELECT company, min(connection) AS top FROM src WHERE attribute = 'KMg' GROUP BY 1),
+    kept AS (SELECT * FROM src WHERE attribute IN ('CSH', 'ATE', 'TGS', 'TGS2', 'MAN')
+        UNION ALL SELECT src.* FROM src JOIN kmn USING (company) WHERE attribute = 'KMn' AND company NOT IN (SELECT company FROM csh) AND kmn.mother <> company
+        UNION ALL SELECT src.* FROM src JOIN kmg USING (company) LEFT JOIN csh USING (company) LEFT JOIN kmn USING (company) WHERE attribute = 'KMg' AND top <> company AND top IS DISTINCT FROM coalesce(csh.mother, kmn.mother))
+    SELECT company, connection, arg_min(attribute, list_position(['CSH', 'KMn', 'KMg', 'ATE', 'TGS', 'TGS2', 'MAN'], attribute)) AS attribute, max(share) AS share, max(ismanager) AS ismanager, max(CASE WHEN location <> '' THEN location END) AS location FROM kept GROUP BY ALL""",
+)
+def reg_sources(t: Tables) -> DataFrame:
+    return N.merged_relations(N.preferred_sources(listed(t)), _SOURCES)
+
+
 @query(
     "reg_edges",
     f"""WITH {_RELATIONS} SELECT r.company AS conn_left, connection AS conn_right, round(share::DOUBLE, 6) AS share, ismanager, function, attribute, person AS isperson FROM rl r WHERE attribute = 'CSH' AND distance = 1

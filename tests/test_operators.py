@@ -237,3 +237,35 @@ def test_bridge_query_reads_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = {r["component"]: r["merged"] for r in queries()["gra_bridge"](spark, str(tmp_path)).collect()}
     assert found == {"11": "11", "12": "11", "13": "11", "14": "14", "15": "14", "16": "16"}
+
+
+def test_sources_of_relations_by_company(spark):
+    """Every set of sources, with parents that are equal, different, or the company itself, against a loop over companies."""
+    kinds = ["CSH", "KMn", "KMg", "ATE", "TGS", "TGS2", "MAN"]
+    rows, want = [], set()
+    for i in range(2 ** len(kinds)):
+        for variant, (national, world) in enumerate([("n", "g"), ("n", "n"), ("far", "far"), ("self", "g"), ("self", "self")]):
+            me = f"c{i}_{variant}"
+            has = [k for j, k in enumerate(kinds) if i >> j & 1]
+            own = {"CSH": [("near", 1), ("far", 2)], "KMn": [(national, 1)], "KMg": [(world, 1)]}
+            of = {k: [(me if n == "self" else n, d) for n, d in own.get(k, [("near", 0), (k, 0)])] for k in has}
+            rows += [(me, n, k, d, float(len(k)), "yes" if k == "TGS" else "no", "ort" if k == "MAN" else "") for k in has for n, d in of[k]]
+            kept, mother = [], None
+            if "CSH" in has:
+                kept, mother = of["CSH"], "far"
+            elif "KMn" in has:
+                mother = of["KMn"][0][0]
+                kept = of["KMn"] if mother != me else []
+            kept = [(n, "CSH" if "CSH" in has else "KMn") for n, _ in kept]
+            if "KMg" in has and of["KMg"][0][0] not in (mother, me):
+                kept.append((of["KMg"][0][0], "KMg"))
+            for k in ("ATE", "TGS", "TGS2", "MAN"):
+                for n, _ in of.get(k, []):
+                    if n not in [x for x, _ in kept]:
+                        kept.append((n, k))
+            want |= {(me, n, k) for n, k in kept}
+    df = spark.createDataFrame(rows, "company string, connection string, attribute string, distance int, share double, ismanager string, location string")
+    found = N.merged_relations(N.preferred_sources(df), kinds).collect()
+    assert {(r["company"], r["connection"], r["attribute"]) for r in found} == want and len(found) == len(want)
+    near = {r["company"]: r for r in found if r["connection"] == "near"}
+    assert near["c127_0"]["share"] == 4.0 and near["c127_0"]["ismanager"] == "yes" and near["c127_0"]["location"] == "ort"
