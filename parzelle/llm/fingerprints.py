@@ -180,11 +180,16 @@ def neighbours(prints: DataFrame, radius: int, extra: int = 1, bits: int = BITS,
     return tiled(numbered, radius, extra, bits, hot).mapInArrow(pairs, "a binary, b binary, apart int").distinct()
 
 
+#: Text of a bucket of neighbouring ids, on average at most, as a task sorts it.
+BUCKET_BYTES = 256_000_000
+
+
 def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, head, id, key, text: documents in buckets of neighbouring ids, in order, each followed by the head of the next bucket (head = 1)."""
     doc = F.col(f"`{id_col}`")
     picked = df.select(doc.cast("long").alias("id"), F.coalesce(doc.cast("long"), F.lit(LOWEST)).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     low, cuts = picked.agg(F.min("key"), F.percentile_approx("key", shares, 10 * parts)).first()
     # every cut is some document's key, so each bucket begins with its cut

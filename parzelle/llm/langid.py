@@ -2,8 +2,9 @@
 
 Features. Lower-cased letters; any run of other characters is one blank; all n-grams of one to three characters, hashed
 into a fixed number of buckets. Fitting counts buckets per language over a bounded sample of labelled rows (SAMPLE_ROWS,
-chosen by a hash of the id), as partial aggregates; the matrix of log probabilities, languages x buckets, is broadcast:
-its size doesn't depend on the data. Scoring gathers the rows of the matrix for the n-grams of a batch and sums them by
+chosen by a hash of the id), as partial aggregates; the matrix of log probabilities, languages x buckets, is broadcast.
+Its size grows with the languages alone, of which MOST_LANGS are taken at most (64 MB); a column of more different values
+holds no languages, and fit() refuses it with an error before anything is gathered. Scoring gathers the rows of the matrix for the n-grams of a batch and sums them by
 document in numpy.
 
 The score is the predicted language's posterior, with the evidence scaled to that of EVIDENCE n-grams, so that it
@@ -33,6 +34,8 @@ SAMPLE_ROWS = 20_000
 SMOOTHING, EVIDENCE = 0.5, 25.0
 #: The least score of a language that counts as known.
 LEAST = 0.5
+#: Different values of a column of languages, at most.
+MOST_LANGS = 256
 #: Languages whose counts a task holds at once, whatever the table has.
 LANGS_HELD = 64
 #: n-grams that are gathered at once.
@@ -88,7 +91,9 @@ def remainder(doc: Column) -> Column:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    total = rows.count()
+    total, langs = rows.agg(F.count(F.lit(1)), F.count_distinct(F.col(lang_col))).first()
+    if langs > MOST_LANGS:
+        raise ValueError(f"{lang_col} has {langs} different values; a model takes {MOST_LANGS} languages at most")
     if not total:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
     chance = F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)

@@ -7,8 +7,8 @@ identifiers are no random strings, and what a base span covers isn't reported ag
 of which mixes letters and digits and of whose characters over half are in numbers and words; words are letters that
 are one token or need few by the same ratio. Runs of plain words (letters of one case, or capitalised) and numbers are
 held to a stricter ratio, since made-up names come near random strings. What is left of a run outside base spans is
-judged for itself. If it isn't random as a whole, what lies between its digests and words is judged (stretches of
-neighbouring parts, then single parts), so that the words of a path don't hide a random string among them.
+judged for itself: words and digests are cut off its ends, and long ones part it, so that the words of a path neither
+hide a random string nor become part of it. What remains is judged as a whole, then by stretches of parts, then by parts.
 
 Spans are code points, end exclusive, ordered by start, then kind as listed.
 
@@ -40,6 +40,8 @@ PLAIN = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)|[0-9]+")
 MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 #: Characters of a random string, at least.
 LEAST = 16
+#: Words of more characters in a row part random strings.
+BRIDGE = 7
 #: Strings of fewer characters per token are random.
 RATIO, NAME_RATIO = 2.2, 2.0
 
@@ -76,29 +78,54 @@ def is_random(run: str, count, ratio: float = RATIO) -> bool:
 
 
 def judged(text: str, a: int, b: int, count, ratio: float = RATIO) -> list[Span]:
-    """Random strings in a stretch of key characters: all of it, or stretches of parts that are no words, or single parts."""
+    """Random strings in a stretch of key characters. Words and digests at its ends, and those in its middle that are
+    longer together than BRIDGE, belong to no random string; what lies between is judged whole, then by stretches of
+    parts that are no words, then by single parts."""
+    if b - a < LEAST:
+        return []
+    found: list[Span] = []
+    runs: list[list[tuple[int, int, bool, int]]] = [[]]  # start, end, whether known, characters if it is a word
+    words = 0
+    for m in INNER.finditer(text, a, b):
+        known = not m["part"] or is_word(m[0], count, ratio)
+        size = len(m[0]) if known and len(m[0]) > 2 else 0
+        words = words + size if known else 0
+        if words > BRIDGE:
+            runs.append([])
+        runs[-1].append((*m.span(), known, size))
+    for i, run in enumerate(runs):
+        inner = [k for k, part in enumerate(run) if not part[2]]
+        if not inner:
+            continue
+        # separators at an end stay if nothing was cut off there
+        x = a if i == 0 and inner[0] == 0 else run[inner[0]][0]
+        y = b if i == len(runs) - 1 and inner[-1] == len(run) - 1 else run[inner[-1]][1]
+        found += [(p, q, "random") for p, q in narrowed(text, x, y, run[inner[0] : inner[-1] + 1], count, ratio)]
+    return found
 
-    def random(x: int, y: int) -> bool:
-        return y - x >= LEAST and is_random(text[x:y], count, ratio)
 
-    if random(a, b):
-        return [(a, b, "random")]
+def narrowed(text: str, x: int, y: int, parts: list[tuple[int, int, bool, int]], count, ratio: float) -> list[tuple[int, int]]:
+    def random(p: int, q: int) -> bool:
+        return q - p >= LEAST and is_random(text[p:q], count, ratio)
+
+    if random(x, y):
+        return [(x, y)]
     stretches: list[list[tuple[int, int]]] = [[]]
     short: list[tuple[int, int]] = []
-    for m in INNER.finditer(text, a, b) if b - a >= LEAST else ():
-        if m["part"] and not is_word(m[0], count, ratio):
+    for p, q, known, size in parts:
+        if not known:
             # words of one or two characters, which random strings have too, end no stretch
-            stretches[-1] += [*(short if stretches[-1] else ()), m.span()]
+            stretches[-1] += [*(short if stretches[-1] else ()), (p, q)]
             short = []
-        elif len(m[0]) < 3:
-            short.append(m.span())
+        elif not size:
+            short.append((p, q))
         else:
             stretches.append([])
             short = []
-    found: list[Span] = []
-    for parts in filter(None, stretches):
-        whole = parts[0][0], parts[-1][1]
-        found += [(x, y, "random") for x, y in ([whole] if random(*whole) else [p for p in parts if random(*p)])]
+    found = []
+    for held in filter(None, stretches):
+        whole = held[0][0], held[-1][1]
+        found += [whole] if random(*whole) else [p for p in held if random(*p)]
     return found
 
 

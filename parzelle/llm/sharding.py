@@ -1,7 +1,7 @@
 """Range-partitioning into shards of nearly equal bytes, by sampled splitters.
 
-Records are ordered by a key of 64 bits: the upper ones hash the group (equal texts lie together), the lower ones the
-id, so that a group of any size can be split. A size-weighted sample of keys, bounded in number, gives quantile
+Records are ordered by a key of 64 bits: the upper ones hash the group (equal texts lie together), then come some of the
+id and of the row's number, so that a group of any size can be split, even one of copies of a single row. A size-weighted sample of keys, bounded in number, gives quantile
 boundaries of many ranges; one pass counts each range's rows and bytes, and overfull ranges are subdivided. A range's
 records are then ordered within it; with the bytes of the ranges before, each record knows where it starts in the whole
 order, and the shard follows from the middle of the record. So shards differ by about one record, whatever the sample.
@@ -9,7 +9,7 @@ order, and the shard follows from the middle of the record. So shards differ by
 Only id, key, size and check sum are shuffled, no texts; a task holds one range at a time. The law is `bytes`, so a group
 of equal texts that lies on the border of two shards is cut there: 2 of 583 groups on sf0.01.
 
-Cases. Null texts are empty, of size 8. Repeated rows are records of their own. Null ids are an id like any other. An
+Cases. Null texts are empty, of size 8. Repeated rows are records of their own, with keys of their own. Null ids are an id like any other. An
 empty table gives no rows. Only the id and text columns are read.
 """
 
@@ -24,13 +24,14 @@ from parzelle.llm import common
 
 #: Records in the sample, on average; ranges for each shard; a range above so many times the mean is subdivided.
 SAMPLE, RANGES, OVERFULL = 16_384, 32, 4.0
-#: Low bits of the key, from the id.
-ID_BITS = 24
+#: Low bits of the key: from the id, and below them from the row's number, by which even copies of one row are told apart.
+ID_BITS, COPY_BITS = 14, 12
 
 
-def shard_key(group: Column, record: Column) -> Column:
-    low = (1 << ID_BITS) - 1
-    return F.xxhash64(group).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(record).bitwiseAND(F.lit(low)))
+def shard_key(group: Column, record: Column, copy: Column) -> Column:
+    low, least = (1 << ID_BITS + COPY_BITS) - 1, (1 << COPY_BITS) - 1
+    number = F.xxhash64(record).bitwiseAND(F.lit(low & ~least)).bitwiseOR(F.xxhash64(copy).bitwiseAND(F.lit(least)))
+    return F.xxhash64(group).bitwiseAND(F.lit(~low)).bitwiseOR(number)
 
 
 def split(keyed: DataFrame, shards: int) -> DataFrame:
@@ -88,6 +89,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     """id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     doc = F.col(f"`{id_col}`")
-    keyed = df.select(doc.alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(text, doc.cast("string")).alias("key"))
+    keyed = df.select(doc.alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(text, doc.cast("string"), F.monotonically_increasing_id()).alias("key"))
+    # the checkpoint fixes the rows' numbers, which each reading of the table may deal otherwise
     out = split(common.durable(keyed), shards)
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

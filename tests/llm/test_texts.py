@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parzelle.llm import fingerprints, langid, media, queries, secrets, sharding, url_filters
 
@@ -309,6 +310,22 @@ def test_a_hot_group_is_split(spark):
     check_shards(sharding.shard(rows, 8).collect(), range(3000), 8)
 
 
+def test_a_column_of_too_many_languages_is_refused(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="3000 different values"):
+        langid.fit(rows)
+
+
+def test_copies_of_one_row_are_spread(spark):
+    """12,000 of 20,000 rows are one row: no range holds them all."""
+    rows = spark.createDataFrame([(7, "the same " * 5)] * 12_000 + [(i, f"text {i}") for i in range(8000)], "doc_id long, text string").repartition(5)
+    out = sharding.shard(rows, 24).collect()
+    sizes = [sum(r["size"] for r in out if r["shard"] == s) for s in range(24)]
+    assert len(out) == 20_000 and max(sizes) - min(sizes) <= 2 * max(r["size"] for r in out)
+    keyed = rows.select(sharding.shard_key(F.col("text"), F.col("doc_id").cast("string"), F.monotonically_increasing_id()).alias("key"))
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= 30
+
+
 def test_shards_of_odd_rows(odd, none):
     rows = sharding.shard(odd, 3).collect()
     assert len(rows) == odd.count()
