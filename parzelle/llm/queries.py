@@ -40,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), RANKS, PATTERN)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
@@ -86,7 +90,7 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_media_columns, op2_url_filters, op3_packing, op4_token_counts, op5_fingerprints, op6_sharding, op7_byte_bpe, op8_secret_scans, op9_language_id, op10_simhash_neardup, op11_funnels, op12_conversation_repair, op13_pii]
+    found = [op1_media_columns, op2_url_filters, op3_packing, op4_token_counts, op5_fingerprints, op6_sharding, op7_byte_bpe, op8_secret_scans, op9_language_id, op10_simhash_neardup, op11_funnels, op12_conversation_repair, op13_pii, pack_conversations]
     return {f.__name__: f for f in found}
 
 

@@ -227,3 +227,44 @@ def test_histogram_of_odd_rows(odd, none, library):
     assert sum(r["docs"] for r in found) == odd.count()
     assert max(r["docs_ge"] for r in found) == odd.count()
     assert token_counts.histogram(token_counts.lengths(none, RANKS, PATTERN)).count() == 0
+
+
+def test_conversations_are_packed_whole_under_all_limits(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = rows.unionByName(spark.createDataFrame([(-1, t, "assistant", "word " * 3000) for t in range(2)] + [(-2, 0, None, None), (-3, 1, "user", "Hi."), (-3, 0, "assistant", "Ho.")], rows.schema))
+    library = packing.bpe.library(RANKS, PATTERN)
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        ids = [*library.encode_ordinary(r["text"] or ""), 1]
+        want.setdefault(r["conv_id"], []).extend((x, r["role"] == "assistant") for x in ids)
+    found = packing.pack_conversations(rows, RANKS, PATTERN).collect()
+    by_sequence, by_conv = {}, {}
+    for r in found:
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+        by_conv.setdefault(r["conv_id"], []).append(r)
+        own = want[r["conv_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["loss"] == sum(b for _, b in own) and r["conv_tokens"] == len(want[r["conv_id"]])
+        assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x, _ in own))
+    assert by_conv.keys() == want.keys()
+    for c, held in by_conv.items():
+        held.sort(key=lambda r: r["start"])
+        assert [r["start"] for r in held] == [sum(x["length"] for x in held[:i]) for i in range(len(held))] and sum(r["length"] for r in held) == len(want[c])
+        small = len(want[c]) <= packing.TOKENS and sum(b for _, b in want[c]) <= packing.CHAT_LOSS
+        assert len(held) == 1 or not small
+    for held in by_sequence.values():
+        assert sum(r["length"] for r in held) <= packing.TOKENS and len(held) <= packing.SEGMENTS and sum(r["loss"] for r in held) <= packing.CHAT_LOSS
+        held.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in held] == [sum(x["length"] for x in held[:i]) for i in range(len(held))]
+    # no more sequences than in the order of the table, each put where it first fits
+    order: list[list[int]] = []
+    for r in sorted(found, key=lambda r: (r["conv_id"], r["start"])):
+        for s in order:
+            if s[0] + r["length"] <= packing.TOKENS and s[1] < packing.SEGMENTS and s[2] + r["loss"] <= packing.CHAT_LOSS:
+                s[0], s[1], s[2] = s[0] + r["length"], s[1] + 1, s[2] + r["loss"]
+                break
+        else:
+            order.append([r["length"], 1, r["loss"]])
+    assert len(by_sequence) <= len(order)
+    # and few more than any packing needs
+    least = max(sum(map(len, want.values())) / packing.TOKENS, sum(b for v in want.values() for _, b in v) / packing.CHAT_LOSS)
+    assert len(by_sequence) <= 1.15 * least + 4
