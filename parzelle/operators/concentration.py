@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.ranks import at_percentile, bucket, known, ranked
+from parzelle.operators.lineage import durable
+from parzelle.operators.ranks import at_percentile, bucket, known, ranked, ranked_any
 
 PERCENTILES = {"p40": 0.40, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -24,7 +25,8 @@ def _share(column: Column) -> Column:
 
 def measures(df: DataFrame, unit: str, area: str, owner: str) -> DataFrame:
     """unit, num_owners, total_area and all measures; owners 1 to 5 and ratios of the largest."""
-    rows = ranked(owner_areas(df, unit, area, owner), ["unit"], "area", "owner")
+    # summed once and ranked once; both tables, a row for each owner of a unit, are read more than once
+    rows = durable(ranked_any(durable(owner_areas(df, unit, area, owner)), ["unit"], "area", "owner"))
     cuts = rows.groupBy("unit").agg(*[at_percentile(p, "area").alias(c) for c, p in PERCENTILES.items()], (F.sum("area") / F.count("area")).alias("mu"))
     rows = rows.join(cuts, "unit")
     x, n, tot, mu = F.col("area"), F.col("n"), F.col("tot"), F.col("mu")
@@ -166,9 +168,9 @@ def moving_window(df: DataFrame, area: str, owner: str, col: str, row: str, colu
     """
     from parzelle.operators.spatial import window_ids
 
-    cells = window_ids(df.select(F.col(col).alias("col"), F.col(row).alias("row")).distinct(), "col", "row")
+    held = durable(df.groupBy(F.col(col).alias("col"), F.col(row).alias("row"), F.col(owner).alias("owner")).agg(F.sum(area).alias("area")))
+    cells = window_ids(held.select("col", "row").distinct(), "col", "row")
     full = cells.groupBy("window").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= least_cells)
-    held = df.groupBy(F.col(col).alias("col"), F.col(row).alias("row"), F.col(owner).alias("owner")).agg(F.sum(area).alias("area"))
     found = measures(window_ids(held, "col", "row").join(full.select("window"), "window", "left_semi"), "window", "area", "owner")
     back = cells.join(found.withColumnRenamed("unit", "window"), "window")
     return back.groupBy("col", "row").agg(*[F.when(F.count(c) >= least_values, F.avg(c)).alias(c) for c in columns])

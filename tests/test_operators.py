@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parzelle.functions import similarity, text as T
 from parzelle.operators import classify, concentration as C, matching as M, network as N, relational as R, spatial as S
-from parzelle.operators.ranks import percentile_list, percentiles, places, ranked
+from parzelle.operators import ranks
+from parzelle.operators.ranks import percentile_list, percentiles, places, ranked, ranked_any, ranked_by_ranges
 from parzelle.sources import tables
 from parzelle.streaming.windows import run_to_table, windowed_sums
 
@@ -269,3 +270,26 @@ def test_sources_of_relations_by_company(spark):
     assert {(r["company"], r["connection"], r["attribute"]) for r in found} == want and len(found) == len(want)
     near = {r["company"]: r for r in found if r["connection"] == "near"}
     assert near["c127_0"]["share"] == 4.0 and near["c127_0"]["ismanager"] == "yes" and near["c127_0"]["location"] == "ort"
+
+
+def test_ranks_with_very_many_equal_values(spark, monkeypatch):
+    rows = [(g, float(v), f"t{t:05d}") for t, (g, v) in enumerate([(i % 3 if i % 5 else None, 7 if i % 4 else i % 11 - 3) for i in range(3000)])] + [(1, None, "x"), (1, float("nan"), "y")]
+    df = spark.createDataFrame(rows, "g long, v double, t string").repartition(5)
+    plain = lambda d: {(r["g"], r["t"]): (r["i"], r["k"], r["n"], round(r["tot"], 6), round(r["run"], 6)) for r in d.collect()}
+    want = plain(ranked(df, ["g"], "v", "t"))
+    assert len(want) == 3000 and plain(ranked_by_ranges(df, ["g"], "v", "t")) == want
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 100)
+    assert plain(ranked_any(df, ["g"], "v", "t")) == want
+    assert plain(ranked_by_ranges(df.drop("g"), [], "v", "t").withColumn("g", F.lit(0))) == plain(ranked(df.drop("g"), [], "v", "t").withColumn("g", F.lit(0)))
+    # rows of one value lie in several ranges
+    same = spark.range(40_000).select(F.lit(1.0).alias("v"), F.col("id").alias("t"))
+    order = [F.col("v"), F.col("t").desc()]
+    sizes = [r["count"] for r in same.repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 15_000
+
+
+def test_measures_read_their_input_once(spark):
+    """What is read more than once is stored: no plan goes back to the parcels."""
+    parcels = spark.range(2000).select((F.col("id") % 3).alias("u"), (F.col("id") % 50).alias("o"), (F.col("id") % 17 + 1.5).alias("a"), (F.col("id") % 9 + 1).alias("x"), (F.col("id") % 7 + 1).alias("y"))
+    for df in (C.measures(parcels, "u", "a", "o"), C.moving_window(parcels, "a", "o", "x", "y", ["cr1"])):
+        assert "Range (" not in df._jdf.queryExecution().executedPlan().toString()
