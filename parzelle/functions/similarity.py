@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -39,6 +40,34 @@ def winkler(a: str, b: str) -> float:
     return s + same * 0.1 * (1 - s) if s > 0.7 else s
 
 
+#: Letters are counted in so many buckets.
+BUCKETS = 64
+
+
+def letter_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its letters by bucket, and its length."""
+    codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
+    sizes = np.array([len(x) for x in codes], dtype=np.int64)
+    at = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + (np.concatenate(codes).astype(np.int64) % BUCKETS if len(codes) else np.zeros(0, np.int64))
+    return np.bincount(at, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.int16), sizes
+
+
+def winkler_bound(a: list[str], b: list[str]) -> np.ndarray:
+    """At least the Jaro-Winkler similarity of each pair: no more letters can be common than both have of a bucket, none
+    moved, and the first letters that are equal count in full."""
+    every = list(dict.fromkeys([*a, *b]))
+    number = {t: i for i, t in enumerate(every)}
+    counts, sizes = letter_counts(every)
+    i, j = (np.fromiter((number[t] for t in side), dtype=np.int64, count=len(side)) for side in (a, b))
+    common = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)
+    n, m = np.maximum(sizes[i], 1), np.maximum(sizes[j], 1)
+    jaro_most = np.where(common > 0, (common / n + common / m + 1) / 3, 0.0)
+    jaro_most = np.where(i == j, 1.0, jaro_most)
+    heads = np.array([[ord(c) for c in t[:4]] + [-1 - k for k in range(4 - len(t[:4]))] for t in every], dtype=np.int64).reshape(-1, 4)
+    same = np.cumprod((heads[i] == heads[j]) & (heads[i] >= 0), axis=1).sum(axis=1)
+    return np.where(jaro_most > 0.7, jaro_most + same * 0.1 * (1 - jaro_most), jaro_most)
+
+
 def ratio(a: str, b: str) -> int:
     """0 to 100: twice the letters of the longest common stretches, found one after the other, by both lengths."""
     if a == b:
@@ -115,6 +144,24 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pairs(winkler), "double")(a, b)
 
 
+def jaro_winkler_from(threshold: float):
+    """jaro_winkler() for pairs at least so alike, null for others. Pairs whose letters alone rule it out, which are nearly all, are never scored: the bound is exact and comes in numpy for a batch of pairs."""
+    score = _pairs(winkler)
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=a.index, dtype="float64")
+        there = (a.notna() & b.notna()).to_numpy()
+        some = np.flatnonzero(there)
+        if len(some):
+            some = some[winkler_bound(a.iloc[some].tolist(), b.iloc[some].tolist()) >= threshold - 1e-9]
+        if len(some):
+            found = score(a.iloc[some], b.iloc[some]).to_numpy()
+            out.iloc[some] = np.where(found >= threshold - 1e-9, found, np.nan)
+        return out
+
+    return lambda a, b: F.nanvl(F.pandas_udf(run, "double")(a, b), F.lit(None).cast("double"))
+
+
 def token_set(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pairs(token_set_ratio), "int")(a, b)
 

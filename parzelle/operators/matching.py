@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parzelle.functions import similarity
@@ -9,8 +13,10 @@ from parzelle.operators.lineage import durable
 from parzelle.operators.ranks import places
 
 
-#: Texts of a block's right side that one task compares; larger blocks are dealt into as many parts as they need.
+#: Texts of each side of a block that one task compares; larger blocks are dealt into as many parts as they need.
 BLOCK = 5_000
+#: Names that one automaton looks for.
+PATTERNS = 50_000
 
 
 def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, threshold, score=similarity.jaro_winkler, shortest: float = 0.0, strict: bool = False) -> DataFrame:
@@ -19,17 +25,21 @@ def best_in_block(left: DataFrame, right: DataFrame, block: str, text: str, thre
     Equal texts are scored once. threshold: a number, or the name of a left column. shortest: texts whose lengths differ
     more than by this factor can't be alike enough and aren't scored; for Jaro-Winkler at 0.93 that is 0.65, since the
     plain Jaro value must be 1 - 0.07 / 0.6 at least and is (2 + shorter / longer) / 3 at most. They meet by bands of
-    lengths, each neighbouring two of which cover the factor. The right side of a large block is dealt into parts, each
-    of which meets all left texts, so no task has a whole hot block.
+    lengths, each neighbouring two of which cover the factor. Both sides of a large block are dealt into parts, each two
+    of which meet in a tile, so a task has BLOCK texts of each side at most, of a block of any size.
     """
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     band = lambda c: F.floor(F.ln(F.length(c)) / -F.ln(F.lit(shortest))) if shortest else F.lit(0)
     a = left.where(F.col(text).isNotNull()).select(block, text, limit.alias("_limit")).distinct().withColumn("_w", F.explode(F.array(*[band(F.col(text)) + d for d in ((-1, 0, 1) if shortest else (0,))])))
     b = right.where(F.col(text).isNotNull()).select(block, F.col(text).alias("match")).distinct().withColumn("_w", band(F.col("match")))
-    parts = b.groupBy(block, "_w").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
-    a = a.join(parts, [block, "_w"]).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    b = b.join(parts, [block, "_w"]).withColumn("_p", F.pmod(F.xxhash64("match"), F.col("_parts")).cast("int")).drop("_parts")
-    pairs = a.join(b, [block, "_w", "_p"])
+    many = lambda df, name: df.groupBy(block, "_w").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    # one row for each block and band that both sides have
+    tiles = many(a, "_m").join(many(b, "_n"), [block, "_w"])
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(tiles, [block, "_w"]).withColumn("_p", own(text, "_m")).withColumn("_q", every("_n")).drop("_m", "_n")
+    b = b.join(tiles, [block, "_w"]).withColumn("_q", own("match", "_n")).withColumn("_p", every("_m")).drop("_m", "_n")
+    pairs = a.join(b, [block, "_w", "_p", "_q"])
     if shortest:
         n, m = F.length(text), F.length("match")
         pairs = pairs.where(F.least(n, m) >= F.greatest(n, m) * (shortest - 1e-9))
@@ -60,14 +70,39 @@ def containing(people: DataFrame, names: DataFrame, first: str, last: str, name:
     return people.join(words, F.lower(people[last]) == words["_w"]).where(F.contains(F.lower(F.col(name)), F.lower(F.col(first)))).drop("_w").distinct()
 
 
-def parts_containing(people: DataFrame, names: DataFrame, first: str, last: str, name: str, gram: int = 3) -> DataFrame:
-    """As containing(), but the last name may be any part of the name: blocked by the last name's first letters, which
-    are some `gram` neighbouring letters of the name. Shorter last names meet by their whole length."""
-    low = F.lower(F.col(name))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
-    every = names.select(name, F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, gram + 1)])))).alias("_g"))
-    who = people.withColumn("_g", F.substring(F.lower(F.col(last)), 1, gram)).where(F.length("_g") > 0)
-    return who.join(every, "_g").where(F.contains(low, F.lower(F.col(last))) & F.contains(low, F.lower(F.col(first)))).drop("_g").distinct()
+def parts_containing(people: DataFrame, names: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """As containing(), but the last name may be any part of the name. Aho-Corasick automata, of PATTERNS last names each,
+    go over the names where they lie: each name is read once for each automaton, and nothing but hits is shuffled."""
+    low = F.lower(F.col(last))
+    wanted = people.select(low.alias("p")).where(F.length("p") > 0).distinct()
+    numbered = places(wanted, "p")
+    ranges = -(-numbered.count() // PATTERNS)
+    schema = f"{name} string, _l string"
+
+    def look(patterns: list[str]) -> DataFrame:
+        shared = names.sparkSession.sparkContext.broadcast(patterns)
+
+        def run(batches):
+            automaton = ahocorasick.Automaton()
+            for p in shared.value:
+                automaton.add_word(p, p)
+            automaton.make_automaton()
+            for batch in batches:
+                texts = [(n, x) for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if n is not None]
+                hits = [(n, p) for n, x in texts for p in {p for _, p in automaton.iter(x)}]
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.string()) for i in (0, 1)], names=[name, "_l"])
+
+        return names.select(name, F.lower(F.col(name)).alias("_low")).mapInArrow(run, schema)
+
+    # a range of names is PATTERNS strings, whatever their number is in all
+    found = [look([r["p"] for r in numbered.where(F.col("place").between(i * PATTERNS + 1, (i + 1) * PATTERNS)).select("p").collect()]) for i in range(ranges)]
+    if not found:
+        return people.select("*", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in [name, *(c for c in names.columns if c != name)]]).where("false")
+    hits = reduce(DataFrame.unionByName, found).distinct()
+    met = people.withColumn("_l", low).join(hits, "_l").where(F.contains(F.lower(F.col(name)), F.lower(F.col(first))))
+    rest = [c for c in names.columns if c != name]
+    out = met.join(names, name) if rest else met
+    return out.select(*people.columns, name, *rest).distinct()
 
 
 def with_overrides(df: DataFrame, overrides: DataFrame, key: str, old: str, columns: dict[str, str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from parzelle.functions.text import bin_of
 from parzelle.operators.ranks import percentile_list, percentiles, places
 from parzelle.operators.relational import describe, split_area
-from parzelle.operators.spatial import haversine
+from parzelle.operators.projection import geodesic
 
 # Classes of owners and their short names, in the order of the figures.
 SHORT = {"nCONETW": "nCN", "aCONETW": "aCN", "PUBLIC": "PU", "CHURCH": "RE", "noagPR": "nPR", "agriPR": "aPR", "a_siCOMP": "aSC", "siCOMP": "nSC", "NONPRO": "OTH"}
@@ -34,16 +34,16 @@ def mapped(column: Column, names: dict[str, str], other: Column | None = None) -
     return found if other is None else F.coalesce(found, other)
 
 
-def with_distances(df: DataFrame) -> DataFrame:
-    """km from the parcel to its owner, and to the ultimate owner; without a place of that one, the former."""
+def with_distances(df: DataFrame, between=geodesic) -> DataFrame:
+    """km from the parcel to its owner, and to the ultimate owner; without a place of that one, the former. between: geodesic, on the ellipsoid, or haversine, on the sphere."""
     at = lambda a: (F.col(f"{a}_lat"), F.col(f"{a}_lon"))
-    own = haversine(*at("parcel"), *at("owner"))
-    return df.withColumns({"distance": own, "mcomp_dist": F.coalesce(haversine(*at("parcel"), *at("mother")), own)})
+    own = between(*at("parcel"), *at("owner"))
+    return df.withColumns({"distance": own, "mcomp_dist": F.coalesce(between(*at("parcel"), *at("mother")), own)})
 
 
-def frame(parcels: DataFrame, owners: DataFrame, info: DataFrame, community: str, fill: str = "noagPR") -> DataFrame:
+def frame(parcels: DataFrame, owners: DataFrame, info: DataFrame, community: str, fill: str = "noagPR", between=geodesic) -> DataFrame:
     """A row for each parcel and owner: the parcel's area split evenly, in ha; distances; what is known of the community; a missing class is filled."""
-    rows = with_distances(split_area(parcels, owners, "parcel", "area")).withColumn("area", F.col("area") / 10000)
+    rows = with_distances(split_area(parcels, owners, "parcel", "area"), between).withColumn("area", F.col("area") / 10000)
     return rows.join(info, community, "left").withColumn("category", F.coalesce("category", F.lit(fill))).drop("n_owners", *[f"{a}_{x}" for a in ("parcel", "owner", "mother") for x in ("lat", "lon")])
 
 

@@ -124,7 +124,7 @@ def agg_modal_address(t: Tables) -> DataFrame:
     SELECT p_partkey, match, round(score, 6) AS score FROM part p LEFT JOIN f ON p.p_size = f.p_size AND p.p_name = f.p_name WHERE p_partkey % 2 = 0""",
 )
 def jn_block_jw(t: Tables) -> DataFrame:
-    found = M.best_in_block(t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_size", "p_name"), t.part.where("p_partkey % 2 = 1").select("p_size", "p_name"), "p_size", "p_name", 0.93, lambda a, b: F.round(similarity.jaro_winkler(a, b), 9), shortest=0.65)
+    found = M.best_in_block(t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_size", "p_name"), t.part.where("p_partkey % 2 = 1").select("p_size", "p_name"), "p_size", "p_name", 0.93, lambda a, b: F.round(similarity.jaro_winkler_from(0.93)(a, b), 9), shortest=0.65)
     return found.select("p_partkey", "match", F.round("score", 6).alias("score"))
 
 

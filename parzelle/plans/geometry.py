@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parzelle.operators import polygons as Y, spatial as S
+from parzelle.operators import polygons as Y, projection as P, spatial as S
 from parzelle.plans.registry import Tables, query
 
 c = F.col
@@ -111,3 +111,38 @@ def geo_farm_circles(t: Tables) -> DataFrame:
     fields = frames(t).join(t.supplier.select(c("s_suppkey").alias("k"), "s_nationkey"), "k")
     found = Y.covering_circles(fields, "s_nationkey", "geometry", 0.9, 10.0)
     return found.select("s_nationkey", *[F.round(x, 6).alias(x) for x in ("cx", "cy", "total_area", "max_radius", "farthest", "radius")])
+
+
+def _vincenty(rounds: int = 8) -> str:
+    """Vincenty's inverse formula as one common table expression a round."""
+    f, a = 1 / 298.257223563, 6378137.0
+    steps = [f"v0 AS (SELECT o_orderkey, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, d, d AS lam FROM (SELECT o_orderkey, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, radians(lon2 - lon1) AS d FROM x))"]
+    parts = "sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS sg, s1 * s2 + c1 * c2 * cos(lam) AS cg"
+    more = f"SELECT *, CASE WHEN q > 0 THEN cg - 2 * s1 * s2 / q ELSE 0 END AS mid, atan2(sg, cg) AS arc, {f} / 16 * q * (4 + {f} * (4 - 3 * q)) AS c FROM (SELECT *, 1 - az * az AS q FROM (SELECT *, CASE WHEN sg > 0 THEN c1 * c2 * sin(lam) / sg ELSE 0 END AS az FROM (SELECT *, {parts} FROM v{{0}})))"
+    for i in range(rounds):
+        steps.append(f"v{i + 1} AS (SELECT o_orderkey, s1, c1, s2, c2, d, d + (1 - c) * {f} * az * (arc + c * sg * (mid + c * cg * (2 * mid * mid - 1))) AS lam FROM ({more.format(i)}))")
+    b, e = a * (1 - f), (1 - (1 - f) ** 2) / (1 - f) ** 2
+    big, small = "(1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))))", "(w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))))"
+    off = f"{small} * sg * (mid + {small} / 4 * (cg * (2 * mid * mid - 1) - {small} / 6 * mid * (4 * sg * sg - 3) * (4 * mid * mid - 3)))"
+    return ", ".join(steps) + f" SELECT o_orderkey, round({b} * {big} * (arc - {off}) / 1000, 5) AS km FROM (SELECT *, q * {e} AS w FROM ({more.format(rounds)}))"
+
+
+_PLACES = "x AS (SELECT o_orderkey, 47 + (o_custkey % 800) / 100.0 lat1, 6 + (o_custkey * 7 % 900) / 100.0 lon1, 47 + (o_orderkey % 800) / 100.0 lat2, 6 + (o_orderkey * 7 % 900) / 100.0 lon2 FROM orders)"
+
+
+@query("geo_geodesic", f"WITH {_PLACES}, {_vincenty()}")
+def geo_geodesic(t: Tables) -> DataFrame:
+    lat, lon = (lambda k: 47 + (c(k) % 800) / 100.0), (lambda k: 6 + (c(k) * 7 % 900) / 100.0)
+    return t.orders.select("o_orderkey", F.round(P.geodesic(lat("o_custkey"), lon("o_custkey"), lat("o_orderkey"), lon("o_orderkey")), 5).alias("km"))
+
+
+@query("geo_reproject", "SELECT c_custkey, round(9 + c_custkey * 7 % 900 / 100.0, 7) AS x, round(47 + c_custkey % 800 / 100.0, 7) AS y, 0 AS off FROM customer")
+def geo_reproject(t: Tables) -> DataFrame:
+    """Degrees to UTM zone 33 and by way of Gauss-Krueger zone 4 back; off: whether any step is off by a millimetre."""
+    x, y = 9 + c("c_custkey") * 7 % 900 / 100.0, 47 + c("c_custkey") % 800 / 100.0
+    rows = t.customer.select("c_custkey", F.explode(F.array(P.reproject(x, y, 4258, 25833))).alias("u"))
+    rows = rows.select("*", F.explode(F.array(P.reproject(c("u.x"), c("u.y"), 25833, 31468))).alias("g"))
+    rows = rows.select("*", F.explode(F.array(P.reproject(c("g.x"), c("g.y"), 31468, 25833))).alias("b"))
+    back = P.reproject(c("b.x"), c("b.y"), 25833, 4258)
+    off = (F.abs(c("u.x") - c("b.x")) > 0.05) | (F.abs(c("u.y") - c("b.y")) > 0.05)
+    return rows.select("c_custkey", back.alias("p"), off.cast("int").alias("off")).select("c_custkey", F.round("p.x", 7).alias("x"), F.round("p.y", 7).alias("y"), "off")

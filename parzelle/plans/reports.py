@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parzelle.operators import concentration as C, reports as P, spatial as S
 from parzelle.plans import concentration as K
+from parzelle.operators.spatial import haversine
 from parzelle.plans.registry import Tables, query
 
 c = F.col
@@ -40,7 +41,7 @@ def report(t: Tables) -> DataFrame:
     parcels = t.orders.select(c("o_orderkey").alias("parcel"), c("o_totalprice").alias("area"), (47 + (c("o_orderkey") % 800) / 100.0).alias("parcel_lat"), (6 + (c("o_orderkey") * 7 % 900) / 100.0).alias("parcel_lon"))
     each = owners.select("community", "owner", "level1").distinct()
     info = each.groupBy("community").agg(F.count_if(c("level1") == 1).alias("number_people"), F.count_if(c("level1") == 2).alias("number_companies"))
-    return P.frame(parcels, owners, info, "community", "nPR")
+    return P.frame(parcels, owners, info, "community", "nPR", haversine)
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:

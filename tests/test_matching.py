@@ -31,6 +31,37 @@ def names(seed, n):
     return [" ".join(r.choices(parts, k=r.randrange(1, 4))) for _ in range(n)]
 
 
+def test_bound_of_jaro_winkler():
+    """Never below the score, so no pair is lost; and it rules out nearly all pairs that aren't alike."""
+    r = random.Random(12)
+    texts = names(3, 150) + ["".join(r.choices("abcdeäöü 🙂", k=r.randrange(0, 12))) for _ in range(150)] + ["martha", "marhta", "dixon", "dicksonx", ""]
+    pairs = [(a, b) for a in texts for b in texts]
+    bound = similarity.winkler_bound([a for a, _ in pairs], [b for _, b in pairs])
+    scores = [similarity.winkler(a, b) for a, b in pairs]
+    assert all(s <= x + 1e-9 for s, x in zip(scores, bound, strict=True))
+    alike, scored = sum(s >= 0.93 for s in scores), sum(x >= 0.93 for x in bound)
+    assert alike <= scored < 0.05 * len(pairs)
+
+
+def test_jaro_winkler_from_a_threshold(spark):
+    rows = [(a, b) for a in names(4, 30) + [None, ""] for b in names(5, 30) + [None, ""]]
+    df = spark.createDataFrame(rows, "a string, b string")
+    found = df.select(similarity.jaro_winkler_from(0.8)(F.col("a"), F.col("b")).alias("v"), "a", "b").collect()
+    for r in found:
+        want = similarity.winkler(r["a"], r["b"]) if None not in (r["a"], r["b"]) else 0
+        assert r["v"] == (pytest.approx(want) if want >= 0.8 else None)
+
+
+@pytest.mark.parametrize("patterns", [50_000, 7])
+def test_parts_of_names_by_automata(spark, monkeypatch, patterns):
+    monkeypatch.setattr(M, "PATTERNS", patterns)
+    people = [(f, x) for f, x in zip(["an", "max", "eva", "Hof", None] * 8, ["muster", "hof", "GUT", "a", "x", "kg", "", None, "ack", "er m"] * 4, strict=True)]
+    texts = [*names(7, 60), "Muster GmbH an", None, ""]
+    found = M.parts_containing(spark.createDataFrame(people, "f string, l string"), spark.createDataFrame([(t,) for t in texts], "n string"), "f", "l", "n")
+    want = {(f, x, t) for f, x in people for t in texts if f is not None and x and t is not None and x.lower() in t.lower() and f.lower() in t.lower()}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+
+
 @pytest.mark.parametrize("block", [5000, 3])
 def test_best_in_block_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(M, "BLOCK", block)
