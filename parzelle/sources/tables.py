@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from parzelle.operators.relational import chunks
-from parzelle.sources import files
+from parzelle.sources import files, layers
 
 
 #: Character sets that Spark reads by itself.
@@ -17,10 +17,14 @@ CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16",
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str | None = None, encoding: str = "UTF-8", sheet: str | None = None) -> DataFrame:
-    """By ending: parquet, orc, json, txt, xlsx, shp, csv. Without a schema all csv columns are strings; without a separator the header tells: the first of ; and , that it has. Other character sets, such as ISO-8859-15, are allowed in this session when one is asked for."""
+    """By ending: parquet, orc, json, txt, xlsx, shp, gpkg, tif, csv; sheet is a sheet's or layer's name. Without a schema all csv columns are strings; without a separator the header tells: the first of ; and , that it has. Other character sets, such as ISO-8859-15, are allowed in this session when one is asked for."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("xls", "gpkg", "tif"):
+    if kind == "xls":
         raise ValueError(f"convert .{kind} files to Parquet or CSV first")
+    if kind == "gpkg":
+        return layers.read_geopackage(spark, path, sheet)
+    if kind in ("tif", "tiff"):
+        return layers.read_raster(spark, path)
     if kind == "xlsx":
         return files.read_sheet(spark, path, sheet)
     if kind == "shp":
