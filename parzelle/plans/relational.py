@@ -340,6 +340,20 @@ def jsn_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@query("jsn_nested", "SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":{\"customers\":' || n || ',\"segments\":[' || segments || ']}', ',' ORDER BY n_name) || '}' AS nations FROM (SELECT n_regionkey, n_name, count(*) AS n, string_agg(DISTINCT '\"' || c_mktsegment || '\"', ',' ORDER BY '\"' || c_mktsegment || '\"') AS segments FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY 1")
+def jsn_nested(t: Tables) -> DataFrame:
+    """A JSON object of objects for each region: of its nations, of which there are few."""
+    rows = t.nation.join(t.customer, c("n_nationkey") == c("c_nationkey")).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("customers"), F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
+    entry = F.struct("n_name", F.struct("customers", "segments").alias("v"))
+    return rows.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("nations"))
+
+
+@query("jsn_nested_read", "SELECT n_regionkey, n_name, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def jsn_nested_read(t: Tables) -> DataFrame:
+    whole = jsn_nested(t).select("n_regionkey", F.explode(F.from_json("nations", "map<string,struct<customers:bigint,segments:array<string>>>")).alias("n_name", "v"))
+    return whole.select("n_regionkey", "n_name", c("v.customers").alias("customers"))
+
+
 @query("ext_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_event_windows(t: Tables) -> DataFrame:
     from parzelle.streaming.windows import windowed_sums

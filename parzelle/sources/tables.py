@@ -117,6 +117,36 @@ def write_dictionary(df: DataFrame, key: str, value: str, path: str) -> None:
     out.write.mode("overwrite").text(path)
 
 
+def write_nested(df: DataFrame, outer: str, inner: str, value: str, path: str) -> None:
+    """A single JSON object of objects, outer and inner keys in order. One file, so one task writes it, entry by entry; of rows of equal keys the first counts."""
+    o, i = F.col(outer).cast("string").alias("o"), F.col(inner).cast("string").alias("i")
+    entry = F.to_json(F.create_map(i, F.col(value)), {"ignoreNullFields": "false"}).alias("value")
+    key = F.to_json(F.create_map(o, F.lit(0))).alias("key")
+    entries = df.where(F.col(outer).isNotNull() & F.col(inner).isNotNull()).select(o, i, key, entry).coalesce(1).sortWithinPartitions("o", "i", "value")
+
+    def lines(batches):
+        last = None, None
+        for batch in batches:
+            out = []
+            for o, i, key, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if o != last[0]:
+                    out.append(("{" if last[0] is None else "},") + key[1:-2] + "{")
+                if (o, i) != last:
+                    out.append(("" if o != last[0] else ",") + text[1:-1])
+                last = o, i
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["}}"], pa.string())], names=["value"])
+
+    out = df.sparkSession.createDataFrame([("{}",)], "value string") if entries.isEmpty() else entries.mapInArrow(lines, "value string")
+    out.write.mode("overwrite").text(path)
+
+
+def nested_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """outer, inner, value of a JSON object of objects."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("outer", "m"))
+    return whole.select("outer", F.explode("m").alias("inner", "value"))
+
+
 def word_list(spark: SparkSession, path: str, extra: list[str] = (), longer_than: int = 2) -> DataFrame:
     words = spark.read.text(path).select(F.trim("value").alias("word")).where(F.length("word") > longer_than)
     return words.union(spark.createDataFrame([(w,) for w in extra], "word string")).distinct() if extra else words.distinct()

@@ -151,3 +151,15 @@ def test_rasters(spark, tmp_path):
     data = b"MM\0*" + struct.pack(">I", at) + b"".join(parts) + struct.pack(">H", 10) + b"".join(struct.pack(">HHII", *f) for f in fields) + bytes(4) + struct.pack(">4I", *offsets) + struct.pack(">4I", *map(len, parts))
     read = {(r, c + i): v for r, c, line in layers.raster_lines(data) for i, v in enumerate(line.tolist())}
     assert read == {(r, c): float(grid[r, c]) for r in range(3) for c in range(4)}
+
+
+def test_objects_of_objects(spark, tmp_path):
+    rows = [("b", "x", 1), ("a", 'q"', 2), ("b", "x", 3), ("b", "a", None), ("a", "z", 4), (None, "n", 5), ("c", None, 6)]
+    df = spark.createDataFrame(rows, "o string, i string, v long").repartition(3)
+    tables.write_nested(df, "o", "i", "v", f"{tmp_path}/n")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "n").glob("part*")))
+    assert json.loads(text) == {"a": {'q"': 2, "z": 4}, "b": {"a": None, "x": 1}}
+    back = {(r["outer"], r["inner"]): r["value"] for r in tables.nested_lookup(spark, f"{tmp_path}/n/part*").collect()}
+    assert back == {("a", 'q"'): "2", ("a", "z"): "4", ("b", "a"): None, ("b", "x"): "1"}
+    tables.write_nested(df.where("false"), "o", "i", "v", f"{tmp_path}/e")
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part*"))) == {}
