@@ -22,18 +22,50 @@ def strong_edges(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.where((F.col("share") >= threshold) | ((F.col("share") < threshold) & control)).distinct()
 
 
-def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """node, component (its smallest node). Labels spread along edges and then jump to the label of the label, so rounds grow with the logarithm of a chain's length; each round is joins and sums, and ends in a checkpoint."""
+#: A key with over this share of all rows is hot; there are fewer than a thousand.
+HOT = 1 / 1000
+#: Parts that the rows of a hot key are dealt into.
+PARTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys with over a thousandth of `total` rows, in column hot."""
+    return df.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT * total).select("hot")
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, own: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """Joins rows with a table that has each key once (in column own). Rows of hot keys are dealt by another column into parts, each of which meets a copy of the key's row. hot: fewer than a thousand rows, sent to all."""
+    few = F.broadcast(hot)
+    dealt = rows.join(few, F.col(key) == F.col("hot"), "left").withColumn("_s", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(0)).drop("hot")
+    copies = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = table.join(few, F.col(own) == F.col("hot"), "left").withColumn("_t", F.explode(copies)).drop("hot")
+    return dealt.join(spread, (F.col(key) == F.col(own)) & (F.col("_s") == F.col("_t")), how).drop("_s", "_t")
+
+
+def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """node, component (its smallest node). Labels spread along edges and then jump to the label of the label, so rounds grow with the logarithm of a chain's length; each round is joins and sums, and ends in a checkpoint.
+
+    With over hot_rows edges, nodes of very many edges, and labels of very many nodes as the round before left them, are
+    joined in parts, so that neither a hub nor a giant component is one task's work."""
     e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
     both = durable(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component")))
+    total = both.count()
+    large = total > hot_rows
+    nodes = labels.count() if large else 0
+    hubs = durable(hot_keys(both, "b", total)) if large else None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        of_b = labels.select(F.col("node").alias("_b"), "component")
+        met = join_salted(both, of_b, "b", "_b", hubs, "a") if large else both.join(of_b, F.col("b") == F.col("_b"))
+        near = met.groupBy("a").agg(F.min("component").alias("m"))
         # the label of a node's label may go further than any neighbour's
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         pushed = hooked.groupBy(F.col("old").alias("root")).agg(F.min("c").alias("r"))
-        jumped = hooked.join(pushed, hooked["c"] == pushed["root"], "left").select("node", "old", F.least(F.col("c"), F.coalesce("r", "c")).alias("component"))
-        new = durable(jumped)
+        if large:
+            led = join_salted(hooked, pushed, "c", "root", hot_keys(labels, "component", nodes), "node", "left")
+        else:
+            led = hooked.join(pushed, hooked["c"] == pushed["root"], "left")
+        new = durable(led.select("node", "old", F.least(F.col("c"), F.coalesce("r", "c")).alias("component")))
         changed = new.where(F.col("old") != F.col("component")).limit(1).count()
         labels = new.select("node", "component")
         if not changed:

@@ -293,3 +293,15 @@ def test_measures_read_their_input_once(spark):
     parcels = spark.range(2000).select((F.col("id") % 3).alias("u"), (F.col("id") % 50).alias("o"), (F.col("id") % 17 + 1.5).alias("a"), (F.col("id") % 9 + 1).alias("x"), (F.col("id") % 7 + 1).alias("y"))
     for df in (C.measures(parcels, "u", "a", "o"), C.moving_window(parcels, "a", "o", "x", "y", ["cr1"])):
         assert "Range (" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_with_hubs_and_a_giant(spark):
+    """Hubs and a giant component, joined in parts, give the labels of the plain joins."""
+    r = random.Random(3)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 404)] + [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(40)] + [(290, 402), (None, 3), (5, None), (3000, 3000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    plain = lambda d: {x["node"]: x["component"] for x in d.collect()}
+    want = plain(N.components(df, "a", "b"))
+    assert plain(N.components(df, "a", "b", hot_rows=0)) == want and want[404] == 0 and want[3000] == 3000
+    hot = N.hot_keys(df, "a", len(edges)).collect()
+    assert 0 in {x["hot"] for x in hot}
