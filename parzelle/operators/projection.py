@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from parzelle.functions.text import let
@@ -149,16 +150,16 @@ def geographic(g: Column, shape: Ellipsoid) -> Column:
     return F.struct(F.degrees(F.atan2(g["y"], g["x"])).alias("x"), F.degrees(lat).alias("y"))
 
 
-def shifted(g: Column, s: Shift, sign: int = 1) -> Column:
-    """A geocentric place moved by seven parameters (sign -1: back, but for the square of small angles)."""
-    rx, ry, rz = (sign * math.radians(r / 3600) for r in (s.rx, s.ry, s.rz))
-    m = 1 + sign * s.scale * 1e-6
-    x, y, z = g["x"], g["y"], g["z"]
-    return F.struct(
-        (m * (x - rz * y + ry * z) + sign * s.dx).alias("x"),
-        (m * (rz * x + y - rx * z) + sign * s.dy).alias("y"),
-        (m * (-ry * x + rx * y + z) + sign * s.dz).alias("z"),
-    )
+def shifted(g: Column, s: Shift, back: bool = False) -> Column:
+    """A geocentric place moved by seven parameters, or back to where it was."""
+    rx, ry, rz = (math.radians(r / 3600) for r in (s.rx, s.ry, s.rz))
+    turn = (1 + s.scale * 1e-6) * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]])
+    move = np.array([s.dx, s.dy, s.dz])
+    if back:
+        turn = np.linalg.inv(turn)
+        move = -turn @ move
+    row = lambda i: float(turn[i, 0]) * g["x"] + float(turn[i, 1]) * g["y"] + float(turn[i, 2]) * g["z"] + float(move[i])
+    return F.struct(*[row(i).alias(c) for i, c in enumerate("xyz")])
 
 
 def reproject(x: Column, y: Column, source: int, target: int) -> Column:
@@ -168,10 +169,10 @@ def reproject(x: Column, y: Column, source: int, target: int) -> Column:
     place = unproject(x, y, plane) if plane else F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     if shift != to_shift:
         place = let(place, lambda p: geocentric(p["y"], p["x"], shape))
-        by = lambda s, sign: lambda g: shifted(g, s, sign)
-        for s, sign in ((shift, 1), (to_shift, -1)):
+        by = lambda s, back: lambda g: shifted(g, s, back)
+        for s, back in ((shift, False), (to_shift, True)):
             if s:
-                place = let(place, by(s, sign))
+                place = let(place, by(s, back))
         place = let(place, lambda g: geographic(g, to_shape))
     if to_plane:
         place = let(place, lambda p: project(p["y"], p["x"], to_plane))

@@ -208,7 +208,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "w.txt").write_text("und\nab\nacker\n")
     assert sorted(r[0] for r in tables.word_list(spark, str(tmp_path / "w.txt"), ["extra"]).collect()) == ["acker", "extra", "und"]
     with pytest.raises(ValueError):
-        tables.read_table(spark, "x.gpkg")
+        tables.read_table(spark, "x.xls")
 
 
 def test_stream_equals_batch(spark, tmp_path):

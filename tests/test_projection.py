@@ -48,8 +48,8 @@ def test_round_trips(spark, code):
     places = spark.createDataFrame([(x, y) for x in (6.5, 9.0, 11.9, 14.5) for y in (47.5, 51.0, 54.9)] + [(None, 50.0)], "x double, y double")
     there = places.select("x", "y", F.explode(F.array(P.reproject(F.col("x"), F.col("y"), 4326, code))).alias("p"))
     rows = there.select("x", "y", "p", P.reproject(F.col("p.x"), F.col("p.y"), code, 4326).alias("b")).collect()
-    # back from a shift of datum the square of the angles remains, a few centimetres
-    close = 1e-9 if code < 31466 or code > 31469 else 1e-6
+    # between datums a place on the one ellipsoid lies above the other, and the height is lost: a few millimetres
+    close = 1e-9 if code < 31466 or code > 31469 else 5e-8
     for r in rows:
         if r["x"] is None:
             assert r["p"] is None and r["b"] is None
