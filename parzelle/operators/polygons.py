@@ -16,6 +16,7 @@ side `size` should be near that of a typical polygon.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,8 +76,14 @@ def area_of(e: np.ndarray) -> float:
     return float(((e[:, 0] - x) * (e[:, 3] - y) - (e[:, 2] - x) * (e[:, 1] - y)).sum() / 2)
 
 
-def common_area(a: np.ndarray, b: np.ndarray) -> float:
-    """The area in both of two sets of directed edges; what the second covers several times counts once."""
+@lru_cache(maxsize=4096)
+def _pairs_of(n: int, m: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pairs among n edges; with m, of those between the first n and the m that follow."""
+    return np.triu_indices(n, 1) if m is None else (np.repeat(np.arange(n), m), n + np.tile(np.arange(m), n))
+
+
+def common_area(a: np.ndarray, b: np.ndarray, several: bool = False) -> float:
+    """The area in both of two sets of directed edges. several: the second holds polygons that may overlap each other; what they cover several times counts once."""
     low = max(a[:, [0, 2]].min(), b[:, [0, 2]].min())
     high = min(a[:, [0, 2]].max(), b[:, [0, 2]].max())
     if low >= high:
@@ -90,7 +97,7 @@ def common_area(a: np.ndarray, b: np.ndarray) -> float:
     x1, y1, x2, y2 = e.T
     slope = (y2 - y1) / (x2 - x1)
     at = y1 - slope * (x1 - low)  # height at `low`
-    i, j = np.triu_indices(len(e), 1)
+    i, j = _pairs_of(len(e), None) if several else _pairs_of(int(of_a.sum()), int((~of_a).sum()))
     apart = slope[i] - slope[j]
     with np.errstate(divide="ignore", invalid="ignore"):
         x = low + (at[j] - at[i]) / apart
@@ -166,7 +173,9 @@ def _pairs(met: DataFrame, size: float) -> DataFrame:
     full = size * size * (1 - NOISE)
     kinds = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("l_key", "r_key"))
     filled = met.where((F.col("l_area") >= full) | (F.col("r_area") >= full)).select("l_key", "r_key", F.least("l_area", "r_area").alias("area"))
-    rest = met.where((F.col("l_area") < full) & (F.col("r_area") < full)).select("l_key", "r_key", "l_edges", "r_edges")
+    # pairs are short rows but long work, so they are dealt to as many tasks as a shuffle has, however few bytes they are
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = met.where((F.col("l_area") < full) & (F.col("r_area") < full)).select("l_key", "r_key", "l_edges", "r_edges").repartition(tasks)
     shared = mapped(rest, lambda row: iter([(row.l_key, row.r_key, common_area(_array(row.l_edges), _array(row.r_edges)))]), f"{kinds}, area double")
     return filled.unionByName(shared).groupBy("l_key", "r_key").agg(F.sum("area").alias("area")).where(F.col("area") > NOISE * size * size)
 
@@ -184,7 +193,7 @@ def outer_overlay(left: DataFrame, right: DataFrame, key: str, wkt: str, size: f
 
     def covered(pdf: pd.DataFrame) -> pd.DataFrame:
         others = np.concatenate([_array(e) for e in pdf["r_edges"]])
-        return pd.DataFrame({"l_key": pdf["l_key"].iloc[:1], "covered": [common_area(_array(pdf["l_edges"].iloc[0]), others)]})
+        return pd.DataFrame({"l_key": pdf["l_key"].iloc[:1], "covered": [common_area(_array(pdf["l_edges"].iloc[0]), others, several=True)]})
 
     kind = met.schema["l_key"].dataType.simpleString()
     distinct = met.select("l_key", "cx", "cy", "l_edges", "r_edges").dropDuplicates(["l_key", "cx", "cy", "r_edges"])

@@ -27,19 +27,19 @@ _ANGLE = "(0, 0, 30, 10), (0, 10, 10, 30)"
 
 
 def frames(t: Tables) -> DataFrame:
-    """A square with a hole, and a part beside it, for each supplier."""
+    """A square with a hole, and a part beside it, for each supplier; the area grows with their number."""
     k = c("s_suppkey")
-    return t.supplier.select(k.alias("k"), wkt("multi", FRAME, k * 13 % 500, k * 29 % 500).alias("geometry"))
+    return t.supplier.select(k.alias("k"), wkt("multi", FRAME, k * 13 % 500 + F.floor(k / 100) * 600, k * 29 % 500).alias("geometry"))
 
 
 def angles(t: Tables) -> DataFrame:
     """A concave shape for each part."""
     k = c("p_partkey")
-    return t.part.select(k.alias("k"), wkt("one", ANGLE, k * 7 % 500, k * 11 % 500).alias("geometry"))
+    return t.part.select(k.alias("k"), wkt("one", ANGLE, k * 7 % 500 + F.floor(k / 2000) * 600, k * 11 % 500).alias("geometry"))
 
 
-_RECTS = f"""fr AS (SELECT s_suppkey AS k, s_suppkey * 13 % 500 + a AS x1, s_suppkey * 29 % 500 + b AS y1, s_suppkey * 13 % 500 + c AS x2, s_suppkey * 29 % 500 + d AS y2 FROM supplier, (VALUES {_FRAME}) v(a, b, c, d)),
-    an AS (SELECT p_partkey AS k, p_partkey * 7 % 500 + a AS x1, p_partkey * 11 % 500 + b AS y1, p_partkey * 7 % 500 + c AS x2, p_partkey * 11 % 500 + d AS y2 FROM part, (VALUES {_ANGLE}) v(a, b, c, d))"""
+_RECTS = f"""fr AS (SELECT s_suppkey AS k, s_suppkey * 13 % 500 + s_suppkey // 100 * 600 + a AS x1, s_suppkey * 29 % 500 + b AS y1, s_suppkey * 13 % 500 + s_suppkey // 100 * 600 + c AS x2, s_suppkey * 29 % 500 + d AS y2 FROM supplier, (VALUES {_FRAME}) v(a, b, c, d)),
+    an AS (SELECT p_partkey AS k, p_partkey * 7 % 500 + p_partkey // 2000 * 600 + a AS x1, p_partkey * 11 % 500 + b AS y1, p_partkey * 7 % 500 + p_partkey // 2000 * 600 + c AS x2, p_partkey * 11 % 500 + d AS y2 FROM part, (VALUES {_ANGLE}) v(a, b, c, d))"""
 _SHARED = "SELECT l.k AS l_k, r.k AS r_k, sum((least(l.x2, r.x2) - greatest(l.x1, r.x1)) * (least(l.y2, r.y2) - greatest(l.y1, r.y1))) AS area FROM fr l JOIN an r ON least(l.x2, r.x2) > greatest(l.x1, r.x1) AND least(l.y2, r.y2) > greatest(l.y1, r.y1) GROUP BY ALL"
 
 
