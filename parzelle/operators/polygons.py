@@ -139,6 +139,13 @@ def mapped(df: DataFrame, f: Callable[[tuple], Iterator[tuple]], schema: str) ->
     return df.mapInPandas(run, schema)
 
 
+def _ringed(df: DataFrame, key: str, wkt: str) -> DataFrame:
+    """key, rings of the polygons. Texts are dealt to as many tasks as a shuffle has: reading and cutting one may be long work, and small files are one task. The rings come by way of a generator, behind which they are read from the text once."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{wkt}`").alias("wkt")).where("wkt IS NOT NULL").repartition(tasks)
+    return rows.select("key", F.explode(F.array(flat(F.col("wkt")))).alias("rings")).where("rings IS NOT NULL")
+
+
 def pieces(df: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
     """key, cx, cy, edges (x1, y1, x2, y2, ...), area, and the bounds x1, y1, x2, y2 of each polygon's piece in each cell that it touches."""
     def cut(row) -> Iterator[tuple]:
@@ -152,8 +159,7 @@ def pieces(df: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
                     yield row.key, cx, cy, e.ravel().tolist(), area_of(e), e[:, 0].min(), e[:, 1].min(), e[:, 0].max(), e[:, 1].max()
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("key"), flat(F.col(f"`{wkt}`")).alias("rings")).where(F.col("rings").isNotNull())
-    return mapped(rows, cut, f"key {kind}, cx long, cy long, edges array<double>, area double, x1 double, y1 double, x2 double, y2 double")
+    return mapped(_ringed(df, key, wkt), cut, f"key {kind}, cx long, cy long, edges array<double>, area double, x1 double, y1 double, x2 double, y2 double")
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -325,8 +331,7 @@ def pixel_runs(df: DataFrame, key: str, wkt: str, x0: float, y0: float, size: fl
                     yield row.key, i, a, b - 1
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("key"), flat(F.col(f"`{wkt}`")).alias("rings")).where(F.col("rings").isNotNull())
-    return mapped(rows, fill, f"key {kind}, row long, first long, last long").withColumnRenamed("key", key)
+    return mapped(_ringed(df, key, wkt), fill, f"key {kind}, row long, first long, last long").withColumnRenamed("key", key)
 
 
 def circle_runs(df: DataFrame, key: str, radius: float, x0: float, y0: float, size: float) -> DataFrame:
