@@ -11,8 +11,8 @@ error is about 0.02 for long texts). It works in three steps, copies folded firs
    estimate up to MARGIN below) link, as a forest; their components are loose classes.
 3. Within a loose class the shingle sets are compared exactly; chains of pairs that are similar enough are the classes.
 
-Links come out as forests, no more rows than members. Bands and loose classes that are too large for a task are dealt
-into chunks, and each two chunks meet in a tile of their own: no pair is lost, no set of all pairs is made.
+Links come out as forests, no more rows than members. Bands and loose classes that are too large for a task are taken up
+by llm/crowds.py: all members meet a few references first, and only members that this leaves apart meet the others.
 
 Links run between sets, which have numbers of their own, so an id with several texts never ties their classes together.
 
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.llm import common, hamming
+from parzelle.llm import common, crowds, hamming
 from parzelle.llm.neardup import SEED, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -175,13 +175,73 @@ def described(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
     return common.map_texts(picked, "id", "text", make, "digest binary, n long, keys array<long>, print binary", keep=("which",))
 
 
+class Prints(crowds.Kind):
+    """Fingerprints with the sizes of their sets; far apart by bits, near by the estimate."""
+
+    payload = ("print", "n")
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.slack = radius(max(similarity - FEW_MARGIN, 0.01))
+
+    def parse(self, part: pa.RecordBatch):
+        prints = np.frombuffer(b"".join(part.column("print").to_pylist()), dtype=np.uint64).reshape(-1, PARTS)
+        return list(zip(prints, part.column("n").to_numpy().astype(float), strict=True))
+
+    def stack(self, held):
+        return np.stack([p for p, _ in held]), np.array([n for _, n in held])
+
+    def compare(self, held, at, one):
+        prints, sizes = held[0][at], held[1][at]
+        return np.bitwise_count(prints ^ one[0]).sum(axis=1, dtype=np.int64), alike(prints, one[0], sizes, one[1], self.similarity)
+
+
+class Sets(crowds.Kind):
+    """Texts as sets of shingles; far apart by the Jaccard distance, which is a metric."""
+
+    payload = ("text",)
+
+    def __init__(self, words: int, similarity: float):
+        self.words, self.similarity = words, similarity
+        self.slack = 1 - similarity + 1e-9
+
+    def parse(self, part: pa.RecordBatch):
+        return [np.unique(np.array(shingle_hashes(t, self.words, SEED), dtype=np.uint64)) for t in common.as_bytes(part.column("text"))]
+
+    def stack(self, held):
+        return held, np.array([len(x) for x in held], dtype=float)
+
+    def compare(self, held, at, one):
+        both = np.array([shared(held[0][i], one) for i in at.tolist()], dtype=float)
+        alike = both / (held[1][at] + len(one) - both)
+        return 1 - alike, alike >= self.similarity
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
 def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
     """a, b: links that connect the distinct sets whose estimate suffices; sets has node, n, keys, print."""
     keyed = sets.select("node", F.posexplode("keys").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiles = common.pair_chunks(keyed.join(shared, ["t", "key"]), F.ceil(F.col("members") / hot), "node")
-    tiles = tiles.join(sets.select("node", "n", "print"), "node")
-    tile = ["t", "key", "i", "j"]
+    bands = common.durable(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    prints = sets.select("node", "n", "print")
+    links = band_links(keyed.join(bands.where(F.col("members") <= hot), ["t", "key"]).join(prints, "node"), similarity)
+    crowded = bands.where(F.col("members") > hot)
+    if crowded.isEmpty():
+        return links
+    members = keyed.join(crowded, ["t", "key"]).select(F.xxhash64("t", "key").alias("g"), "node", F.lit(1).alias("weight"))
+    return crowds.links(members, prints, Prints(similarity), hot, common.durable(links))
+
+
+def band_links(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links within bands (t, key) that fit a task."""
+    band = ["t", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -196,7 +256,7 @@ def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
         for batch in batches:
             new = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, new]) if held is not None else new
-            cols = [held[c].to_numpy() for c in tile]
+            cols = [held[c].to_numpy() for c in band]
             starts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
             if len(starts) > 1:
                 yield from found(held.slice(0, int(starts[-1])), starts[:-1])
@@ -204,7 +264,7 @@ def loose_links(sets: DataFrame, similarity: float, hot: int) -> DataFrame:
         if held is not None and len(held):
             yield from found(held, np.zeros(1, np.int64))
 
-    return tiles.repartition(*tile).sortWithinPartitions(*tile, "node").mapInArrow(run, "a long, b long")
+    return members.repartition(*band).sortWithinPartitions(*band, "node").mapInArrow(run, "a long, b long")
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -239,8 +299,7 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
 
 
 def exact_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b: links that connect the texts of a group that are similar; texts has root, i, j (the group), node, text; of a node's copies one counts."""
-    tile = ["root", "i", "j"]
+    """a, b: links that connect the texts of a group that are similar; texts has root (the group), node, text; of a node's copies one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nodes, sets = None, [], []
@@ -252,8 +311,8 @@ def exact_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
         for batch in batches:
             for part in common.slices([batch], "text"):
-                rows = zip(*(part.column(c).to_pylist() for c in (*tile, "node")), common.as_bytes(part.column("text")), strict=True)
-                for *group, node, text in rows:
+                rows = zip(part.column("root").to_pylist(), part.column("node").to_pylist(), common.as_bytes(part.column("text")), strict=True)
+                for group, node, text in rows:
                     if group != at:
                         if len(sets) > 1:
                             yield from flush()
@@ -267,7 +326,7 @@ def exact_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         if len(sets) > 1:
             yield from flush()
 
-    return texts.repartition(*tile).sortWithinPartitions(*tile, "node").mapInArrow(run, "a long, b long")
+    return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a long, b long")
 
 
 def _classes(df: DataFrame, words: int, similarity: float, hot: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -280,14 +339,21 @@ def _classes(df: DataFrame, words: int, similarity: float, hot: int, chunk: int,
     sets = common.durable(one.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "copies", "set.*"))
     loose = hamming.components(loose_links(sets.where("n > 0"), similarity, hot))
     loose = common.durable(loose.join(sets.select("node", "first.which", "n"), "node"))
-    held = loose.groupBy("root").agg(F.sum("n").alias("n"))
-    members = common.pair_chunks(loose.drop("n").join(held, "root"), F.ceil(F.col("n") / chunk), "node").drop("n")
     text = F.col(f"`{text_col}`").cast("string")
     # a row may be repeated very often: of its copies one from each task goes through the shuffle, and one stays
     once = Window.partitionBy("which").orderBy("which")
     texts = df.select(row_key(F.col(f"`{id_col}`"), text).alias("which"), text.alias("text")).withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    texts = texts.join(members.select("which", "node", "root", "i", "j"), "which").drop("which")
-    member = hamming.components(exact_links(texts, words, similarity))
+    held = common.durable(loose.groupBy("root").agg(F.sum("n").alias("held")))
+    members = texts.join(loose, "which").select("root", "node", F.col("n").alias("weight"), "text")
+    crowded = held.where(F.col("held") > chunk).select("root")
+    if crowded.isEmpty():
+        links = exact_links(members, words, similarity)
+    else:
+        members = common.durable(members)
+        links = common.durable(exact_links(members.join(crowded, "root", "left_anti"), words, similarity))
+        many = loose.join(crowded, "root").select(F.col("root").alias("g"), "node", F.col("n").alias("weight"))
+        links = crowds.links(many, members.select("node", "text"), Sets(words, similarity), chunk, links)
+    member = hamming.components(links)
     named = sets.select("node", "digest", "first", "copies").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     return every, named.join(heads, "root").select("root", "digest", "copies", "head")
