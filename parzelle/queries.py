@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parzelle.plans import concentration, domain, entries, geometry, more, register, relational, reports  # noqa: F401  (they register their queries)
+from parzelle.plans import charts, concentration, domain, entries, geometry, more, register, relational, reports  # noqa: F401  (they register their queries)
 from parzelle.plans.registry import ORACLES, QUERIES
 
 
