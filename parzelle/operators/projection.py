@@ -12,6 +12,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from parzelle.functions.text import let
@@ -179,40 +180,45 @@ def reproject(x: Column, y: Column, source: int, target: int) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), place)
 
 
+def _vincenty(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, shape: Ellipsoid, rounds: int) -> np.ndarray:
+    """Distances in km; not a number where the rounds don't settle."""
+    f, b = shape.f, shape.a * (1 - shape.f)
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(lat))) for lat in (lat1, lat2))
+    s1, c1, s2, c2, d = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2), np.radians(lon2 - lon1)
+
+    def at(lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the arc sin, cos, the sin of its azimuth at the equator, and length; cos of its doubled middle."""
+        across, along = np.sin(lam), np.cos(lam)
+        sin = np.sqrt((c2 * across) ** 2 + (c1 * s2 - s1 * c2 * along) ** 2)
+        cos = s1 * s2 + c1 * c2 * along
+        az = np.divide(c1 * c2 * across, sin, out=np.zeros_like(sin), where=sin > 0)
+        flat = 1 - az * az
+        real = flat > 1e-15
+        mid = np.where(real, cos - np.divide(2 * s1 * s2, flat, out=np.zeros_like(flat), where=real), 0.0)
+        return sin, cos, az, flat, mid, np.arctan2(sin, cos)
+
+    lam, moved = d, np.zeros_like(d)
+    for _ in range(rounds):
+        sin, cos, az, flat, mid, arc = at(lam)
+        c = f / 16 * flat * (4 + f * (4 - 3 * flat))
+        new = d + (1 - c) * f * az * (arc + c * sin * (mid + c * cos * (2 * mid * mid - 1)))
+        lam, moved = new, np.abs(new - lam)
+        if not (moved >= 1e-14).any():  # settled beyond what the limit below asks for
+            break
+    sin, cos, az, flat, mid, arc = at(lam)
+    w = flat * shape.e2 / (1 - shape.e2)
+    big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+    small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+    off = small * sin * (mid + small / 4 * (cos * (2 * mid * mid - 1) - small / 6 * mid * (4 * sin * sin - 3) * (4 * mid * mid - 3)))
+    return np.where(moved < 1e-11, b * big * (arc - off) / 1000, np.nan)
+
+
 def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column, shape: Ellipsoid = WGS84, rounds: int = 20) -> Column:
-    """Distance in km on the ellipsoid by Vincenty's inverse formula in a fixed number of rounds; null if a place is missing or out of range. Nearly opposite places, for which the rounds don't settle, are null too."""
+    """Distance in km on the ellipsoid by Vincenty's inverse formula in a fixed number of rounds, in Arrow batches; null if a place is missing or out of range. Nearly opposite places, for which the rounds don't settle, are null too."""
+    def run(*places: pd.Series) -> pd.Series:
+        with np.errstate(invalid="ignore"):
+            return pd.Series(_vincenty(*(p.to_numpy(dtype=float) for p in places), shape, rounds))
+
     ok = lat1.between(-90, 90) & lat2.between(-90, 90) & lon1.between(-180, 180) & lon2.between(-180, 180)
-    f, b = shape.f, shape.a * (1 - shape.f)
-    u = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
-    start = F.struct(F.sin(u(lat1)).alias("s1"), F.cos(u(lat1)).alias("c1"), F.sin(u(lat2)).alias("s2"), F.cos(u(lat2)).alias("c2"), F.radians(lon2 - lon1).alias("d"))
-
-    def arc(k: Column, lam: Column) -> Column:
-        """sin and cos of the arc, sin of its azimuth at the equator."""
-        sin = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2))
-        cos = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        return F.struct(sin.alias("sin"), cos.alias("cos"), F.when(sin > 0, k["c1"] * k["c2"] * F.sin(lam) / sin).otherwise(0.0).alias("az"))
-
-    def middle(k: Column, a: Column) -> Column:
-        flat = 1 - a["az"] * a["az"]
-        return F.struct(a["sin"].alias("sin"), a["cos"].alias("cos"), a["az"].alias("az"), flat.alias("flat"), F.when(flat > 1e-15, a["cos"] - 2 * k["s1"] * k["s2"] / flat).otherwise(0.0).alias("mid"), F.atan2(a["sin"], a["cos"]).alias("arc"))
-
-    def at(k: Column, lam: Column) -> Column:
-        return let(arc(k, lam), lambda a: middle(k, a))
-
-    def again(k: Column, m: Column) -> Column:
-        c = f / 16 * m["flat"] * (4 + f * (4 - 3 * m["flat"]))
-        return let(c, lambda c: k["d"] + (1 - c) * f * m["az"] * (m["arc"] + c * m["sin"] * (m["mid"] + c * m["cos"] * (2 * m["mid"] * m["mid"] - 1))))
-
-    def length(m: Column, w: Column) -> Column:
-        big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
-        small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
-        off = lambda s: s * m["sin"] * (m["mid"] + s / 4 * (m["cos"] * (2 * m["mid"] * m["mid"] - 1) - s / 6 * m["mid"] * (4 * m["sin"] * m["sin"] - 3) * (4 * m["mid"] * m["mid"] - 3)))
-        return b * big * (m["arc"] - let(small, off)) / 1000
-
-    def whole(k: Column) -> Column:
-        step = lambda s, _: let(again(k, at(k, s["lam"])), lambda new: F.struct(new.alias("lam"), F.abs(new - s["lam"]).alias("moved")))
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(k["d"].alias("lam"), F.lit(0.0).alias("moved")), step)
-        square = shape.e2 / (1 - shape.e2)
-        return let(end, lambda e: F.when(e["moved"] < 1e-11, let(at(k, e["lam"]), lambda m: length(m, m["flat"] * square))))
-
-    return F.when(ok, let(start, whole))
+    km = F.pandas_udf(run, "double")(*[F.when(ok, x.cast("double")) for x in (lat1, lon1, lat2, lon2)])
+    return F.nanvl(km, F.lit(None).cast("double"))
