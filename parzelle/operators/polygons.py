@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.spatial import rings, shape
+from parzelle.operators.spatial import forms, of_all, rings, shape
 
 #: Areas under this share of a cell are noise of the arithmetic.
 NOISE = 1e-12
@@ -162,12 +162,18 @@ def pieces(df: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
     return mapped(_ringed(df, key, wkt), cut, f"key {kind}, cx long, cy long, edges array<double>, area double, x1 double, y1 double, x2 double, y2 double")
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled whatever Spark takes the sides' sizes for: pieces, edges and runs are many times
+    the table that they come from, by whose size Spark would send them through the driver to all."""
+    return df.hint("merge")
+
+
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pieces of one cell whose bounds overlap."""
     l_side = left.select("cx", "cy", *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in ("cx", "cy")])
     r_side = right.select("cx", "cy", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in ("cx", "cy")])
     over = (F.col("l_x1") < F.col("r_x2")) & (F.col("r_x1") < F.col("l_x2")) & (F.col("l_y1") < F.col("r_y2")) & (F.col("r_y1") < F.col("l_y2"))
-    return l_side.join(r_side, ["cx", "cy"]).where(over)
+    return unbroadcast(l_side).join(r_side, ["cx", "cy"]).where(over)
 
 
 def _array(values) -> np.ndarray:
@@ -205,22 +211,26 @@ def outer_overlay(left: DataFrame, right: DataFrame, key: str, wkt: str, size: f
     distinct = met.select("l_key", "cx", "cy", "l_edges", "r_edges").dropDuplicates(["l_key", "cx", "cy", "r_edges"])
     hidden = distinct.groupBy("l_key", "cx", "cy").applyInPandas(covered, f"l_key {kind}, covered double").groupBy("l_key").agg(F.sum("covered").alias("covered"))
     whole = mine.groupBy(F.col("key").alias("l_key")).agg(F.sum("area").alias("whole"))
-    rest = whole.join(hidden, "l_key", "left").select("l_key", F.lit(None).cast(met.schema["r_key"].dataType).alias("r_key"), (F.col("whole") - F.coalesce("covered", F.lit(0.0))).alias("area"))
+    rest = unbroadcast(whole).join(hidden, "l_key", "left").select("l_key", F.lit(None).cast(met.schema["r_key"].dataType).alias("r_key"), (F.col("whole") - F.coalesce("covered", F.lit(0.0))).alias("area"))
     return _pairs(met, size).unionByName(rest.where(F.col("area") > 1e-9 * size * size))
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame, size: float, wkt: str = "geometry") -> DataFrame:
-    """Points (x, y) with the polygons that they lie in, whose columns, but for the text, get the prefix p_. Points on a border belong to the polygon above or to the right."""
+    """Points (x, y) with the polygons that they lie in, whose columns, but for the text, get the prefix p_. Points on a border belong to the polygon above or to the right. Equal points meet the polygons once."""
     names = [c for c in polygons.columns if c != wkt]
     rows = polygons.select(F.struct(*names).alias("key"), F.col(f"`{wkt}`").alias("wkt"))
     cut = pieces(rows, "key", "wkt", size).select("cx", "cy", "key", "edges", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
-    at = points.withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
+    at = forms(points, ("x", "y")).select("x", "y").withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
     x, y = F.col("x"), F.col("y")
     n = lambda i, k: F.get("edges", 4 * i + k)
     crossed = lambda i: ((n(i, 1) > y) != (n(i, 3) > y)) & (x < n(i, 0) + (y - n(i, 1)) * F.try_divide(n(i, 2) - n(i, 0), n(i, 3) - n(i, 1)))
     odd = F.size(F.filter(F.sequence(F.lit(0), (F.size("edges") / 4).cast("int") - 1), crossed)) % 2 == 1
-    met = at.join(cut, ["cx", "cy"]).where(x.between(F.col("_x1"), F.col("_x2")) & y.between(F.col("_y1"), F.col("_y2")) & odd)
-    return met.select(*points.columns, *[F.col(f"key.`{c}`").alias(f"p_{c}") for c in names])
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = unbroadcast(at).join(cut, ["cx", "cy"]).where(x.between(F.col("_x1"), F.col("_x2")) & y.between(F.col("_y1"), F.col("_y2")))
+    # the test of a pair is long work, so pairs are dealt to as many tasks as a shuffle has
+    met = near.repartition(tasks).where(odd).select("x", "y", *[F.col(f"key.`{c}`").alias(f"p_{c}") for c in names])
+    found = of_all(met, points, None, ("x", "y"))
+    return found.select(*points.columns, *[f"p_{c}" for c in names])
 
 
 def contacts(polygons: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
@@ -240,7 +250,7 @@ def contacts(polygons: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
 
     reach = lambda n: (F.least(f"a_{n}1", f"a_{n}2") <= F.greatest(f"b_{n}1", f"b_{n}2")) & (F.least(f"b_{n}1", f"b_{n}2") <= F.greatest(f"a_{n}1", f"a_{n}2"))
     touch = (side("a", "b", 1) * side("a", "b", 2) <= 0) & (side("b", "a", 1) * side("b", "a", 2) <= 0)
-    return a.join(b, ["cx", "cy"]).where((F.col("a_k") < F.col("b_k")) & reach("x") & reach("y") & touch).select(F.col("a_k").alias("key"), F.col("b_k").alias("neighbour")).distinct()
+    return unbroadcast(a).join(b, ["cx", "cy"]).where((F.col("a_k") < F.col("b_k")) & reach("x") & reach("y") & touch).select(F.col("a_k").alias("key"), F.col("b_k").alias("neighbour")).distinct()
 
 
 def touching(polygons: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
@@ -248,7 +258,7 @@ def touching(polygons: DataFrame, key: str, wkt: str, size: float) -> DataFrame:
     cut = pieces(polygons, key, wkt, size)
     met = _met(cut, cut).where("l_key < r_key")
     over = _pairs(met, size).select(F.col("l_key").alias("key"), F.col("r_key").alias("neighbour"))
-    near = contacts(polygons, key, wkt, size).join(over, ["key", "neighbour"], "left_anti")
+    near = unbroadcast(contacts(polygons, key, wkt, size)).join(over, ["key", "neighbour"], "left_anti")
     return near.unionByName(near.select(F.col("neighbour").alias("key"), F.col("key").alias("neighbour")))
 
 
@@ -346,6 +356,13 @@ def circle_runs(df: DataFrame, key: str, radius: float, x0: float, y0: float, si
 def pixels_within(shapes: DataFrame, windows: DataFrame, key: str, window: str, block: int = 256) -> DataFrame:
     """window, key, pixels: how many pixels of each shape lie in each window. Runs meet in blocks of columns of a row."""
     spread = lambda df, p, k: df.select(F.col(k), "row", F.col("first").alias(f"{p}1"), F.col("last").alias(f"{p}2"), F.explode(F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor(F.col("last") / block).cast("long"))).alias("block"))
-    met = spread(shapes, "s", key).join(spread(windows, "w", window), ["row", "block"])
+    met = unbroadcast(spread(shapes, "s", key)).join(spread(windows, "w", window), ["row", "block"])
     shared = F.least("s2", "w2", (F.col("block") + 1) * block - 1) - F.greatest("s1", "w1", F.col("block") * block) + 1
     return met.where(shared > 0).groupBy(window, key).agg(F.sum(shared).alias("pixels"))
+
+
+def pixels_around(shapes: DataFrame, points: DataFrame, key: str, radius: float, x0: float, y0: float, size: float) -> DataFrame:
+    """The points' columns, key, pixels: how many pixels of each shape (pixel_runs()) lie within a radius of points (x, y). Equal points meet the shapes once."""
+    places = forms(points, ("x", "y")).select("x", "y", F.struct("x", "y").alias("_at"))
+    met = pixels_within(shapes, circle_runs(places, "_at", radius, x0, y0, size), key, "_at")
+    return of_all(met.select("_at.x", "_at.y", key, "pixels"), points, None, ("x", "y")).select(*points.columns, key, "pixels")

@@ -102,7 +102,7 @@ def geo_pixels(t: Tables) -> DataFrame:
     """Pixels of two by two whose centres lie in a shape and within 25 of a customer."""
     at = t.customer.select("c_custkey", (c("c_custkey") % 560 + 0.3).alias("x"), (c("c_custkey") * 7 % 540 + 0.4).alias("y"))
     shapes = Y.pixel_runs(frames(t), "k", "geometry", 0.0, 0.0, 2.0)
-    return Y.pixels_within(shapes, Y.circle_runs(at, "c_custkey", 25.0, 0.0, 0.0, 2.0), "k", "c_custkey")
+    return Y.pixels_around(shapes, at, "k", 25.0, 0.0, 0.0, 2.0).select("c_custkey", "k", "pixels")
 
 
 @query("geo_farm_circles")

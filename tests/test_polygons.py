@@ -181,3 +181,33 @@ def test_shapes_of_a_file_join(spark, tmp_path):
     back = tables.read_table(spark, f"{tmp_path}/a.shp")
     points = spark.createDataFrame([(2.0, 2.0), (0.5, 0.5)], "x double, y double")
     assert {(r["x"], r["p_k"]) for r in Y.in_polygons(points, back, 3.0).collect()} == {(0.5, "ring"), (0.5, "two parts"), (2.0, "two parts"), (0.5, "spaces")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_pieces_pass_the_driver(spark):
+    k = F.col("id")
+    corner = lambda a, b: F.concat((k % 10 * 10 + a).cast("string"), F.lit(" "), (F.floor(k / 10) * 10 + b).cast("string"))
+    ring = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(0, 0), corner(10, 0), corner(10, 10), corner(0, 10), corner(0, 0)), F.lit("))"))
+    tiles = spark.range(50).select(k.alias("k"), ring.alias("geometry"))
+    points = spark.range(300).select(k.alias("n"), (k % 3 * 10 + 5.0).alias("x"), F.when(k < 299, 5.0).alias("y"))
+    shapes = Y.pixel_runs(tiles, "k", "geometry", 0.0, 0.0, 2.0)
+    found = {
+        "overlay": Y.overlay(tiles, tiles, "k", "geometry", 16.0),
+        "outer": Y.outer_overlay(tiles, tiles, "k", "geometry", 16.0),
+        "touching": Y.touching(tiles, "k", "geometry", 16.0),
+        "intersecting": Y.intersecting(tiles, tiles, "k", "geometry", 16.0),
+        "points": Y.in_polygons(points, tiles, 16.0),
+        "pixels": Y.pixels_around(shapes, points, "k", 5.0, 0.0, 0.0, 2.0),
+    }
+    for name, df in found.items():
+        assert "Broadcast" not in plan_of(df), name
+    assert found["overlay"].count() == 50
+    near = {(a, b) for a in range(50) for b in range(50) if a != b and max(abs(a % 10 - b % 10), abs(a // 10 - b // 10)) == 1}
+    assert {tuple(r) for r in found["touching"].collect()} == near
+    rows = [(r["n"], r["p_k"]) for r in found["points"].collect()]
+    assert sorted(rows) == [(n, n % 3) for n in range(299)]
+    whole = {(r["n"], r["k"]): r["pixels"] for r in found["pixels"].collect()}
+    assert len(whole) == 299 and {k for _, k in whole} == {0, 1, 2} and set(whole.values()) == {21}
