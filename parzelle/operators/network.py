@@ -43,33 +43,40 @@ def join_salted(rows: DataFrame, table: DataFrame, key: str, own: str, hot: Data
 
 
 def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_000) -> DataFrame:
-    """node, component (its smallest node). Labels spread along edges and then jump to the label of the label, so rounds grow with the logarithm of a chain's length; each round is joins and sums, and ends in a checkpoint.
-
-    With over hot_rows edges, nodes of very many edges, and labels of very many nodes as the round before left them, are
-    joined in parts, so that neither a hub nor a giant component is one task's work."""
-    e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
-    both = durable(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component")))
-    total = both.count()
+    """node, component (its smallest node), by randomised contraction: each round every node goes to the neighbour, or
+    itself, of the least hash, and edges are drawn between where their ends went. Hashes differ by round, so a fixed share
+    of the nodes is expected to go each round, chains included, and later rounds work on what is left of the edges only.
+    Each round ends in a checkpoint. At the end the places are followed back from the last round to the first.
+
+    With over hot_rows edges, nodes of very many edges, and places that very many nodes went to, are joined in parts, so
+    that neither a hub nor a giant component is one task's work."""
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = durable(edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*ends(left, right)).distinct())
+    total = e.count()
     large = total > hot_rows
-    nodes = labels.count() if large else 0
-    hubs = durable(hot_keys(both, "b", total)) if large else None
-    while True:
-        of_b = labels.select(F.col("node").alias("_b"), "component")
-        met = join_salted(both, of_b, "b", "_b", hubs, "a") if large else both.join(of_b, F.col("b") == F.col("_b"))
-        near = met.groupBy("a").agg(F.min("component").alias("m"))
-        # the label of a node's label may go further than any neighbour's
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        pushed = hooked.groupBy(F.col("old").alias("root")).agg(F.min("c").alias("r"))
-        if large:
-            led = join_salted(hooked, pushed, "c", "root", hot_keys(labels, "component", nodes), "node", "left")
-        else:
-            led = hooked.join(pushed, hooked["c"] == pushed["root"], "left")
-        new = durable(led.select("node", "old", F.least(F.col("c"), F.coalesce("r", "c")).alias("component")))
-        changed = new.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+
+    def joined_by(rows: DataFrame, table: DataFrame, key: str, own: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+        return join_salted(rows, table, key, own, hot, by, how) if large else rows.join(table, F.col(key) == F.col(own), how)
+
+    went: list[DataFrame] = []
+    while total or not went:
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(went)), c).alias("h"), F.col(c).alias("v"))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        at = durable(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("place"), "_n"))
+        hubs = at.where(F.col("_n") > HOT * total).select(F.col("node").alias("hot"))
+        to = lambda p: at.select(F.col("node").alias(f"_{p}"), F.col("place").alias(f"{p}_place"))
+        moved = joined_by(joined_by(e, to("a"), "a", "_a", hubs, "b"), to("b"), "b", "_b", hubs, "a")
+        e = durable(moved.where("a_place <> b_place").select(*ends("a_place", "b_place")).distinct())
+        went.append(at.select("node", "place"))
+        total = e.count()
+    found = went.pop()
+    hot = lambda df: hot_keys(df, "place", df.count()) if large else None
+    for before in reversed(went):
+        on = found.select(F.col("node").alias("_k"), F.col("place").alias("_to"))
+        found = durable(joined_by(before, on, "place", "_k", hot(before), "node", "left").select("node", F.coalesce("_to", "place").alias("place")))
+    least = found.groupBy(F.col("place").alias("_k")).agg(F.min("node").alias("component"))
+    return joined_by(found, least, "place", "_k", hot(found), "node").select("node", "component")
 
 
 def ultimate_owners(edges: DataFrame, component: str, left: str, right: str) -> DataFrame:
