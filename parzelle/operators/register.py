@@ -8,6 +8,7 @@ from parzelle.operators.lineage import durable
 from parzelle.operators.network import components, members, share_number
 from parzelle.operators.ranks import places
 from parzelle.operators.relational import mode
+from parzelle.operators.spatial import of_all
 
 # How register entries mark persons, what managers' titles look like, and words of companies.
 SALUTATIONS = ["mr", "mrs"]
@@ -149,12 +150,25 @@ def owner_matches(people: DataFrame, owners: DataFrame, company: str, person: st
     """For each person of a company the land owners with the same family name whose given name contains the person's
     first given name (up to a hyphen): how many, the largest area, and their names with addresses. owners: owner,
     address, family, given, area. Very common names make long lists: they are rows with a number, not one list."""
-    p = people.select(company, person, F.col(family).alias("f"), F.substring_index(given, "-", 1).alias("_g"))
+    p = people.where(F.col(company).isNotNull() & F.col(person).isNotNull()).select(company, person, F.col(family).alias("f"), F.substring_index(given, "-", 1).alias("_g")).where(F.length("_g") > 0)
     o = owners.select(F.col(family).alias("f"), F.col(given).alias("_given"), F.concat_ws("_", owner, address).alias("match"), F.col(area).alias("area"))
-    pairs = p.join(o, "f").where((F.length("_g") > 0) & F.contains("_given", F.col("_g"))).select(company, person, "match", "area")
-    largest = pairs.groupBy(company, person).agg(F.max("area").alias("max_area"), F.count(F.lit(1)).alias("matches"))
-    order = Window.partitionBy(company, person).orderBy("match", "area")
-    return pairs.withColumn("nr", F.row_number().over(order)).join(largest, [company, person]).select(company, person, "nr", "match", "max_area", "matches")
+
+    def numbered(pairs: DataFrame, *by: str) -> DataFrame:
+        largest = pairs.groupBy(*by).agg(F.max("area").alias("max_area"), F.count(F.lit(1)).alias("matches"))
+        order = Window.partitionBy(*by).orderBy("match", "area")
+        return pairs.withColumn("nr", F.row_number().over(order)).join(largest, list(by)).select(*by, "nr", "match", "max_area", "matches")
+
+    like = F.contains("_given", F.col("_g"))
+    rows = p.groupBy(company, person).agg(F.count(F.lit(1)).alias("_n"), F.min("f").alias("f"), F.min("_g").alias("_g"))
+    # one name: its owners are numbered once for all persons of that name, and bundles of both meet
+    names = rows.where("_n = 1").select("f", "_g").distinct()
+    known = numbered(names.join(o, "f").where(like), "f", "_g").withColumnsRenamed({"f": "_r_f", "_g": "_r_g"})
+    met = known.select("_r_f", "_r_g").distinct().select(F.col("_r_f").alias("f"), F.col("_r_g").alias("_g"), "_r_f", "_r_g")
+    single = of_all(met, rows.where("_n = 1").drop("_n"), known, ("f", "_g"), ("_r_f", "_r_g"))
+    # several names, or a name given twice: the owners of all of them are numbered for that person
+    several = p.join(rows.where("_n > 1").select(company, person), [company, person])
+    out = [company, person, "nr", "match", "max_area", "matches"]
+    return single.select(*out).unionByName(numbered(several.join(o, "f").where(like).select(company, person, "match", "area"), company, person).select(*out))
 
 
 def hierarchy(edges: DataFrame, left: str, right: str, share: str, thresholds: tuple[float, ...], control: Column) -> DataFrame:
