@@ -29,7 +29,9 @@ def raw(t: Tables) -> DataFrame:
     UNION ALL SELECT c_custkey, two, a2, k, CASE k WHEN 7 THEN '2_1_1' WHEN 20 THEN '4_1_1' WHEN 23 THEN '5_2_2' ELSE '2_1_2' END, round(c_acctbal / 2, 6), 2 FROM x""",
 )
 def own_from_raw(t: Tables) -> DataFrame:
-    rows = raw(t).select("*", F.explode(F.array(T.owners(c("raw")))).alias("names"))
+    # entries are short rows but long work, and a small file is one task, so they are dealt to as many tasks as a shuffle has
+    entries = raw(t).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = entries.select("*", F.explode(F.array(T.owners(c("raw")))).alias("names"))
     # an address belongs to its own line of the entry
     rows = rows.withColumn("addresses", F.transform("names", lambda o: T.addresses_of(o, F.replace(c("raw"), F.lit("\n"), F.lit(",\n")))))
     each = R.stretch(rows.drop("raw"), "names", "addresses", "unbekannt", ["area"])
