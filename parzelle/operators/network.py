@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.lineage import durable
+from parzelle.operators.lineage import stored
 from parzelle.operators.relational import joined
 
 
@@ -42,17 +42,43 @@ def join_salted(rows: DataFrame, table: DataFrame, key: str, own: str, hot: Data
     return dealt.join(spread, (F.col(key) == F.col(own)) & (F.col("_s") == F.col("_t")), how).drop("_s", "_t")
 
 
-def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_000) -> DataFrame:
+def _followed(rows: DataFrame, table: DataFrame, key: str, by: str, hot_rows: int) -> DataFrame:
+    """Rows whose key is replaced by the component of that node in the table, if it has one. With over hot_rows rows, keys of very many rows are joined in parts."""
+    on = table.select(F.col("node").alias("_k"), F.col("component").alias("_to"))
+    total = rows.count()
+    met = join_salted(rows, on, key, "_k", hot_keys(rows, key, total), by, "left") if total > hot_rows else rows.join(on, F.col(key) == F.col("_k"), "left")
+    return met.withColumn(key, F.coalesce("_to", key)).select(*rows.columns)
+
+
+def _begun(e: DataFrame, within: DataFrame, hot_rows: int) -> DataFrame:
+    """Edges (a, b) between the components that their ends have already; each once, so all edges from one node into one component are one."""
+    half, _ = stored(_followed(e, within, "b", "a", hot_rows).distinct())
+    return _followed(half, within, "a", "b", hot_rows)
+
+
+def _widened(within: DataFrame, found: DataFrame, hot_rows: int) -> DataFrame:
+    """All nodes with what their components became; found: node, component of components and of nodes that were in none."""
+    found, _ = stored(found)
+    old = _followed(within.select("node", "component"), found, "component", "node", hot_rows)
+    return old.unionByName(found.join(within.select("node"), "node", "left_anti"))
+
+
+def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_000, within: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node), by randomised contraction: each round every node goes to the neighbour, or
     itself, of the least hash, and edges are drawn between where their ends went. Hashes differ by round, so a fixed share
     of the nodes is expected to go each round, chains included, and later rounds work on what is left of the edges only.
     Each round ends in a checkpoint. At the end the places are followed back from the last round to the first.
 
+    within: node, component (stored) of other edges that count too. Ends that have a component there begin at it, so only
+    what the edges add is worked on.
+
     With over hot_rows edges, nodes of very many edges, and places that very many nodes went to, are joined in parts, so
     that neither a hub nor a giant component is one task's work."""
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    e = durable(edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*ends(left, right)).distinct())
-    total = e.count()
+    e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
+    if within is not None:
+        return _widened(within, components(_begun(e, within, hot_rows), "a", "b", hot_rows), hot_rows)
+    e, total = stored(e.select(*ends("a", "b")).distinct())
     large = total > hot_rows
 
     def joined_by(rows: DataFrame, table: DataFrame, key: str, own: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
@@ -63,18 +89,17 @@ def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_00
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(went)), c).alias("h"), F.col(c).alias("v"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count(F.lit(1)).alias("_n"))
-        at = durable(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("place"), "_n"))
+        at, _ = stored(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("place"), "_n"))
         hubs = at.where(F.col("_n") > HOT * total).select(F.col("node").alias("hot"))
         to = lambda p: at.select(F.col("node").alias(f"_{p}"), F.col("place").alias(f"{p}_place"))
         moved = joined_by(joined_by(e, to("a"), "a", "_a", hubs, "b"), to("b"), "b", "_b", hubs, "a")
-        e = durable(moved.where("a_place <> b_place").select(*ends("a_place", "b_place")).distinct())
+        e, total = stored(moved.where("a_place <> b_place").select(*ends("a_place", "b_place")).distinct())
         went.append(at.select("node", "place"))
-        total = e.count()
     found = went.pop()
     hot = lambda df: hot_keys(df, "place", df.count()) if large else None
     for before in reversed(went):
         on = found.select(F.col("node").alias("_k"), F.col("place").alias("_to"))
-        found = durable(joined_by(before, on, "place", "_k", hot(before), "node", "left").select("node", F.coalesce("_to", "place").alias("place")))
+        found, _ = stored(joined_by(before, on, "place", "_k", hot(before), "node", "left").select("node", F.coalesce("_to", "place").alias("place")))
     least = found.groupBy(F.col("place").alias("_k")).agg(F.min("node").alias("component"))
     return joined_by(found, least, "place", "_k", hot(found), "node").select("node", "component")
 

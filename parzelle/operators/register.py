@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.lineage import durable
+from parzelle.operators.lineage import stored
 from parzelle.operators.network import components, members, share_number
 from parzelle.operators.ranks import places
 from parzelle.operators.relational import mode
@@ -173,17 +173,27 @@ def owner_matches(people: DataFrame, owners: DataFrame, company: str, person: st
 
 def hierarchy(edges: DataFrame, left: str, right: str, share: str, thresholds: tuple[float, ...], control: Column) -> DataFrame:
     """Edges with community_0, and for each threshold community_T: 'component_nr' of the strong edges inside it, numbered
-    in the order of their smallest nodes; null where the edge is too weak. Strong: at least that share, or control."""
-    e = durable(edges)
-    whole = durable(components(e, left, right))
-    out = e.join(whole.withColumnRenamed("node", left), left).withColumnRenamed("component", "community_0")
-    for t in thresholds:
-        is_strong = F.coalesce((F.col(share) >= t) | control, F.lit(False))
-        sub = components(e.where(is_strong), left, right).join(whole.withColumnRenamed("component", "c0"), "node")
+    in the order of their smallest nodes; null where the edge is too weak. Strong: at least that share, or control.
+
+    What is strong at a threshold is so at all lower ones. So from the highest on, each level's components begin at those
+    of the level before, and each edge is worked on at one level only."""
+    e, _ = stored(edges)
+    strong = lambda t: F.coalesce((F.col(share) >= t) | control, F.lit(False))
+    levels: dict[float, DataFrame] = {}
+    found, taken = None, F.lit(False)
+    for t in sorted(set(thresholds), reverse=True):
+        found, _ = stored(components(e.where(strong(t) & ~taken), left, right, within=found))
+        levels[t], taken = found, strong(t)
+    whole, _ = stored(components(e.where(~taken), left, right, within=found))
+    nodes = whole.withColumnRenamed("component", "community_0")
+    for t, sub in levels.items():
         # a component's number inside community_0: its place among all, less the place of the first one there
-        order = places(sub.select("c0", "component").distinct(), "c0", "component")
+        inside = whole.select(F.col("node").alias("_c"), F.col("component").alias("c0"))
+        order = places(sub.select(F.col("component").alias("_c")).distinct().join(inside, "_c"), "c0", "_c")
         first = order.groupBy("c0").agg(F.min("place").alias("_f"))
-        nr = order.join(first, "c0").select("component", (F.col("place") - F.col("_f") + 1).alias("nr"))
-        label = sub.join(nr, "component").select(F.col("node").alias(left), F.concat_ws("_", "c0", F.col("nr").cast("string")).alias("_l"))
-        out = durable(out.join(label, left, "left").withColumn(f"community_{t:g}", F.when(is_strong, F.col("_l"))).drop("_l"))
-    return out
+        label = order.join(first, "c0").select("_c", F.concat_ws("_", "c0", (F.col("place") - F.col("_f") + 1).cast("string")).alias(f"_l{t:g}"))
+        of = sub.join(label, F.col("component") == F.col("_c")).select("node", f"_l{t:g}")
+        nodes = nodes.join(of, "node", "left")
+    nodes, _ = stored(nodes)
+    out = e.join(nodes.withColumnRenamed("node", left), left)
+    return out.withColumns({f"community_{t:g}": F.when(strong(t), F.col(f"_l{t:g}")) for t in thresholds}).drop(*[f"_l{t:g}" for t in levels])

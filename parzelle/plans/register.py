@@ -319,8 +319,7 @@ def _nested_sql(thresholds: tuple[int, ...]) -> str:
 
 @query("gra_cc_nested", _nested_sql((15, 25, 50)))
 def gra_cc_nested(t: Tables) -> DataFrame:
-    e = durable(D.edges(t))
-    return G.hierarchy(e, "a", "b", "share", (15, 25, 50), c("ismanager") == "yes").select("a", "b", "community_0", "community_15", "community_25", "community_50")
+    return G.hierarchy(D.edges(t), "a", "b", "share", (15, 25, 50), c("ismanager") == "yes").select("a", "b", "community_0", "community_15", "community_25", "community_50")
 
 
 @query("jn_accept_by_class")
