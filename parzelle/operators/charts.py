@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.lineage import durable
 from parzelle.operators.ranks import known, percentiles
 
 
@@ -70,13 +69,47 @@ def joint_histogram(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 HUBER, NORMAL = 1.345, 0.6744897501960817
 
 
+#: Bins to a doubling, or to an interval, when a median is looked for; up to so many rows of it are ordered in one task.
+BINS, ORDERED = 4096, 100_000
+
+
+def _middle(rows: DataFrame, value: Column, n: int, most: int = ORDERED) -> float:
+    """The exact median of n values from 0 on. Bins that follow the order are counted, and the ones that hold the middle
+    ranks are cut into bins again, until few rows are left; only these are ordered, equal ones as one."""
+    held = rows.select(value.alias("v"))
+    low, high = (n - 1) // 2, n // 2
+    first, running = Window.partitionBy(F.lit(0)), (Window.unboundedPreceding, 0)
+    holds = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
+    left, bin_of = n + 1, F.coalesce(F.floor(F.log2("v") * BINS), F.lit(-(2**40)))
+    while True:
+        bins = held.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        middle = bins.withColumn("upto", F.sum("n").over(first.orderBy("b").rowsBetween(*running))).where(holds(low) | holds(high))
+        lo, hi, now, before = middle.agg(F.min("lo"), F.max("hi"), F.sum("n"), F.min(F.col("upto") - F.col("n"))).first()
+        low, high = low - before, high - before
+        held = rows.select(value.alias("v")).where(F.col("v").between(lo, hi))
+        if lo == hi or now <= most or now == left:
+            break
+        left, bin_of = now, F.floor((F.col("v") - lo) / (hi - lo) * BINS)
+    counts = held.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(first.orderBy("v").rowsBetween(*running)))
+    one, two = counts.agg(*[F.max(F.when(holds(k), F.col("v"))) for k in (low, high)]).first()
+    return one + (two - one) * 0.5
+
+
 def robust_line(df: DataFrame, x: str, y: str, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
     """One row: n, intercept, slope, scale of a line fitted by reweighted least squares with Huber's weights, from the plain
-    one on. Each round is a sum and an exact median over all rows; only these few numbers come to the driver. With fewer
+    one on. Each round is a sum and an exact median over all rows, which are kept in memory or on the executors' disks until the end
+    and aren't shuffled; only these few numbers come to the driver. With fewer
     than two different x, slope and intercept are null. A line through over half of the rows has scale 0 and is kept."""
-    rows = durable(known(known(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x"), "y"))
+    rows = known(known(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x"), "y").persist()
+    try:
+        found = _robust(rows, rounds, tolerance)
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([found], "n long, intercept double, slope double, scale double")
+
+
+def _robust(rows: DataFrame, rounds: int, tolerance: float) -> tuple[int, float | None, float | None, float | None]:
     n, mx, my = rows.agg(F.count(F.lit(1)), F.avg("x"), F.avg("y")).first()
-    out = "n long, intercept double, slope double, scale double"
 
     def fit(w: Column) -> tuple[float, float] | None:
         dx, dy = F.col("x") - F.lit(mx), F.col("y") - F.lit(my)
@@ -89,11 +122,11 @@ def robust_line(df: DataFrame, x: str, y: str, rounds: int = 50, tolerance: floa
 
     line = fit(F.lit(1.0)) if n else None
     if line is None:
-        return df.sparkSession.createDataFrame([(n, None, None, None)], out)
+        return n, None, None, None
     scale = None
     for _ in range(rounds):
         off = F.abs(F.col("y") - F.lit(line[0]) - F.lit(line[1]) * F.col("x"))
-        scale = percentiles(rows.select(off.alias("v")), [], "v", {"m": 0.5}).first()["m"] / NORMAL
+        scale = _middle(rows, off, n) / NORMAL
         if not scale:
             break
         new = fit(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(HUBER * scale), off), F.lit(1.0))))
@@ -103,4 +136,4 @@ def robust_line(df: DataFrame, x: str, y: str, rounds: int = 50, tolerance: floa
         line = new
         if moved < tolerance:
             break
-    return df.sparkSession.createDataFrame([(n, *line, scale)], out)
+    return n, *line, scale

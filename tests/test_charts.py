@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from parzelle.operators import charts
 
 
@@ -34,6 +36,24 @@ def test_robust_line_of_few(spark):
     assert tuple(make([(0.0, 1.0), (1.0, 3.0), (2.0, 5.0)])) == pytest.approx((3, 1.0, 2.0, 0.0), abs=1e-9)
 
 
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_middle(spark, most):
+    r = np.random.default_rng(5)
+    for values in ([0.0], [1.0, 2.0], [0.0] * 50 + [3.0] * 50, r.exponential(3, 301).tolist(), (1e6 + r.uniform(0, 1, 300)).tolist(), [0.0, 0.0, *r.integers(0, 9, 400).astype(float).tolist()]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert charts._middle(df, df.x, len(values), most) == np.median(values)
+
+
+def test_robust_line_keeps_its_rows(spark, monkeypatch):
+    """Rounds read kept rows through the narrowing median, never a shuffle of all of them."""
+    seen = []
+    ordered = charts._middle
+    monkeypatch.setattr(charts, "_middle", lambda rows, *more: seen.append(rows.is_cached) or ordered(rows, *more))
+    df = spark.range(2000).select((F.col("id") % 50).alias("x"), F.sqrt("id").alias("y"))
+    assert charts.robust_line(df, "x", "y").first()["n"] == 2000
+    assert seen and all(seen)
+
+
 def test_boxes(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", 7.0), ("b", None), (None, 1.0)], "k string, v double")
     found = {r["k"]: tuple(r)[1:] for r in charts.boxes(df, "k", "v").collect()}
