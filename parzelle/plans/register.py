@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from parzelle.functions import similarity, text as T
 from parzelle.operators import classify, matching as M, network as N, register as G, relational as R
-from parzelle.operators.lineage import durable
 from parzelle.plans import domain as D
 from parzelle.plans.registry import Tables, query
 
