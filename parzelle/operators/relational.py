@@ -17,8 +17,10 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def split_area(parcels: DataFrame, owners: DataFrame, key: str, area: str) -> DataFrame:
-    """Each parcel's area divided by its number of owner rows, in the whole owner table; without an owner the area is null."""
+def split_area(parcels: DataFrame, owners: DataFrame, key: str, area: str, tasks: int | None = None) -> DataFrame:
+    """Each parcel's area divided by its number of owner rows, in the whole owner table; without an owner the area is null. tasks: to how many tasks parcels are dealt, else Spark chooses."""
+    if tasks:
+        owners = owners.repartition(tasks, key)
     counts = owners.groupBy(key).agg(F.count(F.lit(1)).alias("n_owners"))
     joined = parcels.join(counts, key, "left").join(owners, key, "left")
     return joined.withColumn(area, F.try_divide(F.col(area), F.col("n_owners")))

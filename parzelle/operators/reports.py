@@ -18,6 +18,8 @@ SHORT = {"nCONETW": "nCN", "aCONETW": "aCN", "PUBLIC": "PU", "CHURCH": "RE", "no
 # Edges of distance classes in km.
 DISTANCES = [0, 10, 25, 50, 250]
 UNKNOWN = "unkown"
+#: Owner rows of a task that joins and groups by parcel, about.
+TASK_ROWS = 500_000
 
 
 def distance_class(distance: Column) -> Column:
@@ -41,9 +43,14 @@ def with_distances(df: DataFrame, between=geodesic) -> DataFrame:
     return df.withColumns({"distance": own, "mcomp_dist": F.coalesce(between(*at("parcel"), *at("mother")), own)})
 
 
-def frame(parcels: DataFrame, owners: DataFrame, info: DataFrame, community: str, fill: str = "noagPR", between=geodesic) -> DataFrame:
-    """A row for each parcel and owner: the parcel's area split evenly, in ha; distances; what is known of the community; a missing class is filled."""
-    rows = with_distances(split_area(parcels, owners, "parcel", "area"), between).withColumn("area", F.col("area") / 10000)
+def frame(parcels: DataFrame, owners: DataFrame, info: DataFrame, community: str, fill: str = "noagPR", between=geodesic, rows: int | None = None) -> DataFrame:
+    """A row for each parcel and owner: the parcel's area split evenly, in ha; distances; what is known of the community; a missing class is filled.
+
+    rows: how many owner rows there are, or at most. Parcels are then dealt to tasks of TASK_ROWS, so that what a task
+    sorts to group by parcel, as holders() does, stays the same for tables of any size; else Spark merges tasks by the
+    bytes it shuffles, of which there are few."""
+    tasks = rows and max(owners.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    rows = with_distances(split_area(parcels, owners, "parcel", "area", tasks), between).withColumn("area", F.col("area") / 10000)
     return rows.join(info, community, "left").withColumn("category", F.coalesce("category", F.lit(fill))).drop("n_owners", *[f"{a}_{x}" for a in ("parcel", "owner", "mother") for x in ("lat", "lon")])
 
 
@@ -87,8 +94,8 @@ def class_profile(df: DataFrame, holder: str, distance: str) -> DataFrame:
 
 def distance_heat(df: DataFrame, holder: str, distance: str) -> DataFrame:
     """For each class, and ALL of them: per cent of its holders in each distance class, 0 where there is none."""
-    h = holders(df, holder, distance).select("category", "dist_class")
-    both = h.unionByName(h.withColumn("category", F.lit("ALL")))
+    # each holder counts twice in one pass; a union would work on the frame once for each side
+    both = holders(df, holder, distance).select(F.explode(F.array("category", F.lit("ALL"))).alias("category"), "dist_class")
     n = F.count(F.lit(1))
     return both.groupBy("category").agg(n.alias("holders"), *[(F.count(F.when(F.col("dist_class") == c, 1)) * 100.0 / n).alias(c) for c in distance_classes()])
 

@@ -29,7 +29,7 @@ _REP = f"""ow AS (SELECT l_orderkey AS parcel, 's' || l_suppkey AS owner, 'm' ||
     rep AS (SELECT * EXCLUDE (md), coalesce(md, distance) AS mcomp_dist FROM rep0)"""
 
 
-def report(t: Tables) -> DataFrame:
+def report(t: Tables, rows: int | None = None) -> DataFrame:
     k = c("l_suppkey")
     klass = F.try_element_at(F.array(*[F.lit(x) for x in CATEGORIES], F.lit("nCN")), (k % 11 + 1).cast("int"))
     placed = k % 5 != 0
@@ -41,7 +41,12 @@ def report(t: Tables) -> DataFrame:
     parcels = t.orders.select(c("o_orderkey").alias("parcel"), c("o_totalprice").alias("area"), (47 + (c("o_orderkey") % 800) / 100.0).alias("parcel_lat"), (6 + (c("o_orderkey") * 7 % 900) / 100.0).alias("parcel_lon"))
     each = owners.select("community", "owner", "level1").distinct()
     info = each.groupBy("community").agg(F.count_if(c("level1") == 1).alias("number_people"), F.count_if(c("level1") == 2).alias("number_companies"))
-    return P.frame(parcels, owners, info, "community", "nPR", haversine)
+    return P.frame(parcels, owners, info, "community", "nPR", haversine, rows)
+
+
+def dealt(t: Tables) -> DataFrame:
+    """The frame for what groups by holder and parcel. Only the footers of line items are read to count them."""
+    return report(t, t.lineitem.count())
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -68,17 +73,17 @@ def _holders(holder: str, distance: str, where: str = "TRUE") -> str:
 
 @query("rep_holders", f"WITH {_REP} SELECT holder, category, round(area, 6) AS area, num_plots, round(avg_dist, 5) AS avg_dist, round(range_dist, 5) AS range_dist, dist_class FROM {_holders('mother', 'mcomp_dist')}")
 def rep_holders(t: Tables) -> DataFrame:
-    return rounded(P.holders(report(t), "mother", "mcomp_dist").select("holder", "category", "area", "num_plots", "avg_dist", "range_dist", "dist_class"), {"area": 6, "avg_dist": 5, "range_dist": 5})
+    return rounded(P.holders(dealt(t), "mother", "mcomp_dist").select("holder", "category", "area", "num_plots", "avg_dist", "range_dist", "dist_class"), {"area": 6, "avg_dist": 5, "range_dist": 5})
 
 
 @query("rep_class_profile", f"WITH {_REP}, h AS {_holders('owner', 'distance')} SELECT category, count(*) AS owners, round(avg(num_plots), 6) AS mean_plots, round(avg(avg_dist), 5) AS mean_dist, round(sum(area), 5) AS area, round(median(avg_dist), 5) AS median_dist, round(sum(area) / (SELECT sum(area) FROM h) * 100, 6) AS share FROM h GROUP BY 1")
 def rep_class_profile(t: Tables) -> DataFrame:
-    return rounded(P.class_profile(report(t), "owner", "distance"), {"mean_plots": 6, "mean_dist": 5, "area": 5, "median_dist": 5, "share": 6})
+    return rounded(P.class_profile(dealt(t), "owner", "distance"), {"mean_plots": 6, "mean_dist": 5, "area": 5, "median_dist": 5, "share": 6})
 
 
 @query("rep_distance_heat", f"WITH {_REP}, h AS {_holders('owner', 'distance')}, b AS (SELECT category, dist_class FROM h UNION ALL SELECT 'ALL', dist_class FROM h) SELECT category, count(*) AS holders, " + ", ".join(f"round(count(*) FILTER (dist_class = '{x}') * 100.0 / count(*), 6) AS \"{x}\"" for x in P.distance_classes()) + " FROM b GROUP BY 1")
 def rep_distance_heat(t: Tables) -> DataFrame:
-    found = P.distance_heat(report(t), "owner", "distance")
+    found = P.distance_heat(dealt(t), "owner", "distance")
     return found.select("category", "holders", *[F.round(f"`{x}`", 6).alias(x) for x in P.distance_classes()])
 
 
@@ -90,7 +95,7 @@ _LABELS = ", ".join(f"('{x}')" for x in P.distance_classes())
     f"WITH {_REP}, b AS (SELECT 'Aggr1' AS level, dist_class, area FROM {_holders('owner', 'distance')} UNION ALL SELECT 'Aggr2', dist_class, area FROM {_holders('mother', 'mcomp_dist')}), l(dist_class) AS (VALUES {_LABELS}), v(level) AS (VALUES ('Aggr1'), ('Aggr2')) SELECT level, dist_class, round(coalesce(sum(area), 0), 5) AS area, round(coalesce(sum(area), 0) / (SELECT sum(area) FROM b x WHERE x.level = v.level) * 100, 6) AS share FROM v CROSS JOIN l LEFT JOIN b USING (level, dist_class) GROUP BY level, dist_class",
 )
 def rep_distance_shares(t: Tables) -> DataFrame:
-    return rounded(P.distance_shares(report(t), {"Aggr1": ("owner", "distance"), "Aggr2": ("mother", "mcomp_dist")}), {"area": 5, "share": 6})
+    return rounded(P.distance_shares(dealt(t), {"Aggr1": ("owner", "distance"), "Aggr2": ("mother", "mcomp_dist")}), {"area": 5, "share": 6})
 
 
 _STATS = ["area", "num_plots", "avg_dist", "range_dist", "number_people", "number_companies"]
@@ -103,7 +108,7 @@ def _describe(x: str) -> str:
 
 @query("rep_networks", f"WITH {_REP}, h AS {_holders('mother', 'mcomp_dist', "category IN ('nCN', 'aCN')")} " + " UNION ALL ".join(map(_describe, _STATS)))
 def rep_networks(t: Tables) -> DataFrame:
-    found = P.network_summary(report(t), NETWORKS, "mother", "mcomp_dist", _STATS, ["number_people", "number_companies"])
+    found = P.network_summary(dealt(t), NETWORKS, "mother", "mcomp_dist", _STATS, ["number_people", "number_companies"])
     return rounded(found, dict.fromkeys(("mean", "std", "min", "p5", "p25", "p50", "p75", "p95", "max"), 4))
 
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from parzelle.operators import network as N, register as G, spatial as S
+from parzelle.operators import network as N, register as G, reports as P, spatial as S
+from parzelle.plans import reports as L
+from parzelle.plans.registry import Tables
 from parzelle.queries import queries
 
 
@@ -51,3 +53,27 @@ def test_owner_matches_of_one_name_are_numbered_once(spark, monkeypatch):
 def test_raw_entries_are_dealt(spark):
     found = queries()["own_from_raw"](spark, "/root/testdata/sf0.001")
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_frames_of_holders_are_dealt_by_rows(spark, monkeypatch):
+    whole = sorted(queries()["rep_distance_heat"](spark, "/root/testdata/sf0.001").collect(), key=str)
+    monkeypatch.setattr(P, "TASK_ROWS", 100, raising=False)
+    heat = queries()["rep_distance_heat"](spark, "/root/testdata/sf0.001")
+    assert ", 60), REPARTITION_BY_NUM" in heat._jdf.queryExecution().executedPlan().toString()  # as many tasks as a shuffle has before, or fewer
+    assert sorted(heat.collect(), key=str) == whole
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in L.dealt(t).where("owner IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == t.lineitem.count() and max(sizes) < 200
+
+
+def test_heat_works_on_the_frame_once(spark):
+    heat = queries()["rep_distance_heat"](spark, "/root/testdata/sf0.001")
+    assert heat._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 4  # 8 before: orders, lineitem, supplier, nation twice
+
+
+def test_heat_counts_each_holder_in_its_class_and_in_all(spark):
+    rows = [("a", 1, 1.0, "x", 5.0), ("a", 1, 1.0, "w", 25.0), ("a", 2, 1.0, "x", None), ("b", 1, 1.0, "x", 400.0), ("c", 1, 1.0, None, 0.0), ("d", 1, 1.0, "ALL", 11.0), (None, 1, 1.0, "x", 5.0)]
+    df = spark.createDataFrame(rows, "owner string, parcel long, area double, category string, distance double")
+    found = {r["category"]: tuple(r)[1:] for r in P.distance_heat(df, "owner", "distance").collect()}
+    one = lambda k: (1, *(100.0 if i == k else 0.0 for i in range(6)))
+    assert found == {"w": one(1), "x": one(4), None: one(5), "ALL": (5, 0.0, 60.0, 0.0, 0.0, 20.0, 20.0)}  # d is in ALL by its own class, too
