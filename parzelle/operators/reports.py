@@ -18,8 +18,10 @@ SHORT = {"nCONETW": "nCN", "aCONETW": "aCN", "PUBLIC": "PU", "CHURCH": "RE", "no
 # Edges of distance classes in km.
 DISTANCES = [0, 10, 25, 50, 250]
 UNKNOWN = "unkown"
-#: Owner rows of a task that joins and groups by parcel, about.
-TASK_ROWS = 500_000
+#: Owner rows of a task that joins and groups by parcel, about; and at most, where that would take more than MANY tasks.
+TASK_ROWS, MOST_ROWS = 500_000, 4_000_000
+#: Up to so many tasks rows are shuffled as they come (spark.shuffle.sort.bypassMergeThreshold); for more, each writer sorts in memory what it has read.
+MANY = 200
 
 
 def distance_class(distance: Column) -> Column:
@@ -46,12 +48,18 @@ def with_distances(df: DataFrame, between=geodesic) -> DataFrame:
 def frame(parcels: DataFrame, owners: DataFrame, info: DataFrame, community: str, fill: str = "noagPR", between=geodesic, rows: int | None = None) -> DataFrame:
     """A row for each parcel and owner: the parcel's area split evenly, in ha; distances; what is known of the community; a missing class is filled.
 
-    rows: how many owner rows there are, or at most. Parcels are then dealt to tasks of TASK_ROWS, so that what a task
-    sorts to group by parcel, as holders() does, stays the same for tables of any size; else Spark merges tasks by the
-    bytes it shuffles, of which there are few."""
-    tasks = rows and max(owners.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
-    rows = with_distances(split_area(parcels, owners, "parcel", "area", tasks), between).withColumn("area", F.col("area") / 10000)
-    return rows.join(info, community, "left").withColumn("category", F.coalesce("category", F.lit(fill))).drop("n_owners", *[f"{a}_{x}" for a in ("parcel", "owner", "mother") for x in ("lat", "lon")])
+    rows: how many owner rows there are, or at most. Parcels are then dealt to tasks by rows, so that what a task sorts to
+    group by parcel, as holders() does, is bounded for tables of any size; else Spark merges tasks by the bytes it
+    shuffles, of which there are few."""
+    tasks = rows and max(owners.sparkSession.sparkContext.defaultParallelism, min(MANY, -(-rows // TASK_ROWS)), -(-rows // MOST_ROWS))
+    if tasks:  # what is known of communities comes first, since joining it later would deal the rows by community
+        owners = owners.join(info, community, "left")
+    out = with_distances(split_area(parcels, owners, "parcel", "area", tasks), between).withColumn("area", F.col("area") / 10000)
+    if not tasks:
+        out = out.join(info, community, "left")
+    known = [x for x in info.columns if x != community]
+    out = out.select(community, *[x for x in out.columns if x != community and x not in known], *known)
+    return out.withColumn("category", F.coalesce("category", F.lit(fill))).drop("n_owners", *[f"{a}_{x}" for a in ("parcel", "owner", "mother") for x in ("lat", "lon")])
 
 
 def holders(df: DataFrame, holder: str, distance: str, more: list[str] = ()) -> DataFrame:

@@ -62,8 +62,18 @@ def test_frames_of_holders_are_dealt_by_rows(spark, monkeypatch):
     assert ", 60), REPARTITION_BY_NUM" in heat._jdf.queryExecution().executedPlan().toString()  # as many tasks as a shuffle has before, or fewer
     assert sorted(heat.collect(), key=str) == whole
     t = Tables(spark, "/root/testdata/sf0.001")
-    sizes = [r["count"] for r in L.dealt(t).where("owner IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(sizes) == t.lineitem.count() and max(sizes) < 200
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large
+    try:
+        frame = L.dealt(t)
+        assert frame.columns == L.report(t).columns and sorted(map(str, frame.collect())) == sorted(map(str, L.report(t).collect()))
+        sizes = [r["count"] for r in frame.where("owner IS NOT NULL").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("count"), F.max("number_people"), F.sum("area")).collect()]
+        assert sum(sizes) == t.lineitem.count() and max(sizes) < 200
+        for most, tasks in ((100_000, 20), (200, 30)):  # more rows in a task rather than more than MANY tasks, up to a bound
+            monkeypatch.setattr(P, "MANY", 20)
+            monkeypatch.setattr(P, "MOST_ROWS", most)
+            assert L.dealt(t).rdd.getNumPartitions() == tasks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_heat_works_on_the_frame_once(spark):
