@@ -25,12 +25,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, int]:
-    """As durable(), but a table in that folder, and its number of rows. For rounds of joins: a checkpoint keeps the size
+def table(df: DataFrame) -> DataFrame:
+    """As durable(), but a table in that folder. For rounds of joins: a checkpoint keeps the size
     that was estimated for its plan, in which each join multiplies its sides, so a few rounds on the estimate has so many
     digits that planning takes longer than the work; and it computes the last step twice. The table is written plainly, so
     that the size of its files, by which Spark chooses joins, is that of its rows."""
     path = f"{_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table() of these rows, and its number of rows."""
+    found = table(df)
     return found, found.count()

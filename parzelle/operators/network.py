@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parzelle.operators.lineage import stored
+from parzelle.operators.lineage import table as durable
 from parzelle.operators.relational import joined
 
 
@@ -52,13 +52,13 @@ def _followed(rows: DataFrame, table: DataFrame, key: str, by: str, hot_rows: in
 
 def _begun(e: DataFrame, within: DataFrame, hot_rows: int) -> DataFrame:
     """Edges (a, b) between the components that their ends have already; each once, so all edges from one node into one component are one."""
-    half, _ = stored(_followed(e, within, "b", "a", hot_rows).distinct())
+    half = durable(_followed(e, within, "b", "a", hot_rows).distinct())
     return _followed(half, within, "a", "b", hot_rows)
 
 
 def _widened(within: DataFrame, found: DataFrame, hot_rows: int) -> DataFrame:
     """All nodes with what their components became; found: node, component of components and of nodes that were in none."""
-    found, _ = stored(found)
+    found = durable(found)
     old = _followed(within.select("node", "component"), found, "component", "node", hot_rows)
     return old.unionByName(found.join(within.select("node"), "node", "left_anti"))
 
@@ -78,7 +78,8 @@ def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_00
     e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
     if within is not None:
         return _widened(within, components(_begun(e, within, hot_rows), "a", "b", hot_rows), hot_rows)
-    e, total = stored(e.select(*ends("a", "b")).distinct())
+    e = durable(e.select(*ends("a", "b")).distinct())
+    total = e.count()
     large = total > hot_rows
 
     def joined_by(rows: DataFrame, table: DataFrame, key: str, own: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
@@ -89,17 +90,18 @@ def components(edges: DataFrame, left: str, right: str, hot_rows: int = 1_000_00
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(went)), c).alias("h"), F.col(c).alias("v"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count(F.lit(1)).alias("_n"))
-        at, _ = stored(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("place"), "_n"))
+        at = durable(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("place"), "_n"))
         hubs = at.where(F.col("_n") > HOT * total).select(F.col("node").alias("hot"))
         to = lambda p: at.select(F.col("node").alias(f"_{p}"), F.col("place").alias(f"{p}_place"))
         moved = joined_by(joined_by(e, to("a"), "a", "_a", hubs, "b"), to("b"), "b", "_b", hubs, "a")
-        e, total = stored(moved.where("a_place <> b_place").select(*ends("a_place", "b_place")).distinct())
+        e = durable(moved.where("a_place <> b_place").select(*ends("a_place", "b_place")).distinct())
+        total = e.count()
         went.append(at.select("node", "place"))
     found = went.pop()
     hot = lambda df: hot_keys(df, "place", df.count()) if large else None
     for before in reversed(went):
         on = found.select(F.col("node").alias("_k"), F.col("place").alias("_to"))
-        found, _ = stored(joined_by(before, on, "place", "_k", hot(before), "node", "left").select("node", F.coalesce("_to", "place").alias("place")))
+        found = durable(joined_by(before, on, "place", "_k", hot(before), "node", "left").select("node", F.coalesce("_to", "place").alias("place")))
     least = found.groupBy(F.col("place").alias("_k")).agg(F.min("node").alias("component"))
     return joined_by(found, least, "place", "_k", hot(found), "node").select("node", "component")
 
